@@ -31,12 +31,12 @@ ENVELOPE = "PubTator3"
 _CORRUPT = "_corrupt_record"
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One JSON object per file; the whole text of a broken file is kept for the quarantine."""
+def _read(spark: SparkSession, path: str, schema: T.StructType, one_per_file: bool) -> DataFrame:
+    """JSON objects with the path of their file; the text of a broken one is kept for the quarantine."""
     with_corrupt = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     return (
         spark.read.schema(with_corrupt)
-        .option("multiLine", True)
+        .option("multiLine", one_per_file)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
         .json(path)
@@ -44,23 +44,33 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a folder with the path of their file; broken files are left out."""
-    read = _read(spark, path, DOCUMENT)
+def read_documents(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Documents of a folder with the path of their file; broken ones are left out.
+
+    ``one_per_file`` expects one object per file, as downloads land; otherwise one per line, the
+    form to keep large collections in.
+    """
+    read = _read(spark, path, DOCUMENT, one_per_file)
     return read.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
 
 
-def read_responses(spark: SparkSession, path: str, envelope: str = ENVELOPE) -> DataFrame:
+def read_responses(
+    spark: SparkSession, path: str, one_per_file: bool = True, envelope: str = ENVELOPE
+) -> DataFrame:
     """First document of every landed response; responses without one give no row."""
-    read = _read(spark, path, T.StructType([T.StructField(envelope, T.ArrayType(DOCUMENT))]))
+    wrapped = T.StructType([T.StructField(envelope, T.ArrayType(DOCUMENT))])
+    read = _read(spark, path, wrapped, one_per_file)
     first = read.select(F.get(F.col(envelope), F.lit(0)).alias("d"), "path")
     return first.where(F.col("d").isNotNull()).select("d.*", "path")
 
 
-def broken_files(spark: SparkSession, path: str, envelope: str | None = None) -> DataFrame:
-    """Path and text of the files that are no valid JSON object."""
+def broken_files(
+    spark: SparkSession, path: str, one_per_file: bool = True, envelope: str | None = None
+) -> DataFrame:
+    """Path and text of whatever is no valid JSON object."""
     schema = T.StructType([T.StructField(envelope, T.ArrayType(DOCUMENT))]) if envelope else DOCUMENT
-    return _read(spark, path, schema).where(F.col(_CORRUPT).isNotNull()).select("path", _CORRUPT)
+    read = _read(spark, path, schema, one_per_file)
+    return read.where(F.col(_CORRUPT).isNotNull()).select("path", _CORRUPT)
 
 
 def documents_of(documents: DataFrame, resolved: DataFrame) -> DataFrame:

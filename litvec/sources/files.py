@@ -53,8 +53,10 @@ def select_files(
     a column ``path``. Listing reads no file contents.
     """
     if isinstance(source, SparkSession):
-        source = source.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    listed = source.select("path", file_name(F.col("path")).alias("name"))
+        scan = source.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        listed = scan.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"))
+    else:
+        listed = source.select("path", file_name(F.col("path")).alias("name"))
     return listed.where(_selected(F.col("name"), identifiers, exclude))
 
 
