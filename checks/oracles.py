@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from litvec.functions.text import WHITESPACE as WS
 from litvec.operators.prompts import (
     ROLE,
     TAGGED_QUESTION_END,
@@ -12,6 +11,8 @@ from litvec.operators.prompts import (
     TASK,
 )
 
+# White space of every kind, as ranges.
+WS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 DIM = 64
 NEWLINE = "chr(10)"
 

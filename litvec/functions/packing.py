@@ -31,24 +31,20 @@ def _span(start: Column, length: Column) -> Column:
 def _step(max_tokens: int):
     none = F.array().cast(_SPANS)
 
+    def after(spans: Column, start: Column, length: Column) -> Column:
+        return F.struct(spans.alias("spans"), start.alias("start"), length.alias("len"))
+
     def step(state: Column, n: Column) -> Column:
-        fits = state["len"] + n <= max_tokens
-        too_long = n > max_tokens
         behind = state["start"] + state["len"]
         flushed = F.when(state["len"] > 0, F.array(_span(state["start"], state["len"]))).otherwise(none)
         cuts = F.transform(
             F.sequence(F.lit(0), n - 1, F.lit(max_tokens)),
             lambda i: _span(behind + i, F.least(F.lit(max_tokens), n - i)),
         )
-        spans = (
-            F.when(fits, state["spans"])
-            .when(too_long, F.concat(state["spans"], flushed, cuts))
-            .otherwise(F.concat(state["spans"], flushed))
-        )
-        return F.struct(
-            spans.alias("spans"),
-            F.when(fits, state["start"]).when(too_long, behind + n).otherwise(behind).alias("start"),
-            F.when(fits, state["len"] + n).when(too_long, F.lit(0)).otherwise(n).alias("len"),
+        return (
+            F.when(state["len"] + n <= max_tokens, after(state["spans"], state["start"], state["len"] + n))
+            .when(n > max_tokens, after(F.concat(state["spans"], flushed, cuts), behind + n, F.lit(0)))
+            .otherwise(after(F.concat(state["spans"], flushed), behind, n))
         )
 
     return step
@@ -94,18 +90,19 @@ def chunks(text: Column | str, max_tokens: int) -> Column:
     """Array of ``(text, n_tokens)``: whole sentences where they fit, spelled as in the source."""
 
     def from_sentences(pieces: Column) -> Column:
-        sizes = F.transform(pieces, lambda p: F.size(p))
-        return let(
-            F.flatten(pieces),
-            lambda flat: F.transform(
-                let(sizes, lambda n: pack_spans(n, max_tokens)),
-                lambda span: F.struct(
-                    F.btrim(
-                        F.array_join(F.slice(flat, span["start"] + 1, span["len"]), ""), F.lit(" ")
-                    ).alias("text"),
-                    span["len"].alias("n_tokens"),
-                ),
-            ),
-        )
+        def spans(flat: Column) -> Column:
+            total = F.size(flat)
+            sizes = F.transform(pieces, lambda p: F.size(p))
+            return F.when(
+                (total > 0) & (total <= max_tokens), F.array(_span(F.lit(0), total))
+            ).otherwise(let(sizes, lambda n: pack_spans(n, max_tokens)))
+
+        def chunk(flat: Column, span: Column) -> Column:
+            words = F.slice(flat, span["start"] + 1, span["len"])
+            return F.struct(
+                F.btrim(F.array_join(words, ""), F.lit(" ")).alias("text"), span["len"].alias("n_tokens")
+            )
+
+        return let(F.flatten(pieces), lambda flat: F.transform(spans(flat), lambda span: chunk(flat, span)))
 
     return let(F.transform(sentence_pieces(text), token_pieces), from_sentences)

@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from litvec.functions.columns import col
 
 # The characters that count as white space when a text is stripped or split into words.
-WHITESPACE = (
-    r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
 WHITESPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+# The same characters as a class that costs little to test: one table for the first 256, and one range check
+# before the others are looked at.
+_LOW = "".join(rf"\x{ord(c):02X}" for c in WHITESPACE_CHARS if c < "\u0100")
+_HIGH = "".join(rf"\x{{{ord(c):X}}}" for c in WHITESPACE_CHARS if c >= "\u0100")
+_SPACE = rf"{_LOW}[\x{{1680}}-\x{{3000}}&&[{_HIGH}]]"
 # The marks that may end a passage; any other ending gets a full stop.
 END_MARKS = ("!", ",", ".", "?", '"', "'")
 
 # A token is a run of letters, digits and underscores, or one other visible character.
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ ]"
+TOKEN = r"[\w\p{L}\p{N}]+|[^\w\p{L}\p{N} ]"
 # The same with the blank before it, so that joined pieces give the text back as it was spelled.
 PIECE = rf" ?(?:{TOKEN})"
 
@@ -31,7 +33,7 @@ def strip(text: Column | str) -> Column:
 
 
 def single_spaced(text: Column | str) -> Column:
-    return F.btrim(F.regexp_replace(col(text), f"[{WHITESPACE}]+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(col(text), f"[{_SPACE}]+", " "), F.lit(" "))
 
 
 def normalise_section(section: Column | str) -> Column:
@@ -46,8 +48,8 @@ def with_end_mark(text: Column | str) -> Column:
 
 def has_more_words_than(text: Column | str, n: int) -> Column:
     """True for more than ``n`` words separated by white space; reads no further than word n+1."""
-    word, gap = f"[^{WHITESPACE}]++", f"[{WHITESPACE}]++"
-    return col(text).rlike(rf"\A[{WHITESPACE}]*+{word}(?:{gap}{word}){{{n}}}")
+    word, gap = f"[^{_SPACE}]++", f"[{_SPACE}]++"
+    return col(text).rlike(rf"\A[{_SPACE}]*+{word}(?:{gap}{word}){{{n}}}")
 
 
 def sentence_pieces(text: Column | str) -> Column:
@@ -65,12 +67,12 @@ def sentences(text: Column | str) -> Column:
 
 
 def tokens(text: Column | str) -> Column:
-    return F.regexp_extract_all(single_spaced(text), F.lit(f"({TOKEN})"), F.lit(1))
+    return F.regexp_extract_all(single_spaced(text), F.lit(TOKEN), F.lit(0))
 
 
 def token_pieces(sentence: Column) -> Column:
     """Tokens of an already single-spaced sentence, each with the blank before it."""
-    return F.regexp_extract_all(sentence, F.lit(f"({PIECE})"), F.lit(1))
+    return F.regexp_extract_all(sentence, F.lit(PIECE), F.lit(0))
 
 
 def joined_authors(authors: Column | str) -> Column:

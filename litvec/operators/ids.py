@@ -16,15 +16,19 @@ def dense_ids(df: DataFrame, *order: str | Column, name: str = "id") -> DataFram
 
     Rows are range partitioned by the whole order, so one hot leading key spreads over many
     tasks, and numbered inside their partition. The staged rows are then shifted by the row
-    counts of the partitions before theirs, a table with one row per shuffle partition.
+    counts of the partitions before theirs, a table with one row per partition.
+
+    Without an order the rows are numbered as they lie, and nothing is shuffled.
     """
-    local = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_partition", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = df.withColumns(
+        {
+            "_partition": F.spark_partition_id(),
+            "_row": F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)),
+        }
     )
-    staged = stage(local, "dense-ids")
+    staged = stage(numbered, "dense-ids")
     before = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         staged.groupBy("_partition")

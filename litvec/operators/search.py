@@ -22,7 +22,7 @@ DEMO_K = 10
 # Scores that agree in this many decimals are equal; the smaller id is then the nearer one.
 SCORE_DECIMALS = 9
 # Queries that travel to every task at once; more of them are searched block by block.
-QUERY_BLOCK = 8192
+QUERY_BLOCK = 2048
 # Score cells held at a time inside a task.
 _CELLS = 1 << 22
 # On a cluster with this many task slots the hits of a query are merged in two steps.
@@ -40,6 +40,11 @@ def matrix_of(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
 
 
+def _with_vector(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Leave out rows without a vector. A filter before the scan would compute a lazy vector twice."""
+    return batch.filter(batch["vector"].is_valid()) if batch["vector"].null_count else batch
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), MIN_NORM)
 
@@ -198,12 +203,11 @@ def knn(
     """
     metric = _check(metric, k)
     searched = corpus if where is None else corpus.where(where)
-    vectors = searched.where(F.col(vector_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")
-    )
+    vectors = searched.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
 
     def scan(_matrix):
         def compare(batch: pa.RecordBatch, best: _Best) -> None:
+            batch = _with_vector(batch)
             best.add(batch["id"].to_numpy(zero_copy_only=False), matrix_of(batch["vector"]))
 
         return vectors, compare
@@ -267,7 +271,7 @@ def knn_cells(
     cell is many files for many tasks, each of which passes on ``k`` hits per query.
     """
     metric = _check(metric, k)
-    vectors = corpus.where(F.col(vector_col).isNotNull()).select(
+    vectors = corpus.select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.col(cell).alias("cell")
     )
 
@@ -276,6 +280,7 @@ def knn_cells(
         probed = {int(c): np.nonzero((near == c).any(axis=1))[0] for c in np.unique(near)}
 
         def compare(batch: pa.RecordBatch, best: _Best) -> None:
+            batch = _with_vector(batch)
             cells = batch["cell"].to_numpy(zero_copy_only=False)
             ids, rows = batch["id"].to_numpy(zero_copy_only=False), matrix_of(batch["vector"])
             for c in np.unique(cells):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from litvec.operators import chunking, embedding, ids
 from litvec.operators.passages import DEFAULT_SECTIONS
+from litvec.runtime import stage
 from litvec.sources import documents as docs
 from litvec.sources import files
 
@@ -39,13 +40,19 @@ def build_corpus(
     mode: str = "section",
     max_tokens: int = chunking.DEMO_MAX_TOKENS,
     sections: Sequence[str] = DEFAULT_SECTIONS,
-    position: str = "pos",
+    position: str | None = "pos",
 ) -> DataFrame:
-    """Chunks with dense ids, in the order of document position, section and chunk, and vectors.
+    """Chunks with dense ids and vectors.
 
-    Ids come before vectors: the one shuffle, the range sort for the ids, moves texts only, and
-    a reader that needs no vectors does not compute them.
+    Ids follow document position, section and chunk. The chunks are staged before they are sorted,
+    because a range sort reads its input twice and packing is the costly part. With ``position=None``
+    chunks are numbered as the documents lie, and the whole build needs no shuffle.
+
+    Ids come before vectors: the sort moves texts only, and a reader that asks for no vectors
+    does not compute them.
     """
     chunks = chunking.to_chunks(documents, mode, max_tokens, sections)
+    if position is None:
+        return embedder(ids.dense_ids(chunks))
     order = (position, "section", "chunk_no") if mode == "section" else (position, "chunk_no")
-    return embedder(ids.dense_ids(chunks, *order))
+    return embedder(ids.dense_ids(stage(chunks, "chunks"), *order))

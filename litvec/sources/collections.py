@@ -60,6 +60,8 @@ def write_collection(
     spark.sql(f"ALTER TABLE {fresh} SET TBLPROPERTIES ('dimension'='{dim}', 'metric'='{metric.upper()}')")
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    if partition_by:
+        spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
     return written.get["n"]
 
 

@@ -69,8 +69,15 @@ def broken_files(
 ) -> DataFrame:
     """Path and text of whatever is no valid JSON object."""
     schema = T.StructType([T.StructField(envelope, T.ArrayType(DOCUMENT))]) if envelope else DOCUMENT
-    read = _read(spark, path, schema, one_per_file)
-    return read.where(F.col(_CORRUPT).isNotNull()).select("path", _CORRUPT)
+    with_corrupt = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    texts = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.json")
+        .text(path, wholetext=one_per_file)
+        .select(F.col("_metadata.file_path").alias("path"), "value")
+    )
+    parsed = F.from_json("value", with_corrupt, {"columnNameOfCorruptRecord": _CORRUPT})
+    return texts.where(parsed[_CORRUPT].isNotNull()).withColumnRenamed("value", _CORRUPT)
 
 
 def documents_of(documents: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -60,12 +60,12 @@ def select_files(
     return listed.where(_selected(F.col("name"), identifiers, exclude))
 
 
-def _substrings(name: Column) -> Column:
-    """Every part of a name; a file name has at most 255 characters."""
+def _substrings(name: Column, shortest: int, longest: int) -> Column:
+    """Every part of a name of the given lengths; a file name has at most 255 characters."""
     every = F.transform(
         F.sequence(F.lit(1), F.length(name)),
         lambda i: F.transform(
-            F.sequence(F.lit(1), F.length(name) - i + 1), lambda n: F.substring(name, i, n)
+            F.sequence(F.lit(shortest), F.lit(longest)), lambda n: F.substring(name, i, n)
         ),
     )
     return F.array_distinct(F.flatten(every))
@@ -77,17 +77,19 @@ def matching_files(ids: DataFrame, files: DataFrame, match: str = "exact", prefi
     ``exact`` takes the id out of ``<prefix><id>.json``. ``substring`` takes any file whose name holds
     the prefix without its underscore and the id anywhere, so ``123`` also finds ``1234``.
     """
+    if match not in ("exact", "substring"):
+        raise ValueError(f"match must be 'exact' or 'substring': {match!r}")
     wanted = ids.select("doc_id").distinct()
     if match == "exact":
         named = files.where(F.col("name").startswith(prefix) & F.col("name").endswith(".json"))
         own = F.substr(F.col("name"), F.lit(len(prefix) + 1), F.length("name") - len(prefix) - len(".json"))
         return named.withColumn("doc_id", own).join(wanted, "doc_id").select("doc_id", "path", "name")
-    if match == "substring":
-        parts = files.where(F.col("name").contains(prefix.rstrip("_"))).withColumn(
-            "doc_id", F.explode(_substrings(F.col("name")))
-        )
-        return parts.join(wanted, "doc_id").select("doc_id", "path", "name")
-    raise ValueError(f"match must be 'exact' or 'substring': {match!r}")
+    length = wanted.agg(F.min(F.length("doc_id")).alias("shortest"), F.max(F.length("doc_id")).alias("longest"))
+    bounds = length.first()
+    parts = files.where(F.col("name").contains(prefix.rstrip("_"))).withColumn(
+        "doc_id", F.explode(_substrings(F.col("name"), bounds["shortest"] or 1, bounds["longest"] or 1))
+    )
+    return parts.join(wanted, "doc_id").select("doc_id", "path", "name")
 
 
 def resolve_files(ids: DataFrame, matches: DataFrame) -> DataFrame:

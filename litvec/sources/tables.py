@@ -9,7 +9,15 @@ from pyspark.sql import types as T
 from litvec.functions.vector import parse_vector
 
 # Quoting as in the CSV dialect of common table libraries: quotes are doubled, cells may span lines.
-_TSV = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": True}
+_TSV = {
+    "sep": "\t",
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "multiLine": True,
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
