@@ -22,7 +22,8 @@ _SPACE = rf"{_LOW}[\x{{1680}}-\x{{3000}}&&[{_HIGH}]]"
 END_MARKS = ("!", ",", ".", "?", '"', "'")
 
 # A token is a run of letters, digits and underscores, or one other visible character.
-TOKEN = r"[\w\p{L}\p{N}]+|[^\w\p{L}\p{N} ]"
+MARK = r"[^\w\p{L}\p{N} ]"
+TOKEN = rf"[\w\p{{L}}\p{{N}}]+|{MARK}"
 # The same with the blank before it, so that joined pieces give the text back as it was spelled.
 PIECE = rf" ?(?:{TOKEN})"
 

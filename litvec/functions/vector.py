@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litvec.functions.columns import col, let
-from litvec.functions.text import tokens
+from litvec.functions.nearest import MIN_NORM
+from litvec.functions.text import MARK
 
-# Smallest divisors used when normalising and when averaging.
-MIN_NORM = 1e-12
+# Fixed value: smallest divisor used when averaging.
 MIN_WEIGHT = 1e-9
 
 
@@ -34,31 +36,33 @@ def parse_vector(text: Column | str) -> Column:
     return F.from_json(col(text), "array<double>")
 
 
-def token_buckets(text: Column | str, dim: int) -> Column:
-    """Bucket of every lower-case token: the first seven hex digits of its md5 modulo ``dim``."""
-    return F.transform(
-        tokens(F.lower(col(text))),
-        lambda t: (F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int") % F.lit(dim)).cast("int"),
-    )
+def bucket_of(token: str, dim: int) -> int:
+    """The first seven hex digits of the md5 of a token, modulo ``dim``; no bucket for an empty one."""
+    return int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % dim if token else -1
 
 
-def unit_counts(buckets: Column, dim: int) -> Column:
-    """Histogram of the buckets as a unit vector, one Arrow batch of rows at a time."""
+def hash_vector(text: Column | str, dim: int) -> Column:
+    """Counts of the lower-case tokens per bucket as a vector of unit length.
+
+    Needs no model and sees the whole text. Tokens are those of ``tokens``, found here by setting
+    every mark apart and splitting at white space: a batch of texts at once, in Arrow, so that Python
+    only sees each distinct token of a batch.
+    """
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def histogram(batch: pa.Array) -> pa.Array:
-        n = len(batch)
-        lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+    def counted(texts: pa.Array) -> pa.Array:
+        n = len(texts)
+        apart = pc.replace_substring_regex(pc.utf8_lower(texts), pattern=rf"({MARK})", replacement=r" \1 ")
+        lists = pc.utf8_split_whitespace(apart)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        cell = row * dim + batch.flatten().to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        buckets = np.array([bucket_of(t, dim) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+        bucket = buckets[coded.indices.to_numpy(zero_copy_only=False)]
+        cell = (row * dim + bucket)[bucket >= 0]
         counts = np.bincount(cell, minlength=n * dim).reshape(n, dim).astype(np.float64)
         counts /= np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), MIN_NORM)
         offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
         return pa.ListArray.from_arrays(offsets, pa.array(counts.ravel().astype(np.float32)))
 
-    return histogram(buckets)
-
-
-def hash_vector(text: Column | str, dim: int) -> Column:
-    """Bag-of-tokens vector of unit length; needs no model and sees the whole text."""
-    return unit_counts(token_buckets(text, dim), dim)
+    return counted(col(text))

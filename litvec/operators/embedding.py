@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litvec.functions import text as tx
-from litvec.functions.vector import MIN_NORM, hash_vector
+from litvec.functions.nearest import MIN_NORM
+from litvec.functions.vector import hash_vector
 from litvec.operators.pooling import pool_batch, weight_of
 
 # Most tokens a model takes per text; size of the vectors of the demo configuration.

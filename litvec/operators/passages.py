@@ -18,7 +18,7 @@ MIN_WORDS = 5
 UNKNOWN = "Unknown"
 
 # Passages of one group that are joined into one cell; a longer group goes on in its next part.
-PART_SIZE = 10_000
+PART_SIZE = 4096
 
 
 def section_of(pmcid: Column, infons: Column) -> Column:

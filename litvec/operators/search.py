@@ -6,119 +6,26 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litvec.functions.vector import MIN_NORM
-from litvec.runtime import stage
+from litvec.functions.nearest import Best, matrix_of, unit, with_vector
+from litvec.runtime import BROADCAST_ROWS, stage
 
 METRICS = ("COSINE", "IP", "L2")
 # Fixed value: hits per query of the demo configuration.
 DEMO_K = 10
 
-# Scores that agree in this many decimals are equal; the smaller id is then the nearer one.
-SCORE_DECIMALS = 9
-# Queries that travel to every task at once; more of them are searched block by block.
+# Queries travel to every task in blocks: this many at least, and more while they stay below the bytes.
 QUERY_BLOCK = 2048
-# Score cells held at a time inside a task.
-_CELLS = 1 << 22
+QUERY_BLOCK_BYTES = 64 << 20
 # On a cluster with this many task slots the hits of a query are merged in two steps.
 _MANY_SLOTS = 512
 _SALTS = 64
-# Hits up to this number are broadcast to fetch their fields; beyond it Spark joins as it sees fit.
-_BROADCAST_HITS = 200_000
-
-
-def matrix_of(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of equal length as a matrix of doubles."""
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
-
-
-def _with_vector(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Leave out rows without a vector. A filter before the scan would compute a lazy vector twice."""
-    return batch.filter(batch["vector"].is_valid()) if batch["vector"].null_count else batch
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), MIN_NORM)
-
-
-def _rough(corpus: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    """Score of every pair, higher is nearer, right to about eight decimals."""
-    dots = corpus @ queries.T
-    if metric != "L2":
-        return dots
-    squares = (corpus * corpus).sum(1)[:, None] + (queries * queries).sum(1)[None, :] - 2 * dots
-    return -np.sqrt(np.maximum(squares, 0))
-
-
-def _exact(corpus: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    """Score row by row; equal rows give equal scores wherever they stand."""
-    if metric == "L2":
-        gap = corpus - queries
-        score = -np.sqrt(np.einsum("ij,ij->i", gap, gap))
-    else:
-        score = np.einsum("ij,ij->i", corpus, queries)
-    return np.round(score, SCORE_DECIMALS)
-
-
-class _Best:
-    """The best ``k`` hits per query seen so far by one task."""
-
-    def __init__(self, queries: np.ndarray, k: int, metric: str):
-        self.metric, self.k = metric, k
-        self.queries = _unit(queries) if metric == "COSINE" else queries
-        self.longest = np.linalg.norm(self.queries, axis=1).max(initial=0.0)
-        self.floor = np.full(len(queries), -np.inf)
-        self.q = np.zeros(0, np.int64)
-        self.id = np.zeros(0, np.int64)
-        self.score = np.zeros(0)
-
-    def add(self, ids: np.ndarray, corpus: np.ndarray, which: np.ndarray | None = None) -> None:
-        """Take in corpus rows; ``which`` names the queries they are compared with."""
-        which = np.arange(len(self.queries)) if which is None else which
-        if not len(which) or not len(ids):
-            return
-        corpus = _unit(corpus) if self.metric == "COSINE" else corpus
-        queries = self.queries[which]
-        step = max(1, _CELLS // len(which))
-        for at in range(0, len(ids), step):
-            part = corpus[at : at + step]
-            rough = _rough(part, queries, self.metric)
-            floor = self.floor[which]
-            if len(part) >= self.k and not np.isfinite(floor).all():
-                kth = np.partition(rough, len(part) - self.k, axis=0)[len(part) - self.k]
-                floor = np.maximum(floor, kth)
-            row, q = np.nonzero(rough >= floor - self._slack(part))
-            self._merge(which[q], ids[at : at + step][row], _exact(part[row], queries[q], self.metric))
-
-    def _slack(self, corpus: np.ndarray) -> float:
-        """Room for rounding and for the error of the quick score, largest for distances near zero."""
-        longest = np.linalg.norm(corpus, axis=1).max(initial=0.0)
-        error = {"COSINE": 0.0, "IP": 1e-12 * longest * self.longest, "L2": 1e-6 * (longest + self.longest)}
-        return 10.0**-SCORE_DECIMALS * 10 + error[self.metric]
-
-    def _merge(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        q, ids = np.concatenate([self.q, q]), np.concatenate([self.id, ids])
-        score = np.concatenate([self.score, score])
-        order = np.lexsort((ids, -score, q))
-        q, ids, score = q[order], ids[order], score[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        keep = rank < self.k
-        self.q, self.id, self.score = q[keep], ids[keep], score[keep]
-        last = rank == self.k - 1
-        self.floor[q[last]] = score[last]
-
-    def hits(self, query_ids: pa.Array) -> pa.RecordBatch:
-        score = -self.score if self.metric == "L2" else self.score
-        columns = [query_ids.take(pa.array(self.q)), pa.array(self.id), pa.array(score)]
-        return pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
+# Every task passes on k hits per query. From this many hits on, fewer and longer tasks read the corpus.
+_MANY_HITS = 100_000
+_TASKS_PER_SLOT = 4
 
 
 def _rank(hits: DataFrame, k: int, metric: str) -> DataFrame:
@@ -138,9 +45,11 @@ def _blocks(queries: DataFrame) -> Iterator[pa.Table]:
     if head.num_rows <= QUERY_BLOCK:
         yield head
         return
-    # Half-full on average, so that an uneven hash still stays near the bound.
+    dim = len(head["vector"][0])
+    block = max(QUERY_BLOCK, QUERY_BLOCK_BYTES // (8 * dim))
+    # The hash spreads unevenly: aim at blocks that are three quarters full.
     staged = stage(queries, "queries")
-    n = -(-2 * staged.count() // QUERY_BLOCK)
+    n = -(-4 * staged.count() // (3 * block))
     for i in range(n):
         yield staged.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow()
 
@@ -157,7 +66,7 @@ def _search(
     queries: DataFrame,
     k: int,
     metric: str,
-    scan: Callable[[np.ndarray], tuple[DataFrame, Callable[[pa.RecordBatch, _Best], None]]],
+    scan: Callable[[np.ndarray], tuple[DataFrame, Callable[[pa.RecordBatch, Best], None]]],
 ) -> DataFrame:
     """``scan`` names the corpus rows to read for a block of queries and how a batch is compared."""
     hit = T.StructType(
@@ -175,11 +84,13 @@ def _search(
         rows, compare = scan(matrix)
 
         def local_top(batches, query_ids=query_ids, matrix=matrix, compare=compare):
-            best = _Best(matrix, k, metric)
+            best = Best(matrix, k, metric)
             for batch in batches:
                 compare(batch, best)
             yield best.hits(query_ids)
 
+        if len(matrix) * k > _MANY_HITS:
+            rows = rows.coalesce(_TASKS_PER_SLOT * rows.sparkSession.sparkContext.defaultParallelism)
         found = found.union(rows.mapInArrow(local_top, hit))
     return _rank(found, k, metric)
 
@@ -206,8 +117,8 @@ def knn(
     vectors = searched.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
 
     def scan(_matrix):
-        def compare(batch: pa.RecordBatch, best: _Best) -> None:
-            batch = _with_vector(batch)
+        def compare(batch: pa.RecordBatch, best: Best) -> None:
+            batch = with_vector(batch)
             best.add(batch["id"].to_numpy(zero_copy_only=False), matrix_of(batch["vector"]))
 
         return vectors, compare
@@ -217,7 +128,11 @@ def knn(
 
 
 def with_entity(
-    hits: DataFrame, corpus: DataFrame, fields: Sequence[str], id_col: str = "id", max_broadcast: int = _BROADCAST_HITS
+    hits: DataFrame,
+    corpus: DataFrame,
+    fields: Sequence[str],
+    id_col: str = "id",
+    max_broadcast: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add the named corpus columns of each hit as a struct ``entity``; unknown names are left out.
 
@@ -237,9 +152,12 @@ def entities(hits: DataFrame) -> DataFrame:
 
 def fit_cells(corpus: DataFrame, cells: int, seed: int = 42, vector_col: str = "vector", max_iter: int = 10) -> np.ndarray:
     """Unit centroids of a k-means over the corpus, one row per cell."""
-    unit = corpus.where(F.col(vector_col).isNotNull()).select(array_to_vector(F.col(vector_col)).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=max_iter).fit(unit)
-    return _unit(np.asarray(model.clusterCenters(), dtype=np.float64))
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = corpus.where(F.col(vector_col).isNotNull()).select(array_to_vector(F.col(vector_col)).alias("features"))
+    model = KMeans(k=cells, seed=seed, maxIter=max_iter).fit(vectors)
+    return unit(np.asarray(model.clusterCenters(), dtype=np.float64))
 
 
 def assign_cells(corpus: DataFrame, centroids: np.ndarray, vector_col: str = "vector", cell: str = "cell") -> DataFrame:
@@ -249,7 +167,7 @@ def assign_cells(corpus: DataFrame, centroids: np.ndarray, vector_col: str = "ve
     def nearest(vectors: pa.Array) -> pa.Array:
         if not len(vectors):
             return pa.array([], pa.int32())
-        return pa.array(np.argmax(_unit(matrix_of(vectors)) @ centroids.T, axis=1).astype(np.int32))
+        return pa.array(np.argmax(unit(matrix_of(vectors)) @ centroids.T, axis=1).astype(np.int32))
 
     return corpus.withColumn(cell, nearest(vector_col))
 
@@ -276,11 +194,11 @@ def knn_cells(
     )
 
     def scan(matrix):
-        near = np.argsort(-(_unit(matrix) @ centroids.T), axis=1, kind="stable")[:, :probes]
+        near = np.argsort(-(unit(matrix) @ centroids.T), axis=1, kind="stable")[:, :probes]
         probed = {int(c): np.nonzero((near == c).any(axis=1))[0] for c in np.unique(near)}
 
-        def compare(batch: pa.RecordBatch, best: _Best) -> None:
-            batch = _with_vector(batch)
+        def compare(batch: pa.RecordBatch, best: Best) -> None:
+            batch = with_vector(batch)
             cells = batch["cell"].to_numpy(zero_copy_only=False)
             ids, rows = batch["id"].to_numpy(zero_copy_only=False), matrix_of(batch["vector"])
             for c in np.unique(cells):

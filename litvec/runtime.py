@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Tables of ids and short fields are broadcast up to this counted number of rows, a few dozen megabytes.
+BROADCAST_ROWS = 200_000
+
 _local_dirs: dict[str, str] = {}
 
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from litvec.functions import nearest
 from litvec.operators import prompts, search
 
 
@@ -46,7 +47,10 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(4)
     corpus, queries = rng.normal(size=(150, 4)), rng.normal(size=(23, 4))
     monkeypatch.setattr(search, "QUERY_BLOCK", 5)
-    monkeypatch.setattr(search, "_CELLS", 40)
+    monkeypatch.setattr(search, "QUERY_BLOCK_BYTES", 0)
+    monkeypatch.setattr(nearest, "_ROWS", 6)
+    monkeypatch.setattr(nearest, "_QUERIES", 2)
+    monkeypatch.setattr(nearest, "_BUFFERED", 10)
     monkeypatch.setattr(search, "_MANY_SLOTS", 0)
     hits = search.knn(frame(spark, corpus), frame(spark, queries, "query_id"), 4)
     assert found(hits) == brute(corpus, queries, "COSINE", 4)
