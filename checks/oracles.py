@@ -246,7 +246,7 @@ QUALIFY row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) = 1""",
 SELECT o_custkey AS doc_id, min(o_orderkey) AS pos, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus,
   arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey""",
     "single_id_check": """
-SELECT source, min(lang) AS first_id, max(lang) AS last_id FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1""",
+SELECT source, count(DISTINCT lang) AS n_ids FROM documents GROUP BY source HAVING n_ids > 1""",
     "chunk_counts": f"WITH RECURSIVE {SECTION_CHUNKS} SELECT pmid, section, count(*) AS n FROM section_chunks GROUP BY ALL",
     "label_encode": "SELECT doc_id, lang, dense_rank() OVER (ORDER BY lang) - 1 AS code FROM documents",
     "label_decode": "SELECT doc_id, dense_rank() OVER (ORDER BY source) - 1 AS code, source FROM documents",

@@ -28,8 +28,8 @@ def query(function: Query) -> Query:
 
 
 def _cells(df: DataFrame, key: str, values: str) -> DataFrame:
-    """Vectors as one row per dimension."""
-    return df.select(key, F.posexplode(values).alias("dim", "value")).select(
+    """Vectors as one row per dimension. The outer form, as the other one would filter by a lazy vector first."""
+    return df.select(key, F.posexplode_outer(values).alias("dim", "value")).select(
         key, F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 6).alias("value")
     )
 

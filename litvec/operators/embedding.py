@@ -13,6 +13,7 @@ from litvec.functions import text as tx
 from litvec.functions.nearest import MIN_NORM
 from litvec.functions.vector import hash_vector
 from litvec.operators.pooling import pool_batch, weight_of
+from litvec.runtime import small_side
 
 # Most tokens a model takes per text; size of the vectors of the demo configuration.
 MAX_MODEL_TOKENS = 512
@@ -71,7 +72,7 @@ def truncate_mask(
         longest = df.groupBy(batch).agg(
             F.least(F.max(F.size(tx.tokens(text))), F.lit(max_tokens)).alias("_to")
         )
-        padded = cut.join(longest, batch)
+        padded = cut.join(small_side(longest, "longest"), batch)
     mask = F.concat(
         F.array_repeat(F.lit(1), F.col("_n")), F.array_repeat(F.lit(0), F.col("_to") - F.col("_n"))
     )

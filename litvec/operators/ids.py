@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litvec.runtime import stage
+from litvec.runtime import small_side, stage
 
 # monotonically_increasing_id() holds the partition in the upper bits and the row in the lower 33.
 _ROW_BITS = (1 << 33) - 1
@@ -46,10 +46,10 @@ def label_codes(df: DataFrame, label: str, code: str = "code") -> DataFrame:
 
 
 def encode_labels(df: DataFrame, label: str, code: str = "code") -> DataFrame:
-    """Add the code of each label. Spark broadcasts the codes only if their measured size is small."""
-    return df.join(label_codes(df, label, code), label, "left")
+    """Add the code of each label."""
+    return df.join(small_side(label_codes(df, label, code), "codes"), label, "left")
 
 
 def decode_labels(df: DataFrame, codes: DataFrame, code: str = "code") -> DataFrame:
     """Put the labels back: the inverse of ``encode_labels``."""
-    return df.join(codes, code, "left")
+    return df.join(small_side(codes, "codes"), code, "left")

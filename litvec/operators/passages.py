@@ -95,12 +95,8 @@ def collapse(
 
 
 def single_id_violations(passages: DataFrame, frame: str, doc_id: str) -> DataFrame:
-    """Frames that hold more than one id; smallest and largest decide, so partial sums stay tiny."""
-    return (
-        passages.groupBy(frame)
-        .agg(F.min(doc_id).alias("first_id"), F.max(doc_id).alias("last_id"))
-        .where(F.col("first_id") != F.col("last_id"))
-    )
+    """Frames that hold more than one id; pairs of frame and id are reduced before they are counted."""
+    return passages.groupBy(frame).agg(F.countDistinct(doc_id).alias("n_ids")).where(F.col("n_ids") > 1)
 
 
 def counts(df: DataFrame, *keys: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litvec.functions.nearest import Best, matrix_of, unit, with_vector
-from litvec.runtime import BROADCAST_ROWS, stage
+from litvec.runtime import BROADCAST_ROWS, small_side, stage
 
 METRICS = ("COSINE", "IP", "L2")
 # Fixed value: hits per query of the demo configuration.
@@ -136,13 +136,11 @@ def with_entity(
 ) -> DataFrame:
     """Add the named corpus columns of each hit as a struct ``entity``; unknown names are left out.
 
-    The hits are staged and counted: a small set goes to the corpus scan, not the corpus to it.
+    A small set of hits goes to the corpus scan, not the corpus to it.
     """
     known = [f for f in fields if f in corpus.columns]
-    staged = stage(hits, "hits")
-    small = F.broadcast(staged) if staged.count() <= max_broadcast else staged
     source = corpus.select(F.col(id_col).cast("long").alias("id"), F.struct(*known).alias("entity"))
-    return source.join(small, "id").select("query_id", "rank", "id", "score", "entity")
+    return source.join(small_side(hits, "hits", max_broadcast), "id").select("query_id", "rank", "id", "score", "entity")
 
 
 def entities(hits: DataFrame) -> DataFrame:

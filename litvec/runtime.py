@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Tables of ids and short fields are broadcast up to this counted number of rows, a few dozen megabytes.
 BROADCAST_ROWS = 200_000
@@ -44,6 +45,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, name: str = "side", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Side of a join, staged and counted: broadcast up to ``max_rows``, joined by shuffle beyond.
+
+    Without the count Spark may shuffle the large side by a hot key before it learns that the
+    other one is tiny.
+    """
+    staged = stage(df, name)
+    return F.broadcast(staged) if staged.count() <= max_rows else staged
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on a scan that has fewer splits than the session has task slots.
 

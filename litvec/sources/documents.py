@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litvec.runtime import BROADCAST_ROWS, stage
+from litvec.runtime import BROADCAST_ROWS, small_side
 
 # Field names of a document and of the response that wraps it.
 DOCUMENT = T.StructType(
@@ -85,12 +85,10 @@ def broken_files(
 def documents_of(documents: DataFrame, resolved: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """The documents whose files ``resolve_files`` chose, with their ``doc_id`` and position.
 
-    A list of up to ``max_broadcast`` files, counted first, goes to the document scan; a longer one
-    is joined by shuffle.
+    A short list of files goes to the document scan; a longer one is joined by shuffle.
     """
-    chosen = stage(resolved.select("pos", "doc_id", "path"), "resolved")
-    small = F.broadcast(chosen) if chosen.count() <= max_broadcast else chosen
-    return documents.join(small, "path").drop("path")
+    chosen = small_side(resolved.select("pos", "doc_id", "path"), "resolved", max_broadcast)
+    return documents.join(chosen, "path").drop("path")
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
