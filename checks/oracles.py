@@ -69,8 +69,7 @@ kept AS (SELECT * FROM cleaned WHERE section IN {SECTIONS} AND {n_words("sentenc
 
 COLLAPSED = f"""{KEPT},
 collapsed AS (
-  SELECT pmid, section, string_agg(sentence, ' ' ORDER BY index) AS text, count(*) AS n_passages,
-    arg_min(pmcid, index) AS pmcid_first, any_value(pmcid) AS pmcid, any_value(date) AS date,
+  SELECT pmid, section, string_agg(sentence, ' ' ORDER BY index) AS text, any_value(pmcid) AS pmcid, any_value(date) AS date,
     any_value(authors) AS authors, any_value(journal) AS journal
   FROM kept GROUP BY pmid, section)"""
 
@@ -233,10 +232,12 @@ SELECT doc_id, CASE WHEN lang = 'en' THEN source ELSE 'Unknown' END AS source,
 SELECT doc_id::VARCHAR AS pmid, source AS journal FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT pmid FROM kept)""",
     "first_n_docs": "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 15",
     "collapse_conversation": """
-SELECT conv_id, role, 0::BIGINT AS part, string_agg(text, ' ' ORDER BY turn) AS joined, count(*) AS n_passages
-FROM conversations GROUP BY conv_id, role""",
-    "collapse_documents": f"""WITH {COLLAPSED}
-SELECT pmid, section, 0::BIGINT AS part, text, n_passages, pmcid, epoch_us(date) AS date_us, authors, journal FROM collapsed""",
+SELECT conv_id, role, turn // 4096 AS part, string_agg(text, ' ' ORDER BY turn) AS joined, count(*) AS n_passages
+FROM conversations GROUP BY ALL""",
+    "collapse_documents": f"""WITH {KEPT}
+SELECT pmid, section, index // 4096 AS part, string_agg(sentence, ' ' ORDER BY index) AS text, count(*) AS n_passages,
+  any_value(pmcid) AS pmcid, epoch_us(any_value(date)) AS date_us, any_value(authors) AS authors, any_value(journal) AS journal
+FROM kept GROUP BY pmid, section, part""",
     "section_texts": f"""WITH {COLLAPSED}
 SELECT pmid, section, text, pmcid, epoch_us(date) AS date_us, authors, journal FROM collapsed""",
     "dedupe_text": """
