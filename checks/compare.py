@@ -18,13 +18,16 @@ TABLES = (
 )
 
 
-def oracle_rows(sf_dir: str, sql: str) -> tuple[list[str], list[tuple]]:
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+
+
+def oracle_rows(sf_dir: str, sql: str) -> tuple[list[str], list[str], list[tuple]]:
     connection = duckdb.connect()
     for name in TABLES.split():
         if Path(f"{sf_dir}/{name}.parquet").exists():
             connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     result = connection.execute(sql)
-    return [d[0] for d in result.description], result.fetchall()
+    return [d[0] for d in result.description], [str(d[1]) for d in result.description], result.fetchall()
 
 
 def _value(v):
@@ -45,7 +48,11 @@ def difference(spark: SparkSession, sf_dir: str, name: str) -> str | None:
     columns, rows = in_order(df.columns, [tuple(r) for r in df.collect()])
     if name not in ORACLES:
         return None if rows else "no rows"
-    expected_columns, expected = in_order(*oracle_rows(sf_dir, ORACLES[name]))
+    names, types, wanted = oracle_rows(sf_dir, ORACLES[name])
+    expected_columns, expected = in_order(names, wanted)
+    found_types = {c: SQL_TYPES.get(t, t) for c, t in df.dtypes}
+    if found_types != dict(zip(names, types)):
+        return f"types {found_types} expected {dict(zip(names, types))}"
     if columns != expected_columns:
         return f"columns {columns} expected {expected_columns}"
     if len(rows) != len(expected):
