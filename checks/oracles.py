@@ -208,6 +208,8 @@ SELECT pos, doc_id FROM wanted WHERE 'biocjson_' || doc_id || '.json' NOT IN (SE
 SELECT pmid, any_value(pmcid) AS pmcid, any_value(journal) AS journal, count(*) AS n_passages FROM passages GROUP BY pmid""",
     "passage_table_roundtrip": f"WITH {PASSAGES} SELECT {FLAT_COLUMNS} FROM passages",
     "embedding_tsv_roundtrip": VECTOR_CELLS,
+    "chunk_tsv_roundtrip": f"""WITH RECURSIVE {SECTION_CHUNKS}
+SELECT pmid, section, chunk_no::VARCHAR AS chunk_no, s.text, pmcid FROM section_chunks s JOIN collapsed USING (pmid, section)""",
     "collection_roundtrip": VECTOR_CELLS,
     "dimension_check": """
 SELECT 64::BIGINT AS dim, count(*) FILTER (len(embedding) <> 64) AS n FROM embeddings

@@ -107,11 +107,20 @@ def embedding_tsv_roundtrip(spark, sf_dir):
     return _cells(tables.read_embeddings_tsv(spark, path), "id", "vector")
 
 
+@query
+def chunk_tsv_roundtrip(spark, sf_dir):
+    path = staging_path(spark, "chunks-tsv")
+    chunks = chunking.to_chunks(st.articles(spark, sf_dir))
+    tables.write_table(chunks.select("pmid", "section", "chunk_no", "text", "pmcid"), path, "tsv")
+    return tables.read_tsv(spark, path)
+
+
 @query
 def collection_roundtrip(spark, sf_dir):
-    name = "c" + uuid.uuid4().hex
-    collections.write_collection(st.vectors(spark, sf_dir), "default", name, DIM)
-    return _cells(collections.open_collection(spark, "default", name), "id", "vector")
+    namespace = "checks_" + uuid.uuid4().hex
+    collections.ensure_namespace(spark, namespace, staging_path(spark, "collections"))
+    collections.write_collection(st.vectors(spark, sf_dir), namespace, "vectors", DIM)
+    return _cells(collections.open_collection(spark, namespace, "vectors"), "id", "vector")
 
 
 @query

@@ -73,7 +73,11 @@ class Best:
             for r in range(0, len(ids), rows):
                 part = slice(r, r + rows)
                 self._compare(ids[part], corpus[part], quick[part] @ queries, squares[part], tile)
-        if self.buffered > _BUFFERED + 2 * self.k * len(self.queries) or not np.isfinite(self.floor[which]).all():
+        without_floor = np.count_nonzero(np.isinf(self.floor[which]))
+        if (
+            self.buffered > _BUFFERED + 2 * self.k * len(self.queries)
+            or self.buffered >= self.k * without_floor > 0
+        ):
             self._reduce()
 
     def _compare(self, ids, corpus, scores, squares, tile) -> None:

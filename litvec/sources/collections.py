@@ -21,8 +21,10 @@ def _checked(vector: Column, dim: int) -> Column:
     )
 
 
-def ensure_namespace(spark: SparkSession, namespace: str) -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{namespace}`")
+def ensure_namespace(spark: SparkSession, namespace: str, location: str | None = None) -> None:
+    """Create the namespace if it is absent, in the warehouse or in a folder of its own."""
+    where = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{namespace}`{where}")
 
 
 def exists(spark: SparkSession, namespace: str, name: str) -> bool:

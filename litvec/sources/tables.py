@@ -36,6 +36,11 @@ def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by:
         raise ValueError(f"format must be 'parquet' or 'tsv': {format!r}")
 
 
+def read_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """Table written as text; every column is text, and empty cells are null."""
+    return spark.read.options(**_TSV).csv(path)
+
+
 def with_bucket(df: DataFrame, key: str, buckets: int, name: str = "doc_bucket") -> DataFrame:
     """Add a folder number of the key, for tables of many documents in few folders."""
     return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
@@ -52,7 +57,7 @@ def read_embeddings_tsv(spark: SparkSession, path: str) -> DataFrame:
 
     All other columns stay text, so ids keep their leading zeros.
     """
-    read = spark.read.options(**_TSV).csv(path)
+    read = read_tsv(spark, path)
     first = read.columns[0]
     rest = [c for c in read.columns[1:] if c != "embedding"]
     return read.select(
