@@ -16,11 +16,15 @@ _BUFFERED = 1 << 18
 
 
 def matrix_of(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of equal length as a matrix of doubles."""
+    """Vectors, none of them null, as a matrix of doubles; all must have the same length."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+    if not len(vectors):
+        return np.zeros((0, 0))
+    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    if (lengths != lengths[0]).any():
+        raise ValueError(f"vectors of different lengths: {sorted(set(lengths.tolist()))}")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
 def with_vector(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,7 +69,10 @@ def _search(
     metric: str,
     scan: Callable[[np.ndarray], tuple[DataFrame, Callable[[pa.RecordBatch, Best], None]]],
 ) -> DataFrame:
-    """``scan`` names the corpus rows to read for a block of queries and how a batch is compared."""
+    """``scan`` names the corpus rows to read for a block of queries and how a batch is compared.
+
+    A batch of another vector length than the queries fails the job.
+    """
     hit = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -78,6 +82,7 @@ def _search(
     )
     found = queries.sparkSession.createDataFrame([], hit)
     for block in _blocks(queries):
+        block = block.filter(pc.is_valid(block["vector"]))
         query_ids, matrix = block["query_id"].combine_chunks(), matrix_of(block["vector"])
         if not len(matrix):
             continue

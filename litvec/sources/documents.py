@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,11 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, one_per_file: bo
     )
 
 
+def _is_whole(length_of_field: Column) -> Column:
+    """True for a valid object. A field is looked at beside the corrupt column, which Spark does not scan alone."""
+    return F.col(_CORRUPT).isNull() & (F.coalesce(length_of_field, F.lit(-1)) >= -1)
+
+
 def read_documents(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
     """Documents of a folder with the path of their file; broken ones are left out.
 
@@ -53,7 +58,7 @@ def read_documents(spark: SparkSession, path: str, one_per_file: bool = True) ->
     form to keep large collections in.
     """
     read = _read(spark, path, DOCUMENT, one_per_file)
-    return read.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    return read.where(_is_whole(F.length("pmid"))).drop(_CORRUPT)
 
 
 def read_responses(
@@ -62,7 +67,7 @@ def read_responses(
     """First document of every landed response; responses without one give no row."""
     wrapped = T.StructType([T.StructField(envelope, T.ArrayType(DOCUMENT))])
     read = _read(spark, path, wrapped, one_per_file)
-    first = read.select(F.get(F.col(envelope), F.lit(0)).alias("d"), "path")
+    first = read.where(_is_whole(F.size(envelope))).select(F.get(F.col(envelope), F.lit(0)).alias("d"), "path")
     return first.where(F.col("d").isNotNull()).select("d.*", "path")
 
 

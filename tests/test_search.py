@@ -65,6 +65,15 @@ def test_fewer_rows_than_k_and_missing_vectors(spark):
     assert search.knn(corpus, query.where("query_id = ''")).count() == 0
 
 
+def test_other_dimension_fails(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0, 1.0]), (2, [1.0])], "id long, vector array<float>")
+    query = spark.createDataFrame([(1, [2.0, 1.0]), (2, None)], "query_id long, vector array<double>")
+    with pytest.raises(Exception, match="vectors of different lengths"):
+        search.knn(corpus.coalesce(1), query, 5).collect()
+    with pytest.raises(Exception, match="matmul"):
+        search.knn(corpus.where("id = 1"), query, 5).collect()
+
+
 def test_arguments(spark):
     df = frame(spark, np.eye(2))
     with pytest.raises(ValueError):

@@ -75,6 +75,7 @@ def test_unknown_match(spark):
 def test_documents_and_broken_files(spark, folder):
     read = documents.read_documents(spark, str(folder))
     assert sorted(r.pmid for r in read.collect()) == ["007", "007", "123", "1234"]
+    assert read.count() == 4
     broken = documents.broken_files(spark, str(folder)).collect()
     assert [r.path.rsplit("/", 1)[1] for r in broken] == ["biocjson_9.json"]
     flat = passages.flatten(read.where("pmid = '123'").drop("path")).first()
@@ -94,7 +95,11 @@ def test_envelope(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"PubTator3": [DOC, DOC | {"pmid": "2"}]}))
     (tmp_path / "b.json").write_text(json.dumps({"PubTator3": []}))
     (tmp_path / "c.json").write_text(json.dumps({"detail": "no such id"}))
-    assert [r.pmid for r in documents.read_responses(spark, str(tmp_path)).collect()] == ["1"]
+    (tmp_path / "d.json").write_text('{"PubTator3": [{"pmid": "3"')
+    read = documents.read_responses(spark, str(tmp_path))
+    assert [r.pmid for r in read.collect()] == ["1"] and read.count() == 1
+    broken = documents.broken_files(spark, str(tmp_path), envelope="PubTator3")
+    assert [r.path.rsplit("/", 1)[1] for r in broken.collect()] == ["d.json"]
 
 
 def test_documents_written_as_json(spark, tmp_path, folder):
