@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from litvec.functions.columns import col
+from litvec.functions.columns import col, let
 
 # The characters that count as white space when a text is stripped or split into words.
 WHITESPACE_CHARS = (
@@ -18,6 +20,8 @@ WHITESPACE_CHARS = (
 _LOW = "".join(rf"\x{ord(c):02X}" for c in WHITESPACE_CHARS if c < "\u0100")
 _HIGH = "".join(rf"\x{{{ord(c):X}}}" for c in WHITESPACE_CHARS if c >= "\u0100")
 _SPACE = rf"{_LOW}[\x{{1680}}-\x{{3000}}&&[{_HIGH}]]"
+# Holds all of them but blank, tab and line ends, and more: a text without any of these needs no pattern.
+_PERHAPS_SPACE = re.sub(r"\\x(09|0A|0D|20)", "", _LOW) + r"\x{1680}-\x{3000}"
 # The marks that may end a passage; any other ending gets a full stop.
 END_MARKS = ("!", ",", ".", "?", '"', "'")
 
@@ -34,7 +38,17 @@ def strip(text: Column | str) -> Column:
 
 
 def single_spaced(text: Column | str) -> Column:
-    return F.btrim(F.regexp_replace(col(text), f"[{_SPACE}]+", " "), F.lit(" "))
+    """White space of every kind and length as one blank. Most texts need no pattern for it."""
+    plain = col(text)
+    for c in "\n\t\r":
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    spaced = let(
+        plain,
+        lambda t: F.when(
+            t.contains("  ") | t.rlike(f"[{_PERHAPS_SPACE}]"), F.regexp_replace(t, f"[{_SPACE}]++", " ")
+        ).otherwise(t),
+    )
+    return F.btrim(spaced, F.lit(" "))
 
 
 def normalise_section(section: Column | str) -> Column:
@@ -59,7 +73,10 @@ def sentence_pieces(text: Column | str) -> Column:
     A sentence ends at ``.``, ``!`` or ``?`` before white space. All white space is a blank by
     then, so a newline can mark the borders.
     """
-    return F.split(F.regexp_replace(single_spaced(text), "([.!?]) ", "$1\n "), "\n")
+    marked = single_spaced(text)
+    for mark in ".!?":
+        marked = F.replace(marked, F.lit(f"{mark} "), F.lit(f"{mark}\n "))
+    return F.split(marked, "\n")
 
 
 def sentences(text: Column | str) -> Column:
