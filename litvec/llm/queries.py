@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from litvec.llm import exact, url_rules
+from litvec.llm import decontaminate, exact, near, sequences, toxicity, url_rules
+from pyspark.sql import functions as F
+
 from litvec.llm.common import Query, table
+from litvec.runtime import spread
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -17,11 +20,28 @@ URL_RULES = (
 )
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file of the public tokenizers, at the same path on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def documents(spark, sf_dir):
+    """Small tables are dealt to all cores; large ones stay as they are read."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
     return function
 
 
+@query
+def op2_packing(spark, sf_dir):
+    return sequences.digests(sequences.pack(documents(spark, sf_dir), vocabulary()))
+
+
 @query
 def op3_url_filters(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -55,6 +75,24 @@ FROM p
 """
 
 
+@query
+def op5_toxicity(spark, sf_dir):
+    rows = documents(spark, sf_dir)
+    model = toxicity.fit(rows, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return toxicity.toxicity(rows, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_decontamination(spark, sf_dir):
+    return decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_near_dedup(spark, sf_dir):
+    return near.near_duplicates(documents(spark, sf_dir))
+
+
 @query
 def op10_exact_dedup(spark, sf_dir):
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
