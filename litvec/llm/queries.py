@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from litvec.llm import decontaminate, exact, near, sequences, toxicity, url_rules
+from litvec.llm import chat, decontaminate, exact, near, pii, repeats, sequences, toxicity, url_rules, warc
 from pyspark.sql import functions as F
 
 from litvec.llm.common import Query, table
@@ -37,6 +37,11 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_pii(spark, sf_dir):
+    return pii.digests(pii.find_pii(documents(spark, sf_dir)))
+
+
 @query
 def op2_packing(spark, sf_dir):
     return sequences.digests(sequences.pack(documents(spark, sf_dir), vocabulary()))
@@ -75,6 +80,46 @@ FROM p
 """
 
 
+@query
+def op4_chat_formatting(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    back = chat.read_back(chat.formatted(chat.canonical_turns(chat.rows_to_records(rows))))
+    spoken = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(spoken, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("chat").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLES["op4_chat_formatting"] = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+    SELECT *,
+        regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g') AS safe_role,
+        regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g') AS safe_text
+    FROM c
+)
+SELECT conv_id,
+    count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length('<|turn|>' || safe_role || '<|text|>' || safe_text || '<|end|>'))::BIGINT AS formatted_chars
+FROM e
+GROUP BY conv_id
+"""
+
+
 @query
 def op5_toxicity(spark, sf_dir):
     rows = documents(spark, sf_dir)
@@ -93,6 +138,47 @@ def op7_near_dedup(spark, sf_dir):
     return near.near_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op8_suffix_dedup(spark, sf_dir):
+    return repeats.digests(repeats.remove_repeats(documents(spark, sf_dir)))
+
+
+@query
+def op9_warc(spark, sf_dir):
+    archives = warc.write_archives(spread(table(spark, sf_dir, "pages")))
+    number = lambda c: F.regexp_extract(c, r"urn:page:(-?[0-9]+)", 1).try_cast("long")
+    return (
+        warc.read_archives(archives, payloads=False)
+        .where("gap is null")
+        .select(
+            number("record_id").alias("page_id"),
+            "payload_bytes",
+            "payload_digest",
+            "record_type",
+            number("refers_to").alias("refers_to"),
+        )
+    )
+
+
+ORACLES["op9_warc"] = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, encode(coalesce(html, '')) AS payload FROM pages
+), g AS (
+    SELECT *, max(page_id) OVER (PARTITION BY html) AS keeper,
+        [('0x' || substr(hex, 5 * i + 1, 5))::INTEGER FOR i IN range(8)] AS parts
+    FROM p
+)
+SELECT page_id,
+    octet_length(payload)::BIGINT AS payload_bytes,
+    array_to_string([
+        array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1) FOR s IN [15, 10, 5, 0]], '')
+        FOR v IN parts], '') AS payload_digest,
+    CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM g
+"""
+
+
 @query
 def op10_exact_dedup(spark, sf_dir):
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
