@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litvec.llm.common import text_or_empty
-from litvec.runtime import stage
+from litvec.runtime import small_side, stage
 
-FIT_ROWS = 12_000  # labelled rows that the fit reads at most, by the order of a hash of their id
+FIT_ROWS = 8_000  # labelled rows that the fit reads at most, by the order of a hash of their id
 EVIDENCE = 30.0  # a term's log-likelihood ratio against chance
 PURITY = 20.0  # how much likelier a term is in toxic rows
 STEMS = (4, 5, 6, 7)  # beginnings of words that stand for their inflections
@@ -65,7 +65,7 @@ def _since(symbol: int):
     return 0, step
 
 
-def _terms():
+def _hits():
     """Output: 0 nothing, 1 an insult, 2 a threat."""
 
     def step(state: int, seen: int) -> tuple[int, int]:
@@ -91,7 +91,7 @@ def compose(*machines) -> tuple[dict, tuple]:
     return arcs, start
 
 
-ARCS, START = compose(_terms(), _reach(TARGET), _reach(NEGATION), _since(REPORT))
+ARCS, START = compose(_hits(), _reach(TARGET), _reach(NEGATION), _since(REPORT))
 
 # Kinds of matched clauses: insult or threat, aimed, negated, reported; weights before the fit.
 KINDS = [(t, a, n, r) for t in (1, 2) for a in (0, 1) for n in (0, 1) for r in (0, 1)]
@@ -101,7 +101,7 @@ _AT = {kind: i for i, kind in enumerate(KINDS)}
 
 @dataclass(frozen=True)
 class Model:
-    """Learned terms, by full word and by beginning, and the weights of clause kinds, length and bias."""
+    """Learned terms, by full word and by beginning, and the weights of the features."""
 
     words: frozenset[str]
     stems: tuple[tuple[int, frozenset[str]], ...]
@@ -112,7 +112,7 @@ class Model:
 
 
 def matches(model: Model, text: str) -> np.ndarray:
-    """Number of matched clauses of each kind; a clause counts by its strongest match."""
+    """Matches in clauses of each kind; a clause is of the kind of its strongest match."""
     counts = np.zeros(len(KINDS))
     lower = text.lower()
     distinct = set(WORDS.findall(lower))
@@ -123,21 +123,24 @@ def matches(model: Model, text: str) -> np.ndarray:
         return counts
     for clause in CLAUSES.split(lower):
         words = WORDS.findall(clause)
-        states, best = START, None
+        states, best, hits = START, None, 0
         for word in words:
             symbol = INSULT if word in terms else _FIXED.get(word, OTHER)
             states, (term, aimed, negated, reported) = ARCS[states, symbol]
             if term:
+                hits += 1
                 kind = _AT[term, aimed, negated, reported]
                 if best is None or PRIOR[kind] > PRIOR[best]:
                     best = kind
         if best is not None:
-            counts[best] += 1
+            counts[best] += hits
     return counts
 
 
 def _features(counts: np.ndarray, words: int) -> np.ndarray:
-    return np.concatenate([np.log1p(counts), [np.log1p(words) * (counts.sum() > 0), 1.0]])
+    """Matches by kind, matches in a hundred words, the length if there are matches, and the bias."""
+    found = counts.sum()
+    return np.concatenate([np.log1p(counts), [np.log1p(100 * found / words), np.log1p(words) * (found > 0), 1.0]])
 
 
 def score(model: Model, text: str) -> float:
@@ -148,8 +151,8 @@ def score(model: Model, text: str) -> float:
 def _fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps; each weight has a normal prior around its first value."""
     rate = (y.sum() + 0.5) / (len(y) + 1.0)
-    prior = np.concatenate([PRIOR, [0.0, np.log(rate / (1 - rate))]])
-    precision = np.concatenate([np.full(len(PRIOR) + 1, 0.25), [0.02]])
+    prior = np.concatenate([PRIOR, [0.0, 0.0, np.log(rate / (1 - rate))]])
+    precision = np.concatenate([np.full(len(PRIOR) + 2, 0.25), [0.02]])
     w = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -176,27 +179,38 @@ def _sample(documents: DataFrame, labels: DataFrame, rows: int, doc_id: str, tex
     return own.join(F.broadcast(picked), "doc_id").select("text", "toxic")
 
 
+def _words(sample: DataFrame) -> DataFrame:
+    """Every word with its neighbours."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    around = F.arrays_zip(
+        F.concat(F.array(F.lit("")), F.col("w")).alias("before"), F.col("w").alias("word"), F.expr("slice(w, 2, size(w))").alias("after")
+    )
+    return sample.select(words.alias("w")).select(F.inline(around)).where("word is not null").toDF("before", "word", "after")
+
+
+def _terms(words: DataFrame, *others: str) -> DataFrame:
+    """The word and its beginnings, marked by their length; a full word by 0."""
+    cut = [F.when(F.length("word") >= n, F.concat(F.lit(f"{n}:"), F.substring("word", 1, n))) for n in STEMS]
+    whole = F.concat(F.lit("0:"), "word")
+    return words.select(*others, F.explode(F.array_compact(F.array(whole, *cut))).alias("term"))
+
+
 def learned_terms(sample: DataFrame) -> DataFrame:
-    """Words and beginnings of words with the number of different contexts in toxic and other rows.
+    """Words and beginnings of words: in how many contexts of toxic rows (``t``), how often in others (``c``).
 
-    A context is the word with its neighbours, so a text with many copies gives one.
+    A context is the word with its neighbours, so a toxic text with many copies gives one. A
+    beginning stands for several words; one that is nearly always the same word is left to it.
     """
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    context = F.col("c")
-    cut = [F.when(F.length("word") >= n, F.concat(F.lit(f"{n}:"), F.substring("word", 1, n))) for n in STEMS]
-    return (
-        sample.select("toxic", words.alias("w"))
-        .select(
-            "toxic",
-            F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), F.col("w")), F.col("w"), F.expr("slice(w, 2, size(w))"))).alias("c"),
-        )
-        .select("toxic", context["0"].alias("before"), context["w"].alias("word"), context["2"].alias("after"))
-        .where("word is not null")
-        .distinct()
-        .select("toxic", F.explode(F.array_compact(F.array(F.concat(F.lit("0:"), "word"), *cut))).alias("term"))
+    by_word = _words(sample.where("toxic = 1")).distinct().groupBy("word").agg(F.count("*").alias("n"))
+    found = (
+        _terms(by_word, "n")
         .groupBy("term")
-        .agg(F.sum((F.col("toxic") == 1).cast("long")).alias("t"), F.sum((F.col("toxic") != 1).cast("long")).alias("c"))
+        .agg(F.sum("n").alias("t"), F.max("n").alias("top"))
+        .where("t >= 4 and (term like '0:%' or top <= 0.8 * t)")
     )
+    found = small_side(found.select("term", "t"), "terms")
+    others = _terms(_words(sample.where("toxic <> 1"))).join(found.select("term"), "term").groupBy("term")
+    return found.join(others.agg(F.count("*").alias("c")), "term", "left").fillna(0, ["c"])
 
 
 def fit(
@@ -209,8 +223,8 @@ def fit(
     """
     sample = stage(_sample(documents, labels, rows, doc_id, text), "labelled")
     terms = learned_terms(sample)
-    whole = terms.where("term like '0:%'").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
-    all_t, all_c = max(1, whole.t or 0), max(1, whole.c or 0)
+    all_t = max(1, _words(sample.where("toxic = 1")).distinct().count())
+    all_c = max(1, _words(sample.where("toxic <> 1")).count())
     share = all_t / (all_t + all_c)
     n, t = F.col("t") + F.col("c"), F.col("t").cast("double")
     ratio = 2 * (
@@ -230,7 +244,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1).cast("double")], ["x", "y"])
 
     seen = sample.mapInArrow(features, "x array<double>, y double").toPandas()
-    x = np.array(seen["x"].tolist(), float).reshape(len(seen), len(KINDS) + 2)
+    x = np.array(seen["x"].tolist(), float).reshape(len(seen), len(KINDS) + 3)
     weights = _fit_weights(x, (seen["y"].to_numpy(float) == 1).astype(float))
     return Model(model.words, model.stems, tuple(weights))
 
