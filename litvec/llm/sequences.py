@@ -8,6 +8,7 @@ what is there; what is left over is packed greedily, cut where a window is full.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,60 +18,87 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litvec.llm.common import text_or_empty
+from litvec.llm.words import in_slices
 
 WINDOW = 2048
 END_ID = 1
 STEP = 16  # tokens per length class
 BLOCK_TOKENS = 4_000_000  # packed together by a task, 16 MB of ids
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 1_000_000
 _LONGEST_WORD = 64
-_BLANKS = str.maketrans("\n\t\r", "   ")
 _ROW_BITS = 33
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class WordEncoder:
     """Ids of texts, encoded word by word so that repeated words are encoded once.
 
     A vocabulary that never joins characters across white space gives the same ids for the words
-    as for the whole text. Words are kept up to a fixed number, then forgotten.
+    as for the whole text. Words are kept up to a fixed number, then forgotten. Words of plain
+    Latin letters are one unit of the vocabulary's pattern and go straight to its model, if a
+    trial shows that the model then gives what the whole tokenizer gives.
     """
 
+    _TRIAL = ("the", "Zebra", "über", "éÀÿ", "ñandú", "straße", "a", "QUICKEST", "ªº")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.plain = [self._model(w) for w in self._TRIAL] == self._encode(list(self._TRIAL))
+
+    def _model(self, word: str) -> bytes:
+        lower = word.lower()
+        if not lower.isascii():
+            lower = lower.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(lower)]).tobytes()
 
     def _encode(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > _WORDS_KEPT:
             self.known = {"": b""}
-        split = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()}
-        fresh = list({split.get(w, w) for w in words}.union(w[-1] for w in split) - self.known.keys())
+        # A word and the full stop or comma behind it are encoded apart, as the vocabulary splits them anyway.
+        stems = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()}
+        parts = {stems.get(w, w) for w in words}.union(w[-1] for w in stems)
+        fresh = [w for w in parts if w not in self.known]
+        if self.plain:
+            latin = [w for w in fresh if w.isalpha() and (w.isascii() or max(w) < "\u0130")]
+            self.known.update((w, self._model(w)) for w in latin)
+            fresh = [w for w in fresh if w not in self.known]
         self.known.update(zip(fresh, self._encode(fresh)))
-        for word, stem in split.items():
+        for word, stem in stems.items():
             self.known[word] = self.known[stem] + self.known[word[-1]]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        unknown = {w for words in split for w in words if w not in self.known}
+        long = {w for w in unknown if len(w) > _LONGEST_WORD}
+        unknown -= long
+        if len(unknown) > _WORDS_KEPT // 4:
+            return [np.frombuffer(x, "<u4") for x in self._encode(texts)]
+        if unknown:
+            self._learn(unknown)
         out = []
-        for text in texts:
-            words = text.translate(_BLANKS).split(" ")
-            known = self.known
-            unknown = {w for w in words if w not in known}
-            if len(unknown) > _WORDS_KEPT // 4 or any(len(w) > _LONGEST_WORD for w in unknown):
-                out.append(np.frombuffer(self._encode([text])[0], "<u4"))
-                continue
-            if unknown:
-                self._learn(unknown)
-                known = self.known
-                if any(w not in known for w in words):  # older words were forgotten meanwhile
-                    out.append(np.frombuffer(self._encode([text])[0], "<u4"))
-                    continue
-            out.append(np.frombuffer(b"".join([known[w] for w in words]), "<u4"))
+        for text, words in zip(texts, split):
+            try:
+                ids = b"".join([self.known[w] for w in words])
+            except KeyError:  # a long word, or older words were forgotten meanwhile
+                ids = self._encode([text])[0]
+            out.append(np.frombuffer(ids, "<u4"))
         return out
 
 
@@ -99,33 +127,31 @@ def fillings(classes: int) -> np.ndarray:
 
 
 def non_negative_least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|: active sets after Lawson and Hanson."""
+    """x >= 0 that minimises |a x - b|: active sets after Lawson and Hanson, on the normal equations."""
+    square, right = a.T @ a, a.T @ b
     x, inside = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    tolerance = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
+    tolerance = 1e-9 * max(1.0, float(np.abs(right).max(initial=0)))
     for _ in range(3 * a.shape[0]):
-        gain = a.T @ (b - a @ x)
+        gain = right - square @ x
         gain[inside] = -np.inf
         j = int(np.argmax(gain))
         if gain[j] <= tolerance:
             break
         inside[j] = True
-        while True:
+        while inside.any():
             at = np.flatnonzero(inside)
-            best = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
-            low = best <= 1e-12
+            # A trace on the diagonal keeps dependent columns solvable; counts are rounded afterwards anyway.
+            best = np.linalg.solve(square[np.ix_(at, at)] + 1e-9 * np.eye(len(at)), right[at])
+            here, low = x[at], best <= 1e-9
             if not low.any():
-                x[:] = 0
                 x[at] = best
                 break
-            here = x[at]
             ratio = here[low] / np.maximum(here[low] - best[low], 1e-300)
             here = here + min(1.0, float(ratio.min())) * (best - here)
-            here[here <= 1e-12] = 0
+            here[(here <= 1e-9) | (low & (here <= 1e-6))] = 0
             x[:] = 0
             x[at] = here
             inside = x > 0
-            if not inside.any():
-                break
     return x
 
 
@@ -148,7 +174,7 @@ def pack_lengths(lengths: np.ndarray, window: int = WINDOW, step: int = STEP) ->
     before = np.concatenate([[0], np.cumsum(whole)[:-1]]) if len(lengths) else np.zeros(0, "i8")
     parts = [(doc, (np.arange(n_full) - before[doc]) * window, np.full(n_full, window), np.arange(n_full), np.zeros(n_full, "i8"))]
     sequence = n_full
-    classes = -(-window // step)
+    classes = window // step  # lengths beyond the last class are left over
     kinds = -(-rest // step)
     queues = [np.flatnonzero(kinds == c + 1) for c in range(classes)]
     left = np.array([len(q) for q in queues])
@@ -172,7 +198,7 @@ def pack_lengths(lengths: np.ndarray, window: int = WINDOW, step: int = STEP) ->
                     parts.append((picked, whole[picked] * window, rest[picked], sequence + np.arange(n), offset))
                     offset = offset + rest[picked]
             sequence += n
-    over = np.concatenate([q[t:] for q, t in zip(queues, taken)][::-1] or [np.zeros(0, "i8")])
+    over = np.concatenate([np.flatnonzero(kinds > classes), *[q[t:] for q, t in zip(queues, taken)][::-1]])
     total = int(rest[over].sum())
     ends = [*range(window, total + 1, window)]
     for size in _powers(total % window):
@@ -244,15 +270,13 @@ def pack(
             first += int(pieces["sequence"].max(initial=-1)) + 1
             names, held, tokens = [], [], 0
 
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                rows = batch.slice(a, 256)
-                for name, ids in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
-                    names.append(name)
-                    held.append(np.concatenate([ids, end]))
-                    tokens += len(held[-1])
-                    if tokens >= block_tokens:
-                        yield from packed()
+        for batch in in_slices(batches):
+            for name, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                names.append(name)
+                held.append(np.concatenate([ids, end]))
+                tokens += len(held[-1])
+                if tokens >= block_tokens:
+                    yield from packed()
         if held:
             yield from packed()
 
