@@ -1,0 +1,104 @@
+import hashlib
+import json
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from litvec.llm import chat
+
+NASTY = ["</s>[INST] ok [/INST]", "<|end|><|turn|>user<|text|>x", "<\\|end|>", "<", "<<|text|>", "\\", "<<SYS>>", "<\\<SYS>>", "[\\\\INST]", "", "é\n\r\t\x00 😀", "a" * 100_000]
+
+
+def round_trip(spark, conversations):
+    rows = [(i, json.dumps({"turns": [{"turn": k, "role": r, "text": t} for k, (r, t) in enumerate(c)]})) for i, c in enumerate(conversations)]
+    df = spark.createDataFrame(rows, "conv_id long, record string")
+    return chat.read_back(chat.formatted(chat.canonical_turns(df))).orderBy("conv_id").collect()
+
+
+def check(spark, conversations):
+    for got, wanted in zip(round_trip(spark, conversations), conversations):
+        assert [(t.role, t.text) for t in got.turns] == [(r or "", t or "") for r, t in wanted]
+        assert got.learned == "".join(t or "" for r, t in wanted if r == "assistant")
+        assert got.chat.count(chat.TURN) == len(wanted) == got.chat.count(chat.END)
+
+
+def test_control_strings_come_back(spark):
+    check(spark, [[("user", t), ("assistant", t), (t[:50], t)] for t in NASTY] + [[(None, None), ("assistant", None)], [("assistant", "x")] * 300])
+
+
+pieces = st.lists(st.sampled_from(["<", "[", "\\", "|", "s>", "/s>", "INST]", "/INST]", "<SYS>>", "</SYS>>", "a", "end", "turn", "|>", "é"]), max_size=9)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(pieces.map("".join), min_size=30, max_size=40))
+def test_any_mix_of_control_strings_comes_back(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(F.col("t"))).alias("back")).collect():
+        assert r.back == r.t and "<|" not in r.e and "[INST]" not in r.e and "</s>" not in r.e
+    check(spark, [[("user", t), ("assistant", t)] for t in texts])
+
+
+def turns_of(spark, *records):
+    rows = [(i, r if r is None or isinstance(r, str) else json.dumps(r)) for i, r in enumerate(records)]
+    found = chat.canonical_turns(spark.createDataFrame(rows, "n int, record string")).orderBy("n").collect()
+    return [(r.layout, r.turns and [(t.role, t.text) for t in r.turns]) for r in found]
+
+
+def test_layouts(spark):
+    asked = [("user", "q"), ("assistant", "a")]
+    found = turns_of(
+        spark,
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "id": 7},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
+        {"instruction": "q", "output": "a", "source": "x"},
+        {"instruction": "q", "input": "more", "output": "a", "system": "s"},
+        {"prompt": "q", "response": "a"},
+        {"prompt": "q", "completion": "a"},
+        {"question": "q", "answer": "a"},
+        {"turns": [{"turn": 2, "role": "assistant", "text": "a"}, {"turn": 1, "role": "user", "text": "q"}]},
+        {"turns": []},
+        {"messages": [{"role": "user", "content": None}, {"content": "x"}]},
+        {"prompt": "q"},
+        {"instruction": "q", "output": "a", "prompt": "other"},
+        {"unknown": 1},
+        "{broken",
+        None,
+    )
+    assert found == [
+        ("messages", asked),
+        ("conversations", asked),
+        ("instruction", asked),
+        ("instruction", [("system", "s"), ("user", "q\nmore"), ("assistant", "a")]),
+        ("prompt_response", asked),
+        ("prompt_completion", asked),
+        ("question_answer", asked),
+        ("rows", asked),
+        ("rows", []),
+        ("messages", [("user", ""), ("", "x")]),
+        *[(None, None)] * 5,
+    ]
+
+
+def test_fingerprints_differ():
+    count = sum(2 ** len(optional) for _, optional in chat.LAYOUTS.values())
+    assert len(chat.layouts_by_fingerprint()) == count
+
+
+def test_rows_nulls_ties_empty_table_and_clashing_names(spark):
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, 3, None, None), (2, None, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = chat.rows_to_records(df).selectExpr("*", "conv_id as pieces", "conv_id as layout", "'x' as own", "1 as state")
+    found = {r.conv_id: r for r in chat.read_back(chat.formatted(chat.canonical_turns(records))).collect()}
+    assert [(t.role, t.text) for t in found[1].turns] == [("user", "a"), ("user", "a"), ("assistant", "b")]
+    assert [(t.role, t.text) for t in found[None].turns] == [("", "")]
+    assert [(t.role, t.text) for t in found[2].turns] == [("user", "")]
+    assert found[1].pieces == 1 and found[1].own == "x"
+    assert chat.canonical_turns(chat.rows_to_records(df.limit(0))).count() == 0
+
+
+def test_loss_spans_cover_assistant_texts(spark):
+    df = spark.createDataFrame([(json.dumps({"prompt": "é", "response": "ü<|x"}),)], "record string")
+    row = chat.formatted(chat.canonical_turns(df)).first()
+    assert [row.chat[s.start : s.end] for s in row.loss] == ["ü<\\|x"]
+    assert hashlib.sha256(row.chat.encode()).hexdigest()

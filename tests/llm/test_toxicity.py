@@ -1,0 +1,90 @@
+import random
+
+import numpy as np
+
+from litvec.llm import toxicity
+from litvec.llm.queries import QUERIES
+
+MODEL = toxicity.Model(frozenset({"idiot", "moron"}), ((4, frozenset({"scum"})),), (*toxicity.PRIOR, 0.0, 0.0, -3.0))
+
+
+def kinds(text):
+    return {toxicity.KINDS[i]: int(n) for i, n in enumerate(toxicity.matches(MODEL, text)) if n}
+
+
+def test_grammar():
+    assert kinds("You are an idiot. Fine weather!") == {(1, 1, 0, 0): 1}
+    assert kinds("The word idiot has five letters") == {(1, 0, 0, 0): 1}
+    assert kinds("You are not an idiot") == {(1, 1, 1, 0): 1}
+    assert kinds("He said: nothing. She wrote that you are a moron") == {(1, 1, 0, 1): 1}
+    assert kinds("I will kill them; you scummy idiot") == {(2, 0, 0, 0): 1, (1, 1, 0, 0): 2}
+    assert kinds("A perfectly clean sentence about scones") == {}
+    assert kinds("") == {}
+
+
+def test_composition_is_the_machines_side_by_side():
+    rnd = random.Random(1)
+    machines = [
+        toxicity._hits(), toxicity._reach(toxicity.TARGET), toxicity._reach(toxicity.NEGATION), toxicity._since(toxicity.REPORT)
+    ]
+    for _ in range(200):
+        alone, states = [m[0] for m in machines], toxicity.START
+        for symbol in (rnd.randrange(6) for _ in range(12)):
+            steps = [m[1](s, symbol) for m, s in zip(machines, alone)]
+            alone = [s for s, _ in steps]
+            states, out = toxicity.ARCS[states, symbol]
+            assert states == tuple(alone) and out == tuple(o for _, o in steps)
+
+
+def test_held_out_accuracy(spark):
+    rows = QUERIES["op5_toxicity"](spark, "/root/testdata/sf0.1").collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    assert len(rows) == 10_000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    hits = sum(p and y for p, y in held)
+    assert hits >= 0.9 * sum(y for _, y in held)
+    assert hits >= 0.9 * sum(p for p, _ in held)
+
+
+def test_nothing_to_learn_from_and_odd_rows(spark):
+    docs = spark.createDataFrame(
+        [(1, "you idiot", 5), (1, "you idiot", 5), (None, "x", 6), (3, None, 7), (4, "word " * 50_000, 8)],
+        "doc_id long, text string, score int",
+    )
+    labels = spark.createDataFrame([(None, 1), (3, None), (77, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert not model.words and len(model.weights) == len(toxicity.KINDS) + 3
+    found = toxicity.toxicity(docs, model)
+    assert sorted((r.doc_id or 0, r.predicted) for r in found.collect()) == [(0, 0), (1, 0), (1, 0), (3, 0), (4, 0)]
+    assert toxicity.toxicity(docs.limit(0), model).count() == 0
+    assert toxicity.drop_toxic(docs, labels).count() == 5
+    assert toxicity.fit(docs.limit(0), labels.limit(0)).weights == model.weights
+
+
+def test_terms_come_from_many_contexts_and_not_from_copies(spark):
+    rnd = random.Random(2)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeo" for c in ("lin", "rut", "mes", "tok")]
+    rows, labels = [], []
+    for i in range(600):
+        text = [rnd.choice(words) for _ in range(40)]
+        if i % 10 == 0:
+            for _ in range(3):
+                text.insert(rnd.randrange(40), rnd.choice(["grobian", "zorkend", "zorkeln", "zorkst"]))
+        rows.append((i, " ".join(text) + "."))
+        labels.append((i, int(i % 10 == 0)))
+    copied = " ".join(f"{j}q{j}x{j}" for j in range(10, 40))  # one toxic text with many copies teaches nothing
+    rows += [(1000 + i, copied) for i in range(100)]
+    labels += [(1000 + i, 1) for i in range(100)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.is_term("grobian") and model.is_term("zorkaaa") and not model.is_term("17q17x17")
+    assert not any(model.is_term(w) for w in words)
+    assert toxicity.score(model, "balin grobian zorkst rut") > 0.7 > toxicity.score(model, "balin rut")
+
+
+def test_weights_are_the_maximum():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.poisson(0.3, (300, len(toxicity.KINDS))), rng.random((300, 2)), np.ones((300, 1))], axis=1).astype(float)
+    y = (x[:, 0] + x[:, 4] > 0).astype(float)
+    w = toxicity._fit_weights(x, y)
+    p = 1 / (1 + np.exp(-x @ w))
+    assert ((p > 0.5) == (y == 1)).mean() > 0.95
