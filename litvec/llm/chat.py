@@ -121,7 +121,7 @@ def canonical_turns(df: DataFrame, json: str = "record") -> DataFrame:
 
 def _others(df: DataFrame, *replaced: str) -> list[Column]:
     """The caller's columns, packed in ``own`` so that no name of theirs meets one of ours."""
-    return [F.col("own").getField(c).alias(c) for c in df.columns if c not in replaced]
+    return [F.col("own").getField(c).alias(c) for c in df.columns if c.lower() not in replaced]
 
 
 def rows_to_records(rows: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -108,5 +108,5 @@ def exact_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def drop_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns; ids must be unique, rows without an id stay."""
-    gone = exact_duplicates(df, doc_id, text).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return df.join(stage(gone, "gone"), F.col(doc_id) == F.col("gone_id"), "left_anti")
+    gone = exact_duplicates(df, doc_id, text).where("not kept").select(F.col("doc_id").alias(doc_id))
+    return df.join(stage(gone, "gone"), doc_id, "left_anti").select(*df.columns)

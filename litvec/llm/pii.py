@@ -29,7 +29,8 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 # Tokens that may be identifiers hold a digit or an @; punctuation around them is not part of them.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-_TRIM_LEFT, _TRIM_RIGHT = r"^[\"'(\[<{,;:!?]+", r"[\"')\]>},;:!?.]+$"
+_TRIM_LEFT, _TRIM_RIGHT = r"^[\"'(\[<{,;:!?]++", r"(?<![\"')\]>},;:!?.])[\"')\]>},;:!?.]++$"
+LONGEST = 128  # characters of a token that only its context shows to be an identifier
 TURNS = 3
 SUPPORT = 5  # different seeds that a pattern must have met
 CONFIDENCE = 0.8
@@ -124,8 +125,9 @@ def _shape(token: Column) -> Column:
     """The kind that a token may be by its characters alone, else null."""
     digits = F.length(_digits(token))
     return (
-        F.when(F.contains(token, F.lit("@")), "email")
-        .when(token.rlike(r"^[0-9]+(\.[0-9]+){2,}$"), "ip")
+        F.when(F.length(token) > LONGEST, None)
+        .when(F.contains(token, F.lit("@")), "email")
+        .when(token.rlike(r"^[0-9]++(?:\.[0-9]++){2,}+$"), "ip")
         .when(token.rlike("^[0-9 -]+$") & (digits >= 12), "card")
         .when(token.rlike("^[+0-9().-]+$") & digits.between(7, 15), "phone")
     )

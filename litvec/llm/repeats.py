@@ -97,7 +97,7 @@ def _found_batch(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, _FOUND_NAMES)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Anchors of a task's documents. Of those that serve equal bytes in a block only the first is passed on."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
@@ -131,7 +131,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(found[0]):
                 held.append((*found, np.full(len(found[0]), doc, "i8")))
             size += len(data)
-            if size >= BLOCK and held:
+            if size >= block and held:
                 yield from combined()
                 held, size = [], 0
     if held:
@@ -274,10 +274,10 @@ def repeats_of(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, befores:
             stack.append((depth, begin))
 
 
-def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tree(batches: Iterator[pa.RecordBatch], group: int = GROUP) -> Iterator[pa.RecordBatch]:
     """Bytes of occurrences that are not the first of their repeat, from contexts sorted by key.
 
-    Keys with more variants than GROUP are passed on as they are, without start and stop.
+    Keys with more variants than ``group`` are passed on as they are, without start and stop.
     """
     rows: list[tuple] = []
     large = None  # the key being passed on
@@ -317,22 +317,22 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = rows[-1][0]
         tail = next((i + 1 for i in range(len(rows) - 1, -1, -1) if rows[i][0] != key), 0)
         whole, rows = rows[:tail], rows[tail:]
-        yield from _by_size(whole, solved, passed)
-        if len(rows) > GROUP:
+        yield from _by_size(whole, group, solved, passed)
+        if len(rows) > group:
             large = key
             yield from passed(rows)
             rows = []
-    yield from _by_size(rows, solved, passed)
+    yield from _by_size(rows, group, solved, passed)
 
 
-def _by_size(rows: list[tuple], solved, passed) -> Iterator[pa.RecordBatch]:
+def _by_size(rows: list[tuple], group: int, solved, passed) -> Iterator[pa.RecordBatch]:
     """Rows of whole keys: those of large keys passed on, the others solved some thousand at a time."""
     a, ready = 0, []
     while a < len(rows):
         b = a
         while b < len(rows) and rows[b][0] == rows[a][0]:
             b += 1
-        if b - a > GROUP:
+        if b - a > group:
             yield from passed(rows[a:b])
         else:
             ready += rows[a:b]
@@ -389,14 +389,16 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, group: int = GROUP
+) -> DataFrame:
     """``doc`` and ``spans`` (start, stop in bytes, possibly overlapping) of all later occurrences.
 
     A byte is covered if a string of 100 bytes around it starts earlier too: in a document with a
     smaller id, or in the same one. Rows with a null id take no part.
     """
     own = df.select(F.col(doc_id).cast("long").alias("doc"), text_or_empty(text).alias("text")).where("doc is not null")
-    sampled = own.mapInArrow(_sampled, _SAMPLE).repartition("key").sortWithinPartitions("key", "cover", "doc", "at")
+    sampled = own.mapInArrow(lambda batches: _sampled(batches, block), _SAMPLE).repartition("key").sortWithinPartitions("key", "cover", "doc", "at")
     found = stage(sampled.mapInArrow(_again, _FOUND), "anchors")
     wanted = (
         found.where("kind = 2")
@@ -404,10 +406,8 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .agg(F.collect_list(F.struct("key", "place", "start", "stop")).alias("wanted"))
     )
     contexts = own.join(wanted, F.col("doc") == F.col("of")).select("doc", "text", "wanted")
-    tree = stage(
-        contexts.mapInArrow(_contexts, _CONTEXT).repartition("key").sortWithinPartitions("key").mapInArrow(_tree, _SOLVED),
-        "repeats",
-    )
+    by_key = contexts.mapInArrow(_contexts, _CONTEXT).repartition("key").sortWithinPartitions("key")
+    tree = stage(by_key.mapInArrow(lambda batches: _tree(batches, group), _SOLVED), "repeats")
     spans = (
         found.where("kind = 1")
         .select("doc", "start", "stop")
@@ -417,7 +417,9 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, group: int = GROUP
+) -> DataFrame:
     """A row per row of ``df``: ``doc_id, n_bytes, spans`` (merged, in bytes) and ``kept`` (the remaining bytes).
 
     The first occurrence of every string of 100 bytes stays, by document id and place; bytes of
@@ -431,7 +433,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     left of the kept bytes need not be valid UTF-8, so it is binary.
     """
     own = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    spans = stage(repeated_spans(df, doc_id, text), "spans")
+    spans = stage(repeated_spans(df, doc_id, text, block, group), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -80,10 +80,13 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
     rules = small_side(prepare_rules(rules), "rules")
     # The distinct (labels, characters) of rules: at most 127 labels by the length of a host name.
     shapes = sorted((r.labels, r.chars) for r in rules.select("labels", "chars").distinct().collect())
-    own = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    parts = df.select(*own, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    host, path = host_of(F.col(url)), path_of(F.col(url))
+    parts = df.select(F.struct("*").alias("own"), host.alias("host"), path.alias("path"))
+    mine = ("host", "path", "rule", "verdict")
+    own = [F.col("own").getField(c).alias(c) for c in df.columns if c.lower() not in mine]
     if not shapes:
-        return parts.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        none = F.lit(None).cast("string")
+        return parts.select(*own, "host", "path", none.alias("rule"), F.lit(default).alias("verdict"))
     matches = (
         parts.select(F.col("host").alias("m_host"), F.col("path").alias("m_path"))
         .distinct()

@@ -66,7 +66,7 @@ def shingles(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tupl
     for t in range(size):
         inside = at + t < end
         word = words[np.where(inside, at + t, 0)] if len(words) else out
-        out = out * _P + np.where(inside, word, np.uint64(0))
+        out = np.where(inside, out * _P + word, out)
     return mix(out), many
 
 
