@@ -44,6 +44,7 @@ def token_list(expr: str) -> str:
     return f"regexp_extract_all({expr}, '{TOKEN}')"
 
 
+# The sections kept by default.
 SECTIONS = "('abstract','intro','results','discuss','methods','concl')"
 
 # Passages of the stand-in documents.
@@ -234,17 +235,19 @@ SELECT doc_id, CASE WHEN lang = 'en' THEN source ELSE 'Unknown' END AS source,
 SELECT doc_id::VARCHAR AS pmid, source AS journal FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT pmid FROM kept)""",
     "first_n_docs": "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 15",
     "collapse_conversation": """
-SELECT conv_id, role, turn // 4096 AS part, string_agg(text, ' ' ORDER BY turn) AS joined, count(*) AS n_passages
+SELECT conv_id, role, string_agg(text, ' ' ORDER BY turn) AS joined, count(*) AS n_passages
 FROM conversations GROUP BY ALL""",
     "collapse_documents": f"""WITH {KEPT}
-SELECT pmid, section, index // 4096 AS part, string_agg(sentence, ' ' ORDER BY index) AS text, count(*) AS n_passages,
+SELECT pmid, section, string_agg(sentence, ' ' ORDER BY index) AS text, count(*) AS n_passages,
   any_value(pmcid) AS pmcid, epoch_us(any_value(date)) AS date_us, any_value(authors) AS authors, any_value(journal) AS journal
-FROM kept GROUP BY pmid, section, part""",
+FROM kept GROUP BY pmid, section""",
     "section_texts": f"""WITH {COLLAPSED}
 SELECT pmid, section, text, pmcid, epoch_us(date) AS date_us, authors, journal FROM collapsed""",
     "dedupe_text": """
 SELECT doc_id, lang, source, n_chars FROM documents
 QUALIFY row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) = 1""",
+    "dedupe_text_ties": """
+SELECT sha256(text) AS digest, lang, min(CASE WHEN doc_id % 4 <> 0 THEN doc_id % 3 END) AS place FROM documents GROUP BY text, lang""",
     "latest_per_id": """
 SELECT o_custkey AS doc_id, min(o_orderkey) AS pos, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus,
   arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey""",
@@ -281,6 +284,12 @@ FROM counted JOIN whole USING (doc_id) GROUP BY doc_id""",
     "truncate_mask": f"""
 SELECT doc_id, least(n, 512) AS n_tokens, least(max(n) OVER (PARTITION BY lang), 512) AS n_mask, least(n, 512) AS n_ones
 FROM (SELECT doc_id, lang, len({token_list(spaced("text"))}) AS n FROM documents)""",
+    "truncate_mask_gaps": f"""
+SELECT doc_id, least(n, 512) AS n_tokens, least(max(n) OVER (PARTITION BY lang), 512) AS n_mask
+FROM (
+  SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang,
+    CASE WHEN doc_id % 7 <> 0 THEN len({token_list(spaced("text"))}) ELSE 0 END AS n
+  FROM documents)""",
     "hash_embed": f"""WITH questions AS (SELECT item_id AS query_id, text FROM benchmark),
 {hashed("questions", "query_id", "qv")}
 SELECT query_id, dim, round(coalesce(value, 0), 6) AS value
@@ -294,6 +303,11 @@ UNION ALL SELECT key, 1, round((1 / sqrt(m * m + 1))::FLOAT::DOUBLE, 6) FROM mea
 SELECT label, dim, round(sum(v * mask) / greatest(sum(mask), 1e-9), 6) AS value FROM cells GROUP BY label, dim""",
     "attention_pool": f"""WITH {POOL_CELLS}
 SELECT label, dim, round(sum(v * exp(mask)) / sum(exp(mask)), 6) AS value FROM cells GROUP BY label, dim""",
+    "attention_pool_scores": """
+WITH scored AS (SELECT label, embedding, embedding[2]::DOUBLE * 2000 - 500 AS s FROM embeddings),
+weighed AS (SELECT label, embedding, exp(s - max(s) OVER (PARTITION BY label)) AS w FROM scored),
+cells AS (SELECT label, w, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM weighed)
+SELECT label, dim, round(sum(v * w) / sum(w), 6) AS value FROM cells GROUP BY label, dim""",
     "l2_normalize": """
 SELECT id, unnest(range(64)) AS dim, round(unnest(list_transform(v, lambda x: x / norm)), 6) AS value
 FROM (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE * (label + 2)) AS v,
@@ -304,6 +318,12 @@ SELECT count(embedding) AS n_rows, min(len(embedding)) AS min_dim, max(len(embed
     "knn_cosine": f"WITH {label_hits(COSINE, 'DESC')} {HIT_ROWS}",
     "knn_ip": f"WITH {label_hits('list_inner_product(q, embedding::DOUBLE[])', 'DESC')} {HIT_ROWS}",
     "knn_l2": f"WITH {label_hits('list_distance(q, embedding::DOUBLE[])', 'ASC')} {HIT_ROWS}",
+    "knn_with_gaps": f"WITH {label_hits(COSINE, 'DESC', 'vec_id % 5 NOT IN (1, 2, 3)')} {HIT_ROWS}",
+    "knn_ip_small": f"""WITH {LABEL_QUERIES},
+scored AS (
+  SELECT query_id, vec_id AS id, list_inner_product(q, list_transform(embedding, lambda x: x::DOUBLE * 1e-12)) AS score
+  FROM centres, embeddings)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id FROM scored QUALIFY rank <= 10""",
     "knn_filtered": f"WITH {label_hits(COSINE, 'DESC', 'label = 3')} {HIT_ROWS}",
     "knn_fields": f"""WITH {label_hits(COSINE, "DESC", "vec_id IN (SELECT doc_id FROM documents)")}
 SELECT query_id, rank::INTEGER AS rank, score, text, doc_id::VARCHAR AS pmid, lang AS section FROM hits JOIN documents ON doc_id = id""",
@@ -312,6 +332,13 @@ SELECT query_id, rank::INTEGER AS rank, score, text, doc_id::VARCHAR AS pmid, la
 SELECT query_id, {quoted(ROLE)} AS system, {default_user("any_value(question)")} AS user FROM hit_texts GROUP BY query_id""",
     "prompt_tagged": f"""WITH {LABEL_TEXT_HITS}
 SELECT query_id, {quoted(TAGGED_ROLE)} AS system, {tagged_user("any_value(question)")} AS user FROM hit_texts GROUP BY query_id""",
+    "prompt_gaps": f"""WITH {label_hits(COSINE, "DESC", "vec_id IN (SELECT doc_id FROM documents)")},
+hit_texts AS (
+  SELECT query_id, rank, CASE WHEN rank % 3 <> 0 THEN text ELSE 'Unknown' END AS text,
+    CASE WHEN rank % 4 <> 0 THEN doc_id::VARCHAR ELSE 'Unknown' END AS pmid,
+    CASE WHEN query_id % 2 = 0 THEN 'What is label ' || query_id || ' about?' ELSE 'Unknown' END AS question
+  FROM hits JOIN documents ON doc_id = id)
+SELECT query_id, {quoted(ROLE)} AS system, {default_user("any_value(question)")} AS user FROM hit_texts GROUP BY query_id""",
     "corpus_ids": f"WITH RECURSIVE {CORPUS} SELECT id, pmid, section, chunk_no, text FROM corpus",
     "search_texts": f"""WITH RECURSIVE {TEXT_HITS}
 SELECT query_id, rank::INTEGER AS rank, id, score, pmid, section FROM hits JOIN corpus USING (id)""",

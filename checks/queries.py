@@ -229,6 +229,15 @@ def dedupe_text(spark, sf_dir):
     return dedupe.dedupe_text(docs, "doc_id", "text", "lang").select("doc_id", "lang", "source", "n_chars")
 
 
+@query
+def dedupe_text_ties(spark, sf_dir):
+    """An order with nulls and many ties: which row stays is open, its order is not."""
+    order = F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 3)
+    docs = st.table(spark, sf_dir, "documents").withColumn("place", order)
+    kept = dedupe.dedupe_text(docs.union(docs), "place", "text", "lang")
+    return kept.select(F.sha2("text", 256).alias("digest"), "lang", "place")
+
+
 @query
 def latest_per_id(spark, sf_dir):
     orders = st.table(spark, sf_dir, "orders").select(
@@ -348,6 +357,17 @@ def truncate_mask(spark, sf_dir):
     )
 
 
+@query
+def truncate_mask_gaps(spark, sf_dir):
+    docs = st.table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang"),
+        F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"),
+    )
+    masked = embedding.truncate_mask(docs, batch="lang")
+    return masked.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.size("mask").cast("long").alias("n_mask"))
+
+
 @query
 def hash_embed(spark, sf_dir):
     return _cells(embedding.hash_embed(st.questions(spark, sf_dir), DIM), "query_id", "vector")
@@ -392,6 +412,13 @@ def attention_pool(spark, sf_dir):
     return _pooled(spark, sf_dir, "attention_pooling")
 
 
+@query
+def attention_pool_scores(spark, sf_dir):
+    """Scores from far below zero to several hundred in place of a mask."""
+    scored = st.token_vectors(spark, sf_dir).withColumn("mask", F.col("vec")[1].cast("double") * 2000 - 500)
+    return _cells(pooling.pool(scored, "label", pooling="attention_pooling"), "label", "vec")
+
+
 @query
 def l2_normalize(spark, sf_dir):
     scaled = st.vectors(spark, sf_dir).select(
@@ -420,7 +447,8 @@ def pca_2d(spark, sf_dir):
 
 
 def _hits(spark, sf_dir, metric, where=None):
-    return search.knn(st.vectors(spark, sf_dir), st.label_queries(spark, sf_dir), metric=metric, where=where)
+    hits = search.knn(st.vectors(spark, sf_dir), st.label_queries(spark, sf_dir), metric=metric, where=where)
+    return hits.withColumn("score", F.round("score", 9))
 
 
 @query
@@ -438,6 +466,28 @@ def knn_l2(spark, sf_dir):
     return _hits(spark, sf_dir, "L2")
 
 
+@query
+def knn_with_gaps(spark, sf_dir):
+    """Vectors that are null or hold a NaN or a null, and a question with a NaN, beside good ones."""
+    gaps = st.vectors(spark, sf_dir).withColumn(
+        "vector",
+        F.when(F.col("id") % 5 == 1, None)
+        .when(F.col("id") % 5 == 2, F.transform("vector", lambda x, i: F.when(i == 3, F.lit(float("nan"))).otherwise(x)))
+        .when(F.col("id") % 5 == 3, F.transform("vector", lambda x, i: F.when(i != 3, x)))
+        .otherwise(F.col("vector")),
+    )
+    queries = st.label_queries(spark, sf_dir)
+    bad = queries.select((-1 - F.col("query_id")).alias("query_id"), F.transform("vector", lambda x: x * float("nan")).alias("vector"))
+    return search.knn(gaps, queries.union(bad))
+
+
+@query
+def knn_ip_small(spark, sf_dir):
+    """Products far below any fixed rounding step."""
+    small = st.vectors(spark, sf_dir).withColumn("vector", F.transform("vector", lambda x: x.cast("double") * 1e-12))
+    return search.knn(small, st.label_queries(spark, sf_dir), metric="IP").drop("score")
+
+
 @query
 def knn_filtered(spark, sf_dir):
     return _hits(spark, sf_dir, "COSINE", "label = 3")
@@ -489,6 +539,20 @@ def prompt_tagged(spark, sf_dir):
     return _label_prompts(spark, sf_dir, prompts.tagged)
 
 
+@query
+def prompt_gaps(spark, sf_dir):
+    """Hits without a text or an id, and a question that is null."""
+    queries = stage(st.label_queries(spark, sf_dir), "queries")
+    hits = search.knn(st.vector_collection(spark, sf_dir), queries, fields=retrieval.HIT_FIELDS)
+    entity = F.struct(
+        F.when(F.col("rank") % 3 != 0, F.col("entity.text")).alias("text"),
+        F.when(F.col("rank") % 4 != 0, F.col("entity.pmid")).alias("pmid"),
+    )
+    question = F.when(F.col("query_id") % 2 == 0, F.format_string("What is label %d about?", "query_id"))
+    texts = queries.select("query_id", question.alias("text"))
+    return prompts.message_columns(prompts.messages(texts, hits.withColumn("entity", entity)))
+
+
 def _corpus(spark, sf_dir):
     return corpus.build_corpus(st.articles(spark, sf_dir), corpus.hashing(DIM))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-# Scores that agree in this many decimals are equal; the smaller id is then the nearer one.
-SCORE_DECIMALS = 9
+# Scores that agree in this many decimals of a cosine, or digits of another score, are equal: the order
+# of summation decides no rank, whatever the length of the vectors. The smaller id is then the nearer one.
+COSINE_DECIMALS, DIGITS = 9, 12
 # Fixed value: smallest divisor used when normalising.
 MIN_NORM = 1e-12
 # A task compares this many corpus rows with this many queries at a time: the scores stay in the cache.
@@ -32,6 +33,11 @@ def with_vector(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(batch["vector"].is_valid()) if batch["vector"].null_count else batch
 
 
+def finite(m: np.ndarray) -> np.ndarray:
+    """Which rows hold numbers only: no NaN, no infinity, no null element (read as NaN)."""
+    return np.isfinite(m).all(axis=1)
+
+
 def unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), MIN_NORM)
 
@@ -43,7 +49,15 @@ def _exact(corpus: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
         score = -np.sqrt(np.einsum("ij,ij->i", gap, gap))
     else:
         score = np.einsum("ij,ij->i", corpus, queries)
-    return np.round(score, SCORE_DECIMALS)
+    return np.round(score, COSINE_DECIMALS) if metric == "COSINE" else _significant(score)
+
+
+def _significant(score: np.ndarray) -> np.ndarray:
+    """Rounded to DIGITS significant digits; what is too small or too large for that stays as it is."""
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        factor = 10.0 ** (DIGITS - 1 - np.floor(np.log10(np.abs(score))))
+        rounded = np.round(score * factor) / factor
+    return np.where(np.isfinite(rounded), rounded, score)
 
 
 class Best:
@@ -64,8 +78,11 @@ class Best:
         self.buffered = 0
 
     def add(self, ids: np.ndarray, corpus: np.ndarray, which: np.ndarray | None = None) -> None:
-        """Take in corpus rows; ``which`` names the queries they are compared with."""
+        """Take in corpus rows; ``which`` names the queries they are compared with. Rows that are not finite have no score."""
         which = np.arange(len(self.queries)) if which is None else which
+        good = finite(corpus)
+        if not good.all():
+            ids, corpus = ids[good], corpus[good]
         if not len(which) or not len(ids):
             return
         corpus = unit(corpus) if self.metric == "COSINE" else corpus
@@ -111,7 +128,8 @@ class Best:
         self.kept = (q[keep], ids[keep], score[keep])
         last = rank == self.k - 1
         # Equal after rounding means equal: the floor lies a rounding step below the k-th score.
-        lowest = score[last] - 2 * 10.0**-SCORE_DECIMALS
+        step = 10.0**-COSINE_DECIMALS if self.metric == "COSINE" else np.abs(score[last]) * 10.0 ** (1 - DIGITS)
+        lowest = score[last] - 2 * step
         self.floor[q[last]] = -(lowest**2) if self.metric == "L2" else lowest
 
     def hits(self, query_ids: pa.Array) -> pa.RecordBatch:

@@ -44,7 +44,7 @@ def bucket_of(token: str, dim: int) -> int:
 def hash_vector(text: Column | str, dim: int) -> Column:
     """Counts of the lower-case tokens per bucket as a vector of unit length.
 
-    Needs no model and sees the whole text. Tokens are those of ``tokens``, found here by setting
+    Needs no model and sees the whole text; a null text has no vector. Tokens are those of ``tokens``, found here by setting
     every mark apart and splitting at white space: a batch of texts at once, in Arrow, so that Python
     only sees each distinct token of a batch.
     """
@@ -63,6 +63,7 @@ def hash_vector(text: Column | str, dim: int) -> Column:
         counts = np.bincount(cell, minlength=n * dim).reshape(n, dim).astype(np.float64)
         counts /= np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), MIN_NORM)
         offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(counts.ravel().astype(np.float32)))
+        values = pa.array(counts.ravel().astype(np.float32))
+        return pa.ListArray.from_arrays(offsets, values, mask=texts.is_null())
 
     return counted(col(text))

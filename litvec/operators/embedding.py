@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,16 @@ DEMO_DIM = 768
 
 Model = Callable[[list[str]], np.ndarray | tuple[np.ndarray, np.ndarray]]
 
+_models: dict[str, Model] = {}
+
+
+def _kept_model(call: str, load_model: Callable[[], Model]) -> Model:
+    """The model of this call of ``embed``, loaded once by each worker process."""
+    if call not in _models:
+        _models.clear()
+        _models[call] = load_model()
+    return _models[call]
+
 
 def embed(
     df: DataFrame,
@@ -32,15 +43,16 @@ def embed(
 ) -> DataFrame:
     """Add unit vectors made by a model.
 
-    ``load_model`` runs once per task and returns a function from texts to a matrix (texts, dim),
+    ``load_model`` runs once per worker process, which keeps the model of the last call, and returns a function from texts to a matrix (texts, dim),
     or to a pair of token vectors (texts, tokens, dim) and mask, which is then pooled. A batch
     holds ``batch_size`` texts of one task; a model whose padding must not matter masks it.
     """
     weight_of(pooling)
+    call = uuid.uuid4().hex
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load_model()
+        model = _kept_model(call, load_model)
         for batch in batches:
             out = []
             for at in range(0, len(batch), batch_size):
@@ -63,16 +75,18 @@ def truncate_mask(
 ) -> DataFrame:
     """Model input form of texts: at most ``max_tokens`` tokens and a 1/0 mask with padding.
 
-    Masks are padded to the longest text of the same ``batch`` value, or to ``max_tokens``.
+    Masks are padded to the longest text of the same ``batch`` value, null being one, or to
+    ``max_tokens``. A null text has no tokens.
     """
-    cut = df.withColumn("tokens", F.slice(tx.tokens(text), 1, max_tokens)).withColumn("_n", F.size("tokens"))
+    found = F.coalesce(tx.tokens(text), F.array().cast("array<string>"))
+    cut = df.withColumn("tokens", F.slice(found, 1, max_tokens)).withColumn("_n", F.size("tokens"))
     if batch is None:
         padded = cut.withColumn("_to", F.lit(max_tokens))
     else:
-        longest = df.groupBy(batch).agg(
-            F.least(F.max(F.size(tx.tokens(text))), F.lit(max_tokens)).alias("_to")
+        longest = df.groupBy(F.col(batch).alias("_batch")).agg(
+            F.least(F.max(F.size(found)), F.lit(max_tokens)).alias("_to")
         )
-        padded = cut.join(small_side(longest, "longest"), batch)
+        padded = cut.join(small_side(longest, "longest"), F.col(batch).eqNullSafe(F.col("_batch"))).drop("_batch")
     mask = F.concat(
         F.array_repeat(F.lit(1), F.col("_n")), F.array_repeat(F.lit(0), F.col("_to") - F.col("_n"))
     )

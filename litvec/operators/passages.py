@@ -17,7 +17,7 @@ TITLE_SECTIONS = ("title", "abstract", "intro", "results", "discuss", "methods")
 MIN_WORDS = 5
 UNKNOWN = "Unknown"
 
-# Passages of one group that are joined into one cell; a longer group goes on in its next part.
+# Positions that are joined first; the joined parts of a longer group are joined in their turn.
 PART_SIZE = 4096
 
 
@@ -75,22 +75,36 @@ def collapse(
 ) -> DataFrame:
     """Text of every (document, section): passages in ``index`` order joined by a blank.
 
-    ``index`` is the position in the document. Positions are cut into parts of ``part_size``, so a
-    document of any length is spread over many tasks and no cell grows without bound; a document
-    of up to ``part_size`` passages has part 0 only. Rows without a section are left out.
-    Other columns take the value of the first passage.
+    ``index`` is the position in the document. Positions are joined in parts of ``part_size``, then
+    the parts, so the passages of a long document are gathered by many tasks and only its joined
+    texts meet. Rows without a section are left out, null sentences are skipped. Other columns take
+    the value of the first passage.
     """
     grouping = [*keys, section]
     meta = [c for c in passages.columns if c not in (*grouping, index, sentence)]
-    in_order = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(sentence).alias("s"))))
-    return (
+
+    def joined(place: str, text: str) -> Column:
+        in_order = F.array_sort(F.collect_list(F.struct(F.col(place).alias("i"), F.col(text).alias("s"))))
+        return F.array_join(F.transform(in_order, lambda p: p["s"]), " ")
+
+    first = F.struct(F.col(index).alias("i"), *meta)
+    parts = (
         passages.where(F.col(section).isNotNull())
-        .groupBy(*grouping, F.floor(F.col(index) / part_size).cast("long").alias("part"))
+        .groupBy(*grouping, F.floor(F.col(index) / part_size).cast("long").alias("_part"))
+        .agg(
+            F.when(F.count(sentence) > 0, joined(index, sentence)).alias("_text"),
+            F.count("*").alias("_n"),
+            F.min_by(first, index).alias("_first"),
+        )
+    )
+    return (
+        parts.groupBy(*grouping)
         .agg(
-            F.array_join(F.transform(in_order, lambda p: p["s"]), " ").alias("text"),
-            F.count("*").alias("n_passages"),
-            *[F.min_by(c, index).alias(c) for c in meta],
+            joined("_part", "_text").alias("text"),
+            F.sum("_n").alias("n_passages"),
+            F.min_by("_first", F.coalesce("_part", F.lit((1 << 63) - 1))).alias("_first"),
         )
+        .select(*grouping, "text", "n_passages", *[F.col("_first").getField(c).alias(c) for c in meta])
     )
 
 
@@ -113,10 +127,12 @@ def first_n(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def fill_unknown(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
-    """Nulls become ``Unknown`` in every column; a column that is not text is made text first."""
+def fill_unknown(df: DataFrame, skip: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
+    """Nulls become ``Unknown`` in every column, or in those named; a column that is not text is made text first."""
 
     def filled(field: T.StructField) -> Column:
+        if columns is not None and field.name not in columns:
+            return F.col(field.name)
         if field.name in skip or isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
             return F.col(field.name)
         return F.coalesce(F.col(field.name).cast("string"), F.lit(UNKNOWN)).alias(field.name)

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from litvec.functions.columns import let
 from litvec.functions.vector import MIN_WEIGHT
+from litvec.runtime import small_side
 
-# How the mask (or any score) of a token becomes its weight.
+# The names of the poolings. How the mask (or any score) of a token becomes its weight.
 _WEIGHTS: dict[str, Callable[[Column], Column]] = {
     "mean_pooling": lambda mask: mask,
     "attention_pooling": F.exp,
@@ -33,11 +34,20 @@ def pool(
 ) -> DataFrame:
     """One vector per key: the weighted mean of its token vectors.
 
-    ``mean_pooling`` weighs by the mask, ``attention_pooling`` by the softmax of the mask over the
-    rows of the key; padding counts only where a row says so. Weighted vectors are summed as
-    vectors, in every map task first; the weight rides along as one more dimension.
+    ``mean_pooling`` weighs by the mask, ``attention_pooling`` by the softmax of the mask, or any
+    score, over the rows of the key; padding counts only where a row says so, a null mask has no
+    weight. The softmax is taken after the key's largest score is removed, so scores of any size
+    are fine. Weighted vectors are summed as vectors, in every map task first; the weight rides
+    along as one more dimension.
     """
-    weight = weight_of(pooling)(F.col(mask).cast("double"))
+    score = F.col(mask).cast("double")
+    if pooling == "attention_pooling":
+        names = [f"_key{i}" for i in range(len(keys))]
+        largest = token_vectors.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.max(score).alias("_largest"))
+        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+        token_vectors = token_vectors.join(small_side(largest, "largest-scores"), same)
+        score = score - F.col("_largest")
+    weight = F.coalesce(weight_of(pooling)(score), F.lit(0.0))
     weighted = let(
         weight, lambda w: F.concat(F.transform(vector, lambda x: x.cast("double") * w), F.array(w))
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litvec.operators.passages import UNKNOWN
+
 # The default role and task of the prompt, and the texts of the tagged variant.
 ROLE = """You are a cautious AI assistant. You are able to find concise answers to the questions only from the contextual passage snippets provided.
     Please check the context information carefully and do not use information that is not relevant to the question. If the retrieved context does not provide useful information to answer the question, say that you do not know."""
@@ -38,7 +40,12 @@ def _in_rank_order(hits: DataFrame, line: Column) -> DataFrame:
 
 def _formatted(template: str, text: Column, pmid: Column) -> Column:
     before, between, after = template.split("%s")
-    return F.concat(F.lit(before), text, F.lit(between), pmid.cast("string"), F.lit(after))
+    return F.concat(F.lit(before), _known(text), F.lit(between), _known(pmid), F.lit(after))
+
+
+def _known(value: Column) -> Column:
+    """A null, which would make the whole line null, as the collection writes it."""
+    return F.coalesce(value.cast("string"), F.lit(UNKNOWN))
 
 
 def _escaped(text: Column, escape: bool) -> Column:
@@ -70,7 +77,7 @@ def messages(
     )
     content = F.concat(
         F.lit(task + 'Question: "'),
-        _escaped(F.col("question"), escape),
+        _known(_escaped(F.col("question"), escape)),
         F.lit('".\n'),
         F.coalesce("context", F.lit("Context:\n")),
     )
@@ -95,7 +102,7 @@ def tagged(
         F.lit(task),
         F.coalesce("context", F.lit("")),
         F.lit("<question>"),
-        F.col("question"),
+        _known(F.col("question")),
         F.lit(f"{end}\nHere are some restrictions: {restrictions}\n"),
     )
     joined = questions.select("query_id", F.col("text").alias("question")).join(lines, "query_id", "left")

@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litvec.functions.nearest import Best, matrix_of, unit, with_vector
+from litvec.functions.nearest import Best, finite, matrix_of, unit, with_vector
+from litvec.functions.vector import l2_normalize
 from litvec.runtime import BROADCAST_ROWS, small_side, stage
 
 METRICS = ("COSINE", "IP", "L2")
@@ -84,6 +85,8 @@ def _search(
     for block in _blocks(queries):
         block = block.filter(pc.is_valid(block["vector"]))
         query_ids, matrix = block["query_id"].combine_chunks(), matrix_of(block["vector"])
+        good = finite(matrix)
+        query_ids, matrix = query_ids.filter(pa.array(good, pa.bool_())), matrix[good]
         if not len(matrix):
             continue
         rows, compare = scan(matrix)
@@ -115,7 +118,8 @@ def knn(
     ``COSINE`` and ``IP`` rank by descending score, ``L2`` by ascending distance. Each task
     multiplies its corpus batches with the query matrix and passes on ``k`` hits per query; pairs
     are never rows. ``where`` filters the corpus first. ``fields`` that the corpus has are returned
-    as ``entity``.
+    as ``entity``. Vectors that are null or hold a null, a NaN or an infinity have no neighbours and
+    are nobody's neighbour.
     """
     metric = _check(metric, k)
     searched = corpus if where is None else corpus.where(where)
@@ -153,28 +157,73 @@ def entities(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "rank", "score", "entity.*")
 
 
-def fit_cells(corpus: DataFrame, cells: int, seed: int = 42, vector_col: str = "vector", max_iter: int = 10) -> np.ndarray:
-    """Unit centroids of a k-means over the corpus, one row per cell."""
+def fit_cells(
+    corpus: DataFrame,
+    cells: int,
+    seed: int = 42,
+    vector_col: str = "vector",
+    max_iter: int = 10,
+    metric: str = "COSINE",
+) -> np.ndarray:
+    """Centroids of a k-means over the corpus, one row per cell; of unit vectors for ``COSINE``.
+
+    Vectors are staged once, as k-means reads them in every pass. Null vectors are left out.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    vectors = corpus.where(F.col(vector_col).isNotNull()).select(array_to_vector(F.col(vector_col)).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=max_iter).fit(vectors)
-    return unit(np.asarray(model.clusterCenters(), dtype=np.float64))
+    cosine = _check(metric, 1) == "COSINE"
+    vectors = stage(corpus.select(F.col(vector_col).alias("v")), "cell-vectors").where(
+        F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    )
+    features = l2_normalize("v") if cosine else F.col("v")
+    model = KMeans(k=cells, seed=seed, maxIter=max_iter).fit(vectors.select(array_to_vector(features).alias("features")))
+    centroids = np.asarray(model.clusterCenters(), dtype=np.float64)
+    return unit(centroids) if cosine else centroids
+
+
+def _near(matrix: np.ndarray, centroids: np.ndarray, metric: str, probing: bool) -> np.ndarray:
+    """How near each row is to each centroid, higher is nearer. Rows lie in cells by cosine or distance."""
+    if metric == "COSINE":
+        return unit(matrix) @ centroids.T
+    if metric == "IP" and probing:
+        return matrix @ centroids.T
+    return 2 * matrix @ centroids.T - (centroids * centroids).sum(1)
 
 
-def assign_cells(corpus: DataFrame, centroids: np.ndarray, vector_col: str = "vector", cell: str = "cell") -> DataFrame:
-    """Add the number of the cell whose centroid is nearest. Write the corpus partitioned by it."""
+def assign_cells(
+    corpus: DataFrame, centroids: np.ndarray, vector_col: str = "vector", cell: str = "cell", metric: str = "COSINE"
+) -> DataFrame:
+    """Add the number of the cell whose centroid is nearest; null without a finite vector.
+
+    Write the corpus partitioned by it.
+    """
+    metric = _check(metric, 1)
 
     @F.arrow_udf("int")
     def nearest(vectors: pa.Array) -> pa.Array:
-        if not len(vectors):
-            return pa.array([], pa.int32())
-        return pa.array(np.argmax(unit(matrix_of(vectors)) @ centroids.T, axis=1).astype(np.int32))
+        found = np.full(len(vectors), -1, np.int32)
+        at = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+        matrix = matrix_of(vectors.take(pa.array(at)))
+        if len(at):
+            good = finite(matrix)
+            found[at[good]] = np.argmax(_near(matrix[good], centroids, metric, probing=False), axis=1)
+        return pa.array(found, mask=found < 0)
 
     return corpus.withColumn(cell, nearest(vector_col))
 
 
+def save_centroids(spark: SparkSession, centroids: np.ndarray, path: str) -> None:
+    """Write centroids as a table of ``cell, centroid``."""
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centroids)]
+    spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.parquet(path)
+
+
+def load_centroids(spark: SparkSession, path: str) -> np.ndarray:
+    rows = spark.read.parquet(path).orderBy("cell").collect()
+    return np.array([r.centroid for r in rows], dtype=np.float64)
+
+
 def knn_cells(
     corpus: DataFrame,
     queries: DataFrame,
@@ -182,6 +231,8 @@ def knn_cells(
     probes: int,
     k: int = DEMO_K,
     metric: str = "COSINE",
+    where: Column | str | None = None,
+    fields: Sequence[str] = (),
     id_col: str = "id",
     vector_col: str = "vector",
     cell: str = "cell",
@@ -189,15 +240,17 @@ def knn_cells(
     """Approximate search: each query meets the rows of its ``probes`` nearest cells only.
 
     Scores are exact. The cell filter prunes files of a corpus partitioned by cell, and a large
-    cell is many files for many tasks, each of which passes on ``k`` hits per query.
+    cell is many files for many tasks, each of which passes on ``k`` hits per query. Cells are
+    probed by the metric; ``where`` and ``fields`` are those of ``knn``.
     """
     metric = _check(metric, k)
-    vectors = corpus.select(
+    searched = corpus if where is None else corpus.where(where)
+    vectors = searched.select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.col(cell).alias("cell")
     )
 
     def scan(matrix):
-        near = np.argsort(-(unit(matrix) @ centroids.T), axis=1, kind="stable")[:, :probes]
+        near = np.argsort(-_near(matrix, centroids, metric, probing=True), axis=1, kind="stable")[:, :probes]
         probed = {int(c): np.nonzero((near == c).any(axis=1))[0] for c in np.unique(near)}
 
         def compare(batch: pa.RecordBatch, best: Best) -> None:
@@ -210,7 +263,8 @@ def knn_cells(
 
         return vectors.where(F.col("cell").isin(sorted(probed))), compare
 
-    return _search(queries.select("query_id", "vector"), k, metric, scan)
+    hits = _search(queries.select("query_id", "vector"), k, metric, scan)
+    return with_entity(hits, corpus, fields, id_col) if fields else hits
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Tables of ids and short fields are broadcast up to this counted number of rows, a few dozen megabytes.
+# Tables of ids and short fields are broadcast up to this counted number of rows and bytes as Parquet.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 _local_dirs: dict[str, str] = {}
 
@@ -40,19 +41,31 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     Cuts the lineage at a place that outlives lost executors, and fixes whatever the plan above
     it decided (partition numbers, model output), so later passes all see the same rows.
     """
+    return _staged(df, name)[0]
+
+
+def _staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def bytes_under(spark: SparkSession, path: str) -> int:
+    """Bytes of all files in a folder, as its file system counts them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(folder).getLength()
 
 
 def small_side(df: DataFrame, name: str = "side", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Side of a join, staged and counted: broadcast up to ``max_rows``, joined by shuffle beyond.
+    """Side of a join, staged, counted and weighed: broadcast up to ``max_rows``, joined by shuffle beyond.
 
     Without the count Spark may shuffle the large side by a hot key before it learns that the
     other one is tiny.
     """
-    staged = stage(df, name)
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
+    staged, path = _staged(df, name)
+    small = bytes_under(df.sparkSession, path) <= BROADCAST_BYTES and staged.count() <= max_rows
+    return F.broadcast(staged) if small else staged
 
 
 def spread(df: DataFrame) -> DataFrame:

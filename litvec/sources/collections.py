@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,14 +12,20 @@ from litvec.operators.search import METRICS
 
 
 def dimension_violations(df: DataFrame, dim: int, vector_col: str = "vector") -> DataFrame:
-    """Rows whose vector is missing or has another length than ``dim``."""
-    return df.where(F.col(vector_col).isNull() | (F.size(vector_col) != dim))
+    """Rows whose vector is missing, has another length than ``dim``, or holds a null, a NaN or an infinity."""
+    return df.where(F.col(vector_col).isNull() | (F.size(vector_col) != dim) | ~_finite(F.col(vector_col)))
+
+
+def _finite(vector: Column) -> Column:
+    return F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
 
 
 def _checked(vector: Column, dim: int) -> Column:
     found = F.coalesce(F.size(vector).cast("string"), F.lit("null"))
-    return F.when(F.size(vector) == dim, vector).otherwise(
-        F.raise_error(F.concat(F.lit(f"vector of dimension {dim} expected, found "), found))
+    return (
+        F.when((F.size(vector) == dim) & _finite(vector), vector)
+        .when(F.size(vector) == dim, F.raise_error(F.lit("vector with a null, a NaN or an infinity")))
+        .otherwise(F.raise_error(F.concat(F.lit(f"vector of dimension {dim} expected, found "), found)))
     )
 
 
@@ -43,8 +51,10 @@ def write_collection(
 ) -> int:
     """Replace the collection by ``df`` and return the number of rows written.
 
-    A vector of another dimension fails the job while the old collection still stands: the new one
-    is written beside it and takes its name at the end. Nulls become ``Unknown`` unless told not to.
+    A vector of another dimension, or with an element that is no finite number, fails the job while
+    the old collection still stands: the new one is written under a name of this run. At the end the
+    old one is renamed, the new one takes its name, then the old one is dropped. Nulls become
+    ``Unknown`` unless told not to.
     """
     if metric.upper() not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}: {metric!r}")
@@ -53,15 +63,19 @@ def write_collection(
     rows = fill_unknown(df, skip=("id", *partition_by)) if unknown else df
     rows = rows.withColumn(vector_col, _checked(F.col(vector_col), dim))
     written = Observation()
-    table, fresh = f"`{namespace}`.`{name}`", f"`{namespace}`.`{name}__new`"
-    spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+    run = uuid.uuid4().hex
+    table, fresh, old = (f"`{namespace}`.`{name}{end}`" for end in ("", f"__new_{run}", f"__old_{run}"))
     writer = rows.observe(written, F.count(F.lit(1)).alias("n")).write.format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(fresh)
     spark.sql(f"ALTER TABLE {fresh} SET TBLPROPERTIES ('dimension'='{dim}', 'metric'='{metric.upper()}')")
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    replaced = exists(spark, namespace, name)
+    if replaced:
+        spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    if replaced:
+        spark.sql(f"DROP TABLE {old}")
     if partition_by:
         spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
     return written.get["n"]

@@ -89,13 +89,14 @@ def test_empty_input_gives_empty_chunks(spark):
     assert chunking.to_chunks(docs).count() == 0 and chunking.to_chunks(docs, "sentence").count() == 0
 
 
-def test_collapse_sorts_and_splits_long_groups(spark):
+def test_collapse_sorts_and_joins_the_parts_of_long_groups(spark):
     rows = [(1, "b", i, f"s{i}", "m" if i == 2 else "x") for i in (7, 2, 5, 3, 11)] + [(1, None, 9, "no", "x")]
     df = spark.createDataFrame(rows, "pmid int, section string, index long, sentence string, meta string")
     whole = passages.collapse(df).collect()
-    assert whole == [Row(pmid=1, section="b", part=0, text="s2 s3 s5 s7 s11", n_passages=5, meta="m")]
-    parts = passages.collapse(df, part_size=4).orderBy("part").collect()
-    assert [(r.part, r.text) for r in parts] == [(0, "s2 s3"), (1, "s5 s7"), (2, "s11")]
+    assert whole == [Row(pmid=1, section="b", text="s2 s3 s5 s7 s11", n_passages=5, meta="m")]
+    assert passages.collapse(df, part_size=4).collect() == whole
+    gaps = spark.createDataFrame([(1, "b", i, None if i < 8 else f"s{i}", "m") for i in range(12)], df.schema)
+    assert [r.text for r in passages.collapse(gaps, part_size=4).collect()] == ["s8 s9 s10 s11"]
 
 
 def test_dedupe_keeps_the_first_of_each_text(spark):

@@ -65,4 +65,4 @@ def test_corpus_in_document_order_or_as_it_lies(spark):
 def test_collapse_is_reduced_by_part(spark):
     turns = st.table(spark, SF_DIR, "conversations")
     text = plan(passages.collapse(turns, ("conv_id",), "role", "turn", "text"))
-    assert "hashpartitioning(conv_id" in text and "part" in text
+    assert "hashpartitioning(conv_id" in text and "_part" in text

@@ -28,7 +28,7 @@ def test_hash_vector(spark):
     for token in ("gene", ",", "gene", "expression"):
         counts[int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % 16] += 1
     assert rows[0] == pytest.approx((counts / np.linalg.norm(counts)).tolist())
-    assert rows[1] == rows[2] == [0.0] * 16 and rows[3] == rows[0]
+    assert rows[1] == [0.0] * 16 and rows[2] is None and rows[3] == rows[0]
 
 
 def masked(spark):
@@ -66,7 +66,7 @@ def test_pooling_names():
         pooling.weight_of(None)
 
 
-def test_model_is_loaded_once_per_task_and_vectors_are_unit(spark, tmp_path):
+def test_model_is_loaded_once_per_worker_and_vectors_are_unit(spark, tmp_path):
     log = tmp_path / "loads"
 
     def load():
@@ -74,9 +74,9 @@ def test_model_is_loaded_once_per_task_and_vectors_are_unit(spark, tmp_path):
             f.write("x")
         return lambda texts: np.array([[len(t), 1.0] for t in texts])
 
-    df = spark.range(100, numPartitions=2).select(F.repeat(F.lit("a"), F.col("id").cast("int")).alias("text"))
+    df = spark.range(100, numPartitions=40).select(F.repeat(F.lit("a"), F.col("id").cast("int")).alias("text"))
     rows = embedding.embed(df, load, batch_size=7).collect()
-    assert len(log.read_text()) == 2
+    assert 1 <= len(log.read_text()) < 40  # by worker process, not by task
     for r in rows:
         n = len(r.text)
         assert r.vector == pytest.approx([n / math.hypot(n, 1), 1 / math.hypot(n, 1)], rel=1e-6)
