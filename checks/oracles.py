@@ -137,6 +137,41 @@ hits AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score
   FROM scores QUALIFY rank <= 10)"""
 
+SENTENCE_HITS = TEXT_HITS.replace(
+    CORPUS,
+    f"""{PASSAGES},
+corpus AS (
+  SELECT row_number() OVER (ORDER BY pmid::BIGINT, index) - 1 AS id, pmid, section, sentence AS text
+  FROM stripped WHERE section IN {SECTIONS} AND {n_words("sentence")} > 5)""",
+)
+
+
+def largest_variance(name: str, matrix: str) -> str:
+    """The largest eigenvalue ``name(value, axis)`` of ``matrix(m)``: a column of a high power is the axis."""
+    square = "list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s)))"
+    trace = "list_sum(list_transform(m, lambda r: list_dot_product(r, r)))"
+    return f"""
+{name}_power AS (
+  SELECT 0 AS k, m FROM {matrix}
+  UNION ALL SELECT k + 1, list_transform({square}, lambda r: list_transform(r, lambda x: x / {trace})) FROM {name}_power WHERE k < 16),
+{name}_column AS (
+  SELECT list_extract(m, list_position(list_transform(m, lambda r: list_dot_product(r, r)),
+    list_max(list_transform(m, lambda r: list_dot_product(r, r))))) AS c FROM {name}_power WHERE k = 16),
+{name}_axis AS (SELECT list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS axis FROM {name}_column),
+{name} AS (SELECT axis, list_dot_product(axis, list_transform(m, lambda r: list_dot_product(r, axis))) AS value FROM {matrix}, {name}_axis)"""
+
+
+AXES = f"""
+pca_cells AS (SELECT vec_id, unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings),
+centred AS (SELECT vec_id, dim, v - avg(v) OVER (PARTITION BY dim) AS v FROM pca_cells),
+entries AS (
+  SELECT a.dim AS i, b.dim AS j, sum(a.v * b.v) / (count(*) - 1) AS c FROM centred a JOIN centred b USING (vec_id) GROUP BY ALL),
+covariance AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM entries GROUP BY i)),
+{largest_variance("first", "covariance")},
+deflated AS (
+  SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - value * axis[i] * axis[j])) AS m FROM covariance, first),
+{largest_variance("second", "deflated")}"""
+
 POOL_CELLS = """
 cells AS (
   SELECT label, unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS v, (embedding[1] >= 0)::INT AS mask FROM embeddings)"""
@@ -318,6 +353,34 @@ SELECT count(embedding) AS n_rows, min(len(embedding)) AS min_dim, max(len(embed
     "knn_cosine": f"WITH {label_hits(COSINE, 'DESC')} {HIT_ROWS}",
     "knn_ip": f"WITH {label_hits('list_inner_product(q, embedding::DOUBLE[])', 'DESC')} {HIT_ROWS}",
     "knn_l2": f"WITH {label_hits('list_distance(q, embedding::DOUBLE[])', 'ASC')} {HIT_ROWS}",
+    "knn_cells_recall": f"""WITH {label_hits(COSINE, 'DESC')},
+near AS (
+  SELECT vec_id AS id, query_id AS cell FROM centres, embeddings
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY {COSINE} DESC, query_id) = 1),
+probed AS (
+  SELECT a.query_id, b.query_id AS cell FROM centres a, centres b
+  QUALIFY row_number() OVER (PARTITION BY a.query_id ORDER BY list_cosine_similarity(a.q, b.q) DESC, b.query_id) <= 4)
+SELECT h.query_id, count(p.cell) / count(*) AS recall, count(*) AS k
+FROM hits h JOIN near USING (id) LEFT JOIN probed p ON p.query_id = h.query_id AND p.cell = near.cell GROUP BY h.query_id""",
+    "knn_many_questions": """
+WITH scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score
+  FROM embeddings a, embeddings b)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, score
+FROM scored QUALIFY rank <= 5""",
+    "collection_search": f"""WITH {label_hits(
+        'list_inner_product(q, list_transform(embedding, lambda x: x::DOUBLE * (label + 1)))', 'DESC', 'label <> 4')}
+SELECT query_id, rank::INTEGER AS rank, id, score, label::VARCHAR AS label FROM hits JOIN embeddings ON vec_id = id""",
+    "rag_from_collection": f"""WITH RECURSIVE {SENTENCE_HITS},
+hit_texts AS (
+  SELECT query_id, rank, corpus.text, pmid, questions.text AS question
+  FROM hits JOIN corpus USING (id) JOIN questions USING (query_id) WHERE rank <= 5)
+SELECT query_id, {quoted(ROLE)} AS system, {default_user("any_value(question)")} AS user FROM hit_texts GROUP BY query_id""",
+    "pca_2d": f"""WITH RECURSIVE {AXES},
+codes AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT label FROM embeddings))
+SELECT 'x' AS name, round(value, 8) AS value FROM first
+UNION ALL SELECT 'y', round(value, 8) FROM second
+UNION ALL SELECT 'label ' || label || ' is ' || code, count(*)::DOUBLE FROM embeddings JOIN codes USING (label) GROUP BY label, code""",
     "knn_with_gaps": f"WITH {label_hits(COSINE, 'DESC', 'vec_id % 5 NOT IN (1, 2, 3)')} {HIT_ROWS}",
     "knn_ip_small": f"""WITH {LABEL_QUERIES},
 scored AS (

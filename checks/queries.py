@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from checks import standins as st
 from litvec.functions import packing, vector
+from litvec.functions.nearest import unit
 from litvec.functions import text as tx
 from litvec.operators import chunking, dedupe, embedding, ids, passages, pooling, projection, prompts, search
 from litvec.plans import corpus, retrieval
@@ -440,7 +441,13 @@ def vector_shape(spark, sf_dir):
 
 @query
 def pca_2d(spark, sf_dir):
-    return projection.project_2d(st.vectors(spark, sf_dir), "id", "label")
+    """What does not depend on the sign of an axis: the variance along each, and the rows of each label and code."""
+    points = projection.project_2d(st.vectors(spark, sf_dir), "id", "label")
+    spread_of = points.agg(F.var_samp("x").alias("x"), F.var_samp("y").alias("y"))
+    axes = spread_of.select(F.explode(F.create_map(F.lit("x"), F.col("x"), F.lit("y"), F.col("y"))).alias("name", "value"))
+    coded = points.groupBy("label", "code").agg(F.count("*").cast("double").alias("value"))
+    named = coded.select(F.format_string("label %d is %d", "label", "code").alias("name"), "value")
+    return axes.union(named).withColumn("value", F.round("value", 8))
 
 
 # --- search ---
@@ -516,12 +523,50 @@ def knn_cells_all(spark, sf_dir):
 
 @query
 def knn_cells_recall(spark, sf_dir):
-    return search.recall(_in_cells(spark, sf_dir, 4), _hits(spark, sf_dir, "COSINE"))
+    """Cells around the means of the labels, of which four are probed."""
+    queries = stage(st.label_queries(spark, sf_dir), "queries")
+    centroids = unit(np.array([r.vector for r in queries.orderBy("query_id").collect()]))
+    cells = search.assign_cells(st.vectors(spark, sf_dir), centroids)
+    return search.recall(search.knn_cells(cells, queries, centroids, 4), search.knn(st.vectors(spark, sf_dir), queries))
+
+
+@query
+def knn_many_questions(spark, sf_dir):
+    """Every vector is a question; small blocks, so that there are several."""
+    vectors = st.vectors(spark, sf_dir)
+    queries = vectors.select(F.col("id").alias("query_id"), "vector")
+    return search.knn(vectors, queries, k=5, block_bytes=64 << 10)
+
+
+@query
+def collection_search(spark, sf_dir):
+    """A stored collection is searched by its own metric."""
+    namespace = "checks_" + uuid.uuid4().hex
+    collections.ensure_namespace(spark, namespace, staging_path(spark, "collections"))
+    scaled = st.vectors(spark, sf_dir).withColumn(
+        "vector", F.transform("vector", lambda x: x.cast("double") * (F.col("label") + 1))
+    )
+    collections.write_collection(scaled, namespace, "scaled", DIM, "IP")
+    found = retrieval.search_collection(
+        spark, namespace, "scaled", st.label_queries(spark, sf_dir), lambda df: df, where="label <> '4'", fields=("label",)
+    )
+    return found.select("query_id", "rank", "id", F.round("score", 9).alias("score"), "entity.label")
 
 
 # --- prompts ---
 
 
+@query
+def rag_from_collection(spark, sf_dir):
+    """Documents to sentences, to a stored collection, to prompts."""
+    namespace = "checks_" + uuid.uuid4().hex
+    collections.ensure_namespace(spark, namespace, staging_path(spark, "collections"))
+    embedder = corpus.hashing(DIM)
+    corpus.store_corpus(st.articles(spark, sf_dir), embedder, namespace, "sentences", DIM, mode="sentence")
+    built = retrieval.prompt_from_collection(spark, namespace, "sentences", st.questions(spark, sf_dir), embedder, k=5)
+    return prompts.message_columns(built)
+
+
 def _label_prompts(spark, sf_dir, build):
     queries = stage(st.label_queries(spark, sf_dir), "queries")
     hits = search.knn(st.vector_collection(spark, sf_dir), queries, fields=retrieval.HIT_FIELDS)

@@ -41,19 +41,19 @@ def _rank(hits: DataFrame, k: int, metric: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame) -> Iterator[pa.Table]:
-    """The queries as tables of bounded size; one small job when they fit into a block."""
-    head = queries.limit(QUERY_BLOCK + 1).toArrow()
-    if head.num_rows <= QUERY_BLOCK:
-        yield head
+def _blocks(queries: DataFrame, least: int, most_bytes: int) -> Iterator[tuple[pa.Table, bool]]:
+    """The queries as tables of bounded size, and whether there are several; one small job when they fit into one."""
+    head = queries.limit(least + 1).toArrow()
+    if head.num_rows <= least:
+        yield head, False
         return
-    dim = len(head["vector"][0])
-    block = max(QUERY_BLOCK, QUERY_BLOCK_BYTES // (8 * dim))
+    dim = max((len(v) for v in head["vector"].to_pylist() if v is not None), default=1)
+    block = max(least, most_bytes // (8 * max(1, dim)))
     # The hash spreads unevenly: aim at blocks that are three quarters full.
     staged = stage(queries, "queries")
     n = -(-4 * staged.count() // (3 * block))
     for i in range(n):
-        yield staged.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow()
+        yield staged.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow(), n > 1
 
 
 def _check(metric: str, k: int) -> str:
@@ -69,11 +69,15 @@ def _search(
     k: int,
     metric: str,
     scan: Callable[[np.ndarray], tuple[DataFrame, Callable[[pa.RecordBatch, Best], None]]],
+    block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
     """``scan`` names the corpus rows to read for a block of queries and how a batch is compared.
 
-    A batch of another vector length than the queries fails the job.
+    A batch of another vector length than the queries fails the job. Of several blocks each is
+    searched in a job of its own whose hits are staged, so the driver holds one block at a time,
+    however many queries there are.
     """
+    least = min(QUERY_BLOCK, max(1, block_bytes // 8))
     hit = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -82,7 +86,7 @@ def _search(
         ]
     )
     found = queries.sparkSession.createDataFrame([], hit)
-    for block in _blocks(queries):
+    for block, several in _blocks(queries, least, block_bytes):
         block = block.filter(pc.is_valid(block["vector"]))
         query_ids, matrix = block["query_id"].combine_chunks(), matrix_of(block["vector"])
         good = finite(matrix)
@@ -99,7 +103,8 @@ def _search(
 
         if len(matrix) * k > _MANY_HITS:
             rows = rows.coalesce(_TASKS_PER_SLOT * rows.sparkSession.sparkContext.defaultParallelism)
-        found = found.union(rows.mapInArrow(local_top, hit))
+        hits = rows.mapInArrow(local_top, hit)
+        found = found.union(stage(hits, "block-hits") if several else hits)
     return _rank(found, k, metric)
 
 
@@ -112,6 +117,7 @@ def knn(
     fields: Sequence[str] = (),
     id_col: str = "id",
     vector_col: str = "vector",
+    block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> DataFrame:
     """The exact ``k`` nearest corpus rows of every query ``(query_id, vector)``.
 
@@ -132,7 +138,7 @@ def knn(
 
         return vectors, compare
 
-    hits = _search(queries.select("query_id", "vector"), k, metric, scan)
+    hits = _search(queries.select("query_id", "vector"), k, metric, scan, block_bytes)
     return with_entity(hits, corpus, fields, id_col) if fields else hits
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from litvec.operators import chunking, embedding, ids
 from litvec.operators.passages import DEFAULT_SECTIONS
 from litvec.runtime import stage
+from litvec.sources import collections
 from litvec.sources import documents as docs
 from litvec.sources import files
 
@@ -41,6 +42,7 @@ def build_corpus(
     max_tokens: int = chunking.DEMO_MAX_TOKENS,
     sections: Sequence[str] = DEFAULT_SECTIONS,
     position: str | None = "pos",
+    keep: bool = False,
 ) -> DataFrame:
     """Chunks with dense ids and vectors.
 
@@ -49,10 +51,28 @@ def build_corpus(
     chunks are numbered as the documents lie, and the whole build needs no shuffle.
 
     Ids come before vectors: the sort moves texts only, and a reader that asks for no vectors
-    does not compute them.
+    does not compute them. ``keep`` stages the result, so that several readers embed once.
     """
     chunks = chunking.to_chunks(documents, mode, max_tokens, sections)
     if position is None:
-        return embedder(ids.dense_ids(chunks))
-    order = (position, "section", "chunk_no") if mode == "section" else (position, "chunk_no")
-    return embedder(ids.dense_ids(stage(chunks, "chunks"), *order))
+        built = embedder(ids.dense_ids(chunks))
+    else:
+        order = (position, "section", "chunk_no") if mode == "section" else (position, "chunk_no")
+        built = embedder(ids.dense_ids(stage(chunks, "chunks"), *order))
+    return stage(built, "corpus") if keep else built
+
+
+def store_corpus(
+    documents: DataFrame,
+    embedder: Embedder,
+    namespace: str,
+    name: str,
+    dim: int,
+    metric: str = "COSINE",
+    mode: str = "section",
+    max_tokens: int = chunking.DEMO_MAX_TOKENS,
+    sections: Sequence[str] = DEFAULT_SECTIONS,
+) -> int:
+    """Build a corpus and write it as a collection with its metadata; returns the number of chunks."""
+    built = build_corpus(documents, embedder, mode, max_tokens, sections)
+    return collections.write_collection(built, namespace, name, dim, metric)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +33,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
+_runs: list[str] = []
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/litvec/{name}-{uuid.uuid4().hex}"
+    return "/".join([shared_dir(spark), "litvec", *_runs, f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """What is staged inside goes into one folder of the shared one, which is dropped at the end.
+
+    Results that are still lazy read staged tables: write or collect them inside.
+    """
+    _runs.append(f"run-{uuid.uuid4().hex}")
+    path = "/".join([shared_dir(spark), "litvec", *_runs])
+    try:
+        yield path
+    finally:
+        _runs.pop()
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -149,3 +149,53 @@ def test_tagged_prompt(spark):
     assert rows[2].system == prompts.TAGGED_ROLE
     closed = prompts.tagged(questions(spark), hits(spark), well_formed=True).where("query_id = 2").first()
     assert "why</question>" in closed.messages[1].content
+
+
+def test_bad_vectors_have_no_neighbours(spark):
+    rng = np.random.default_rng(5)
+    good = rng.normal(size=(300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(good)]
+    rows += [(1000, [float("nan")] * 8), (1001, [None] + [1.0] * 7), (1002, None), (1003, [float("inf")] * 8)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = [(0, good[0].tolist()), (1, [float("nan")] * 8), (2, [None] * 8), (3, None)]
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    for metric in search.METRICS:
+        hits = search.knn(corpus, queries, 10, metric).collect()
+        assert len(hits) == 10 and {h.query_id for h in hits} == {0} and max(h.id for h in hits) < 1000
+
+
+def test_small_scores_rank_by_value(spark):
+    corpus = spark.createDataFrame([(i, [i * 1e-10]) for i in (1, 2, 3)], "id long, vector array<double>")
+    queries = spark.createDataFrame([(0, [1.0])], "query_id long, vector array<double>")
+    assert [h.id for h in search.knn(corpus, queries, 3, "IP").orderBy("rank").collect()] == [3, 2, 1]
+    assert [h.id for h in search.knn(corpus, spark.createDataFrame([(0, [0.0])], queries.schema), 3, "L2").orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_blocks_give_the_same_hits(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 6)))]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>")
+    queries = corpus.selectExpr("id as query_id", "vector")
+    whole = search.knn(corpus, queries, 4).orderBy("query_id", "rank").collect()
+    assert search.knn(corpus, queries, 4, block_bytes=2000).orderBy("query_id", "rank").collect() == whole
+
+
+def test_cells_of_every_metric_prune_and_take_filters(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [(i, (v * rng.uniform(0.1, 9)).tolist(), i % 2) for i, v in enumerate(rng.normal(size=(300, 6)))] + [(999, None, 0)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>, kind int")
+    queries = corpus.where("id < 5").selectExpr("id as query_id", "vector")
+    for metric in search.METRICS:
+        centroids = search.fit_cells(corpus, 6, metric=metric)
+        search.save_centroids(spark, centroids, str(tmp_path / metric))
+        assert np.allclose(search.load_centroids(spark, str(tmp_path / metric)), centroids)
+        cells = search.assign_cells(corpus, centroids, metric=metric)
+        assert [r.id for r in cells.where("cell is null").collect()] == [999]
+        cells.write.partitionBy("cell").parquet(str(tmp_path / f"{metric}-cells"))
+        stored = spark.read.parquet(str(tmp_path / f"{metric}-cells"))
+        found = search.knn_cells(stored, queries, centroids, 6, 5, metric, where="kind = 1", fields=("kind",))
+        exact = search.knn(corpus, queries, 5, metric, where="kind = 1")
+        assert found.select("query_id", "rank", "id").exceptAll(exact.select("query_id", "rank", "id")).count() == 0
+        assert {r.entity.kind for r in found.collect()} == {1}
+        few = search.knn_cells(stored, queries.where("query_id = 0"), centroids, 1, 5, metric)
+        assert "PartitionFilters: [cell" in few._jdf.queryExecution().toString()

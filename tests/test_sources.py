@@ -178,3 +178,26 @@ def test_spread_leaves_large_scans_alone(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert runtime.spread(spark.read.parquet(path).coalesce(1)).rdd.getNumPartitions() == 4
+
+
+def test_collections_refuse_what_is_no_number(spark):
+    for bad in ([1.0, None], [1.0, float("nan")], [float("inf"), 1.0]):
+        df = spark.createDataFrame([(0, bad)], "id long, vector array<double>")
+        assert collections.dimension_violations(df, 2).count() == 1
+        with pytest.raises(Exception, match="vector with a null, a NaN or an infinity"):
+            collections.write_collection(df, "papers", "bad", 2)
+
+
+def test_swap_keeps_one_table(spark):
+    for n in (3, 5):
+        collections.write_collection(spark.range(n).selectExpr("id", "array(1.0, 2.0) as vector"), "papers", "swapped", 2)
+    names = [r.tableName for r in spark.sql("SHOW TABLES IN papers LIKE 'swapped*'").collect()]
+    assert names == ["swapped"] and collections.open_collection(spark, "papers", "swapped").count() == 5
+
+
+def test_run_folder_is_dropped(spark):
+    with runtime.run_folder(spark) as path:
+        staged = runtime.stage(spark.range(5))
+        assert staged.count() == 5 and runtime.bytes_under(spark, path) > 0
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
