@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +20,28 @@ _TSV = {
 }
 
 
-def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
-    """Write a table; in the ``tsv`` form arrays become JSON text."""
+# Line ends inside cells as percent codes, the percent sign too: every row is one line and files can be split.
+_CODES = (("%", "%25"), ("\n", "%0A"), ("\r", "%0D"))
+
+
+def _coded(df: DataFrame, decode: bool) -> DataFrame:
+    def cell(name: str) -> Column:
+        value = F.col(f"`{name}`")
+        for plain, code in reversed(_CODES) if decode else _CODES:
+            value = F.replace(value, F.lit(code if decode else plain), F.lit(plain if decode else code))
+        return value.alias(name)
+
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return df.select(*[cell(c) if c in text else F.col(f"`{c}`") for c in df.columns])
+
+
+def write_table(
+    df: DataFrame, path: str, format: str = "parquet", partition_by: tuple[str, ...] = (), one_line: bool = False
+) -> None:
+    """Write a table; in the ``tsv`` form arrays become JSON text.
+
+    ``one_line`` codes line ends inside cells, so that large files are read by many tasks.
+    """
     if format == "tsv":
         df = df.select(
             [
@@ -29,6 +49,7 @@ def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by:
                 for f in df.schema.fields
             ]
         )
+        df = _coded(df, decode=False) if one_line else df
         df.write.mode("overwrite").options(**_TSV).option("emptyValue", "").csv(path)
     elif format == "parquet":
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
@@ -36,8 +57,13 @@ def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by:
         raise ValueError(f"format must be 'parquet' or 'tsv': {format!r}")
 
 
-def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Table written as text; every column is text, and empty cells are null."""
+def read_tsv(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
+    """Table written as text; every column is text, and empty cells are null.
+
+    Cells may span lines, so a file is one task, unless it was written with ``one_line``.
+    """
+    if one_line:
+        return _coded(spark.read.options(**_TSV | {"multiLine": False}).csv(path), decode=True)
     return spark.read.options(**_TSV).csv(path)
 
 

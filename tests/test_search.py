@@ -198,4 +198,4 @@ def test_cells_of_every_metric_prune_and_take_filters(spark, tmp_path):
         assert found.select("query_id", "rank", "id").exceptAll(exact.select("query_id", "rank", "id")).count() == 0
         assert {r.entity.kind for r in found.collect()} == {1}
         few = search.knn_cells(stored, queries.where("query_id = 0"), centroids, 1, 5, metric)
-        assert "PartitionFilters: [cell" in few._jdf.queryExecution().toString()
+        assert "PartitionFilters: [isnotnull(cell" in few._jdf.queryExecution().toString()

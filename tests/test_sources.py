@@ -201,3 +201,19 @@ def test_run_folder_is_dropped(spark):
         assert staged.count() == 5 and runtime.bytes_under(spark, path) > 0
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def test_tables_of_one_line_per_row_are_split(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    rows = [(i, f'a "quoted"\tcell\r\nof 100 % and %0A, number {i}' if i % 3 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    tables.write_table(df, path, "tsv", one_line=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        found = tables.read_tsv(spark, path, one_line=True)
+        assert found.rdd.getNumPartitions() > 3
+        assert sorted((int(r.id), r.text) for r in found.collect()) == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
