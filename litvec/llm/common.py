@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litvec.runtime import stage
+from litvec.runtime import small_side, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,25 +23,23 @@ def text_or_empty(name: str = "text") -> Column:
 def components(links: DataFrame) -> DataFrame:
     """Classes of linked ids: rows of ``id`` and ``class_id``, the smallest id that links lead to.
 
-    ``links`` has the columns ``a`` and ``b``; null ends and links to itself are left out. Every
-    round gives each id the smallest label among its neighbours and then the label of its label,
-    so chains shorten by doubling. A round is written to the shared folder before the next one
-    reads it; only the number of changed labels comes to the driver. An empty table gives none.
+    ``links`` has the columns ``a`` and ``b``; null ends and links to itself are left out. In every
+    round an id takes the smallest label among its own and its neighbours', and then the label of
+    that label, so chains shorten by doubling. A round is written to the shared folder before the next
+    one reads it; only whether labels changed comes to the driver. An empty table gives none.
     """
     own = links.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    edges = stage(own.select("a", "b").union(own.select("b", "a")).distinct(), "edges")
-    labels = stage(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    both = F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba")]))
+    edges = stage(own.select(both), "edges")
+    labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
     while True:
-        seen = labels.select(F.col("id").alias("b"), F.col("label").alias("seen"))
-        near = edges.join(seen, "b").groupBy(F.col("a").alias("id")).agg(F.min("seen").alias("near"))
-        moved = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
-        above = labels.select(F.col("id").alias("low"), F.col("label").alias("jump"))
-        following = stage(
-            moved.join(above, "low", "left").select(
-                "id", F.least("low", "jump").alias("label"), F.col("label").alias("was")
-            ),
-            "labels",
-        )
+        labels = small_side(labels, "labels")
+        own_label = labels.select("id", F.col("label").alias("near"), F.col("label").alias("was"))
+        neighbours = edges.join(labels.select(F.col("id").alias("b"), F.col("label").alias("near")), "b")
+        neighbours = neighbours.select(F.col("a").alias("id"), "near", F.lit(None).cast("long").alias("was"))
+        lowest = own_label.union(neighbours).groupBy("id").agg(F.min("near").alias("near"), F.max("was").alias("was"))
+        above = labels.select(F.col("id").alias("near"), F.col("label").alias("label"))
+        following = stage(lowest.join(above, "near").select("id", "label", "was"), "labels")
         labels = following.select("id", "label")
         if following.where("label <> was").isEmpty():
             return labels.select("id", F.col("label").alias("class_id"))

@@ -13,17 +13,22 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litvec.llm.common import components, text_or_empty
 from litvec.llm.words import by_occurrence, in_slices, mix, shingles, word_hashes
-from litvec.runtime import stage
+from litvec.runtime import small_side, stage
 
 SIMILARITY = 0.8
 # Two texts of similarity 0.8 agree in one sketch with probability about 0.64, in none of 12 with 5e-6.
 SKETCHES = 12
-LEADERS = 3
+# Buckets up to this size are paired in full, larger ones by hubs and random leaders.
+SMALL = 8
+HUBS, LEADERS = 3, 16
+# Members meet leaders that agree with them in this many sketches, as 99.4 % of pairs of similarity 0.8 do, and
+# in each round this many random ones, those that agree in most.
+AGREEMENT, MEETINGS = 4, 16
 _SEEDS = mix(np.arange(1, 2 * SKETCHES + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -120,94 +125,169 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     classes are what links connect. Rows that repeat an id have to repeat its text. A row with a
     null id has a null class and stands for itself; an empty table gives an empty one.
 
-    Copies leave the search as one text. A bucket of texts that share a sketch is never gathered
-    and never paired in full: its members meet the bucket's leader, found by an aggregate. Then
-    members of different classes meet random leaders, in rounds that go on until one finds no
-    further link. A text meets few leaders even in a bucket that holds a third of all rows.
+    Copies leave the search as one text. Buckets of a few texts that share a sketch are paired in
+    full. A larger bucket is neither gathered nor paired: its members meet its hubs, those that share
+    most sketches with others, found by an aggregate. Members that stay out of the main hub's class
+    then meet random members of that class and of the rest that agree with them in most sketches, in
+    rounds that go on until one finds no further link. A text meets few others even in a bucket that
+    holds a third of all rows.
     """
     own = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     sketched = stage(
         own.mapInArrow(_sketch, "doc_id long, digest string, shingles int, sketches array<long>"), "sketches"
     )
-    known = sketched.where("doc_id is not null")
     texts = stage(
-        known.groupBy("digest").agg(
-            F.min("doc_id").alias("id"), F.first("shingles").alias("shingles"), F.first("sketches").alias("sketches")
-        ),
+        sketched.where("doc_id is not null")
+        .groupBy("digest")
+        .agg(F.min("doc_id").alias("id"), F.first("shingles").alias("shingles"), F.first("sketches").alias("sketches")),
         "texts",
     )
     every = texts.select("id", "shingles", F.posexplode("sketches").alias("j", "sketch")).select(
         F.xxhash64("j", "sketch").alias("bucket"), "id", "shingles"
     )
-    shared = stage(every.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared")
-    members = stage(every.join(shared, "bucket").select("bucket", "first", "id", "shingles"), "members")
-    wanted = members.select("id").distinct()
-    bodies = stage(
-        own.join(wanted.withColumnRenamed("id", "wanted"), F.col("doc_id") == F.col("wanted"), "left_semi")
-        .groupBy("doc_id")
-        .agg(F.min("text").alias("text")),
-        "bodies",
-    )
-
-    links = classes = met = None
-    turn = 0
+    shared = small_side(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = stage(every.join(shared, "bucket"), "members")
+    crowded = members.where(F.col("n") > SMALL).groupBy("id")
+    crowded = crowded.agg(F.sum("n").alias("degree"), F.collect_list("bucket").alias("buckets"))
+    large = stage(texts.drop("digest").join(small_side(crowded, "crowded"), "id"), "large")
+    pairs = _paired(members.where(F.col("n") <= SMALL)).union(_with_hubs(large)).distinct()
+    pairs = small_side(pairs, "pairs")
+    bodies = _bodies(own, pairs, large)
+    alone = bodies.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("class_id"))
+    classes = _merged(small_side(alone, "classes"), _linked(pairs, bodies))
+    turn = 1
     while True:
-        if turn == 0:
-            led = members.select("id", "shingles", F.col("first").alias("leader"))
-        else:
-            order = [
-                F.min(F.struct(F.xxhash64(F.lit(turn * LEADERS + i), "id").alias("h"), "id")).alias(f"l{i}")
-                for i in range(LEADERS)
-            ]
-            leaders = members.groupBy("bucket").agg(*order)
-            leaders = stage(
-                leaders.select("bucket", F.explode(F.array(*[F.col(f"l{i}.id") for i in range(LEADERS)])).alias("leader")),
-                "leaders",
-            )
-            led = members.join(leaders, "bucket").select("id", "shingles", "leader")
-        sizes = texts.select(F.col("id").alias("leader"), F.col("shingles").alias("leader_shingles"))
-        pairs = (
-            led.where("id <> leader")
-            .distinct()
-            .join(sizes, "leader")
-            .where(F.least("shingles", "leader_shingles") >= F.lit(SIMILARITY) * F.greatest("shingles", "leader_shingles"))
-            .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-            .distinct()
-        )
-        if turn:
-            pairs = pairs.join(met, ["a", "b"], "left_anti")
-            for end in "ab":
-                label = classes.select(F.col("id").alias(end), F.col("class_id").alias(f"class_{end}"))
-                pairs = pairs.join(label, end, "left").withColumn(f"class_{end}", F.coalesce(f"class_{end}", end))
-            pairs = pairs.where("class_a <> class_b").select("a", "b")
-        pairs = stage(pairs, "pairs")
-        left = bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        tested = stage(
-            pairs.join(left, "a")
-            .join(right, "b")
-            .select("a", "text_a", "b", "text_b")
-            .mapInArrow(_verify, "a long, b long, similarity double"),
-            "tested",
-        )
-        new = tested.where(F.col("similarity") >= SIMILARITY).select("a", "b")
-        if turn and new.isEmpty():
+        pairs = small_side(_random_pairs(large, classes, turn), "pairs")
+        links = _linked(pairs, bodies)
+        if links.isEmpty():
             break
-        links = new if links is None else links.union(new)
-        met = pairs if met is None else met.union(pairs)
-        classes = components(links)
+        classes = _merged(classes, links)
         turn += 1
 
-    label = classes.select(F.col("id").alias("copy_of"), "class_id")
-    copies = stage(texts.select("digest", F.col("id").alias("copy_of")).join(label, "copy_of", "left"), "copies")
-    return sketched.join(copies, "digest", "left").select(
+    copies = texts.select("digest", F.col("id").alias("copy_of")).join(
+        classes.withColumnRenamed("id", "copy_of"), "copy_of", "left"
+    )
+    return sketched.join(stage(copies, "copies"), "digest", "left").select(
         "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "copy_of")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"),
     )
 
 
+def _similar_size(a: Column | str, b: Column | str) -> Column:
+    """Whether two numbers of shingles allow the similarity at all."""
+    return F.least(a, b) >= F.lit(SIMILARITY) * F.greatest(a, b)
+
+
+def _agreement(a: Column, b: Column) -> Column:
+    """Number of sketches in which two texts agree."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda equal: equal))
+
+
+def _paired(members: DataFrame) -> DataFrame:
+    """All pairs ``a < b`` of small buckets."""
+    lists = members.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "shingles"))).alias("m"))
+
+    def behind(x: Column, i: Column) -> Column:
+        partners = F.filter(F.slice("m", i + 2, F.size("m")), lambda y: _similar_size(x["shingles"], y["shingles"]))
+        return F.transform(partners, lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+
+    return lists.select(F.explode(F.flatten(F.transform("m", behind))).alias("p")).select("p.a", "p.b")
+
+
+def _by_bucket(large: DataFrame) -> DataFrame:
+    """A row for each large bucket of a text; ``large`` has a row per text."""
+    return large.select("*", F.explode("buckets").alias("bucket")).drop("buckets")
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """Of each large bucket the members that share most sketches with others, and the one with the smallest id."""
+    fields = ("id", "shingles", "sketches")
+    most = [F.max(F.struct("degree", F.xxhash64(F.lit(-i), "id").alias("h"), *fields)) for i in range(HUBS)]
+    found = members.groupBy("bucket").agg(
+        *[m.alias(f"m{i}") for i, m in enumerate(most)], F.min(F.struct(*fields)).alias("first")
+    )
+    names = [*(f"m{i}" for i in range(HUBS)), "first"]
+    structs = [F.struct(*[F.col(f"{n}.{f}").alias(f) for f in fields]) for n in names]
+    return small_side(found.select("bucket", F.array_distinct(F.array(*structs)).alias("hubs")), "hubs")
+
+
+def _with_hubs(large: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of members and the hubs of their buckets, if they agree in enough sketches."""
+
+    def wanted(x: Column) -> Column:
+        fits = _similar_size(x["shingles"], F.col("shingles")) & (_agreement(x["sketches"], F.col("sketches")) >= AGREEMENT)
+        return (x["id"] != F.col("id")) & fits
+
+    own = F.filter("hubs", wanted)
+    members = _by_bucket(large)
+    met = members.join(_hubs(members), "bucket").select("id", F.explode(F.transform(own, lambda x: x["id"])).alias("hub"))
+    return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+
+
+def _random_pairs(large: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``a < b`` of different classes in large buckets: members outside the main hub's class, and random leaders."""
+    known = _by_bucket(large.join(classes, "id"))
+    fields = F.struct("id", "shingles", "class_id", "sketches")
+
+    def leader(i: int) -> Column:
+        """The member with the smallest hash; every other one is of those that share most sketches."""
+        order = F.struct(F.col("degree") * -(i % 2), F.xxhash64(F.lit(turn * LEADERS + i), "id", "bucket"))
+        return F.min_by(fields, order).alias(f"l{i}")
+
+    leaders = known.groupBy("bucket").agg(
+        *map(leader, range(LEADERS)),
+        F.max_by("class_id", F.struct("degree", "id")).alias("main"),
+        (F.min("class_id") != F.max("class_id")).alias("live"),
+    )
+    names = [f"l{i}" for i in range(LEADERS)]
+    leaders = leaders.where("live").select("bucket", "main", F.array_distinct(F.array(*names)).alias("leaders"))
+
+    def wanted(x: Column) -> Column:
+        return (x["class_id"] != F.col("class_id")) & _similar_size(x["shingles"], F.col("shingles"))
+
+    def agreeing(x: Column) -> Column:
+        return F.struct((-_agreement(x["sketches"], F.col("sketches"))).alias("differ"), x["id"].alias("leader"))
+
+    met = F.filter(F.transform(F.filter("leaders", wanted), agreeing), lambda x: x["differ"] <= -AGREEMENT)
+    nearest = (
+        known.join(small_side(leaders, "leaders"), "bucket")
+        .where("class_id <> main")
+        .select("id", F.explode(met).alias("met"))
+        .groupBy("id")
+        .agg(F.slice(F.sort_array(F.collect_set("met")), 1, MEETINGS).alias("met"))
+        .select("id", F.explode("met.leader").alias("leader"))
+    )
+    return nearest.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+
+
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes joined by further links between their members."""
+    for end in "ab":
+        links = links.join(classes.select(F.col("id").alias(end), F.col("class_id").alias(f"class_{end}")), end)
+    merged = components(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    merged = small_side(merged.select(F.col("id").alias("class_id"), F.col("class_id").alias("merged")), "merged")
+    joined = classes.join(merged, "class_id", "left").select("id", F.coalesce("merged", "class_id").alias("class_id"))
+    return small_side(joined, "classes")
+
+
+def _bodies(own: DataFrame, pairs: DataFrame, large: DataFrame) -> DataFrame:
+    """The texts that may be compared, each once."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select("id")).distinct()
+    wanted = own.join(small_side(ids, "wanted"), "doc_id")
+    return stage(wanted.groupBy("doc_id").agg(F.min("text").alias("text")), "bodies")
+
+
+def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The pairs that alignment confirms."""
+    left = bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    tested = left.join(pairs, "a").join(right, "b").select("a", "text_a", "b", "text_b")
+    tested = tested.mapInArrow(_verify, "a long, b long, similarity double")
+    return stage(tested.where(F.col("similarity") >= SIMILARITY).select("a", "b"), "links")
+
+
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df``, with all their columns, that have the smallest id of their class or no id."""
-    gone = near_duplicates(df, doc_id, text).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"))
-    return df.join(stage(gone, "gone"), F.col(doc_id) == F.col("gone_id"), "left_anti")
+    gone = near_duplicates(df, doc_id, text).where("doc_id <> class_id").select(F.col("doc_id").alias(doc_id))
+    return df.join(stage(gone, "gone"), doc_id, "left_anti").select(*df.columns)
