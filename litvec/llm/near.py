@@ -155,9 +155,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     bodies = _bodies(own, pairs, large)
     alone = bodies.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("class_id"))
     classes = _merged(small_side(alone, "classes"), _linked(pairs, bodies))
-    turn = 1
+    met, turn = pairs, 1
     while True:
-        pairs = small_side(_random_pairs(large, classes, turn), "pairs")
+        fresh = _random_pairs(large, classes, turn).distinct().join(met, ["a", "b"], "left_anti")
+        pairs = small_side(fresh, "pairs")
+        met = met.union(pairs)
         links = _linked(pairs, bodies)
         if links.isEmpty():
             break
