@@ -107,6 +107,21 @@ def exact_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def drop_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns; ids must be unique, rows without an id stay."""
-    gone = exact_duplicates(df, doc_id, text).where("not kept").select(F.col("doc_id").alias(doc_id))
-    return df.join(stage(gone, "gone"), doc_id, "left_anti").select(*df.columns)
+    """One row of every group of equal texts, with all columns of ``df``: the row that ``exact_duplicates`` keeps.
+
+    Rows are told apart by id and text, so an id may repeat, be null or stand for several texts. Of
+    rows that repeat both, one stays; if they differ in other columns, any of them. Only those rows
+    are grouped, in map tasks first; all others pass by an anti-join.
+    """
+    judged = exact_duplicates(df, doc_id, text).groupBy("doc_id", "text_sha256")
+    judged = judged.agg(F.max("kept").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    listed = stage(judged.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"), "stays"), "listed")
+    own = df.select(
+        F.struct("*").alias("own"),
+        F.col(doc_id).alias("doc_id"),
+        F.sha2(normalised(text_or_empty(text)), 256).alias("text_sha256"),
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("digest"))
+    alone = own.join(listed, same, "left_anti").select("own")
+    repeated = own.join(listed.where("stays"), same).groupBy("id", "digest").agg(F.first("own").alias("own"))
+    return alone.union(repeated.select("own")).select(*[F.col("own").getField(c).alias(c) for c in df.columns])

@@ -71,3 +71,24 @@ def test_a_third_of_the_rows_in_one_group(spark):
     found = exact.exact_duplicates(df)
     assert found.where("group_size = 2000 and keep_id = 1").count() == 2000
     assert found.where("kept").count() == 4001
+
+
+def test_the_stage_keeps_one_row_of_every_group(spark):
+    rows = [
+        (1, "twice"), (1, "twice"), (2, "twice"),  # the smallest id of a group comes twice
+        (3, "alone, twice"), (3, "alone,  twice"),
+        (4, "first of four"), (5, "first of four"), (5, "second of five"),  # an id of two texts, one of them a copy
+        (None, "no id"), (None, "no id"), (None, "another"), (None, "second of five"), (6, None), (None, ""),
+    ]
+    df = spark.createDataFrame([(*r, i, {"k": i}) for i, r in enumerate(rows)], "doc_id long, text string, own int, digest map<string,int>")
+    kept = exact.drop_duplicates(df.repartition(3))
+    assert kept.schema == df.schema
+    found = sorted(((r.doc_id, exact_spaces(r.text)) for r in kept.collect()), key=str)
+    wanted = [(1, "twice"), (3, "alone, twice"), (4, "first of four"), (5, "second of five"), (6, ""), (None, "no id"), (None, "another")]
+    assert found == sorted(wanted, key=str)
+    judged_rows = [r for r in exact.exact_duplicates(df).collect() if r.kept]
+    assert sorted(str(r.doc_id) for r in judged_rows) == sorted(str(d) for d, _ in wanted)
+
+
+def exact_spaces(text):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
