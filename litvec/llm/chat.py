@@ -20,6 +20,8 @@ RECORD = (
 )
 _LISTS = {"turns": ("turn", "role", "text"), "messages": ("role", "content"), "conversations": ("from", "value")}
 _FIELDS = ("system", "instruction", "input", "output", "prompt", "response", "completion", "question", "answer")
+# The reader stops at strings of 20 million characters unless told otherwise; a cell holds 2 GB.
+JSON = {"maxStringLen": str((1 << 31) - 1)}
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 # Layout: paths that have to be there, paths that may be.
@@ -106,7 +108,7 @@ def canonical_turns(df: DataFrame, json: str = "record") -> DataFrame:
     Other columns are kept, those named ``layout`` or ``turns`` are replaced.
     """
     known = layouts_by_fingerprint()
-    parsed = df.select(F.struct("*").alias("own"), F.from_json(F.col(json), RECORD).alias("record"))
+    parsed = df.select(F.struct("*").alias("own"), F.from_json(F.col(json), RECORD, JSON).alias("record"))
     marked = parsed.select("own", "record", fingerprint(F.col("record")).alias("fingerprint"))
     layout = F.coalesce(
         *[
@@ -127,8 +129,9 @@ def _others(df: DataFrame, *replaced: str) -> list[Column]:
 def rows_to_records(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     """Rows of ``turn, role, text`` as one JSON record per key, in the rows layout.
 
-    A conversation is one record, so all its rows meet in one task; texts of one key beyond what
-    a cell can hold (2 GB) have no record. A null key is a conversation of its own.
+    A conversation is one record, so all its rows, and all rows with a null key, which are one
+    conversation, meet in one task. The record has to fit into a cell: 2 GB of JSON, where control
+    characters, quotes and backslashes take two to six bytes. A single text has no other bound.
     """
     return (
         rows.groupBy(key)

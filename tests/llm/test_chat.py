@@ -102,3 +102,11 @@ def test_loss_spans_cover_assistant_texts(spark):
     row = chat.formatted(chat.canonical_turns(df)).first()
     assert [row.chat[s.start : s.end] for s in row.loss] == ["ü<\\|x"]
     assert hashlib.sha256(row.chat.encode()).hexdigest()
+
+
+def test_a_turn_beyond_the_default_bound_of_the_json_reader(spark):
+    rows = spark.range(1).selectExpr("id as conv_id", "0 as turn", "'assistant' as role", "repeat('0123456789', 2050000) as text")
+    back = chat.read_back(chat.formatted(chat.canonical_turns(chat.rows_to_records(rows))))
+    (found,) = back.selectExpr("layout", "size(turns) as n", "sha2(turns[0].text, 256) as text", "sha2(learned, 256) as learned").collect()
+    digest = hashlib.sha256(b"0123456789" * 2_050_000).hexdigest()
+    assert tuple(found) == ("rows", 1, digest, digest)
