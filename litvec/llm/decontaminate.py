@@ -79,15 +79,24 @@ class Items:
             near.update(self.index.get((size, i, int(fingerprint & mask)), ()))
         return [k for k in near if (int(self.prints[k]) ^ int(fingerprint)).bit_count() <= RADIUS]
 
-    def windows(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """Start and size of the windows of a document that share a shingle with an item of that size."""
+    def windows(self, words: np.ndarray, shorter: bool = False) -> set[tuple[int, int]]:
+        """Start and size of the windows of a document that share a shingle with an item of that size.
+
+        With ``shorter``, the whole document is the window of an item with more words, if it has
+        enough shingles for the similarity.
+        """
         lines: dict[int, set[int]] = defaultdict(set)
         for gram in self.grams:
             x, _ = shingles(words, np.array([len(words)]), gram)
             for p in np.flatnonzero(self.map[x >> np.uint64(64 - _MAP_BITS)]).tolist():
                 for k, q in self.places.get(int(x[p]), ()):
-                    if min(SHINGLE, int(self.size[k])) == gram and len(words) >= self.size[k]:
-                        lines[k].add(min(max(p - q, 0), len(words) - int(self.size[k])))
+                    size = int(self.size[k])
+                    if min(SHINGLE, size) != gram:
+                        continue
+                    if len(words) >= size:
+                        lines[k].add(min(max(p - q, 0), len(words) - size))
+                    elif shorter and len(x) >= SIMILARITY * (size - gram + 1):
+                        lines[k].add(0)
         out = set()
         for k, starts in lines.items():
             size, last = int(self.size[k]), None
@@ -96,11 +105,12 @@ class Items:
                 last = s
         return out
 
-    def find(self, words: np.ndarray) -> list[tuple[int, int, float]]:
+    def find(self, words: np.ndarray, shorter: bool = False) -> list[tuple[int, int, float]]:
         """Item, first word and similarity of the best window of each item that the document holds."""
         best: dict[int, tuple[float, int]] = {}
-        for start, size in sorted(self.windows(words)):
-            x, many = shingles(words[start : start + size], np.array([size]))
+        for start, size in sorted(self.windows(words, shorter)):
+            window = words[start : start + size]
+            x, many = shingles(window, np.array([len(window)]))
             own = Counter(x.tolist())
             for k in self.within_radius(size, fingerprints(x, many)[0]):
                 similarity = weighted_similarity(own, self.weights[k])
@@ -124,7 +134,7 @@ def _passes(items: DataFrame, item_id: str, text: str) -> Iterator[Items]:
         yield Items(names, texts)
 
 
-def _per_slice(items: Items, batches: Iterator[pa.RecordBatch]):
+def _per_slice(items: Items, batches: Iterator[pa.RecordBatch], shorter: bool):
     for batch in in_slices(batches):
         words, counts = word_hashes(batch.column(1).to_pylist())
         # One look at all shingles of the slice tells which texts share any with an item.
@@ -134,16 +144,23 @@ def _per_slice(items: Items, batches: Iterator[pa.RecordBatch]):
             at = np.flatnonzero(items.map[x >> np.uint64(64 - _MAP_BITS)])
             hit[np.unique(np.searchsorted(np.cumsum(many), at, side="right"))] = True
         ends = np.cumsum(counts)
-        yield batch, {int(r): items.find(words[ends[r] - counts[r] : ends[r]]) for r in np.flatnonzero(hit)}
+        yield batch, {int(r): items.find(words[ends[r] - counts[r] : ends[r]], shorter) for r in np.flatnonzero(hit)}
 
 
 def contamination(
-    df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
+    df: DataFrame,
+    items: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    shorter: bool = False,
 ) -> DataFrame:
     """A row for each document and item that it holds: ``doc_id, item_id, start_word, similarity``.
 
     Of the windows with the item's number of words the most similar one counts, then the first;
-    it has to reach 0.8 in weighted five-word shingles (one of all words for shorter items). A
+    it has to reach 0.8 in weighted five-word shingles (one of all words for shorter items). With
+    ``shorter``, a document of fewer words than the item is compared as a whole. A
     null text or item, or one without a word, matches nothing; a null id stays null; rows that
     repeat are found again each, and empty tables give no row. Nothing is shuffled, and a passage
     that many documents share costs each of them the same.
@@ -154,7 +171,7 @@ def contamination(
     for known in _passes(items, item_id, item_text):
 
         def found(batches: Iterator[pa.RecordBatch], known: Items = known) -> Iterator[pa.RecordBatch]:
-            for batch, hits in _per_slice(known, batches):
+            for batch, hits in _per_slice(known, batches, shorter):
                 names = batch.column(0).to_pylist()
                 rows = [(names[r], *hit) for r, matches in hits.items() for hit in matches]
                 columns = list(zip(*rows)) or [[], [], [], []]
@@ -170,7 +187,7 @@ def contamination(
 def drop_contaminated(
     df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """The rows of ``df``, with all their columns, that hold no item."""
+    """The rows of ``df``, with all their columns, that hold no item and are no shortened one."""
     own = df.columns
     at = own.index(text)
     for known in _passes(items, item_id, item_text):
@@ -179,7 +196,7 @@ def drop_contaminated(
             for batch in batches:
                 a = 0
                 pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(at).fill_null("")], ["id", "text"])
-                for part, hits in _per_slice(known, iter([pair])):
+                for part, hits in _per_slice(known, iter([pair]), True):
                     keep = [not hits.get(r) for r in range(part.num_rows)]
                     yield batch.slice(a, part.num_rows).filter(pa.array(keep, pa.bool_()))
                     a += part.num_rows

@@ -92,3 +92,30 @@ def test_index_finds_everything_within_the_radius():
             mask = sum(1 << b for b in rnd.sample(range(64), flips))
             near = items.within_radius(30, items.prints[k] ^ type(items.prints[k])(mask))
             assert (k in near) == (flips <= decontaminate.RADIUS)
+
+
+def test_documents_shorter_than_the_item_against_brute_force(spark):
+    rnd = random.Random(5)
+    items = [(k, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))) for k, n in enumerate([3, 5, 6, 9, 14, 20, 60, 60])]
+    items.append((8, "la " * 30))
+    docs = [(0, " ".join(words_of(items[6][1])[:-5])), (1, "la " * 29), (2, "la " * 24), (3, "la " * 25)]
+    for i in range(150):
+        words = words_of(rnd.choice(items)[1])
+        for _ in range(rnd.choice([1, 1, 2, 4, 9])):
+            p = rnd.choice([0, len(words) - 1, rnd.randrange(len(words))]) if words else 0
+            words[p : p + 1] = rnd.choice([[], [], ["other"]])
+        docs.append((10 + i, " ".join(words)))
+    wanted = by_hand(docs, items)
+    for d, text in docs:
+        own = shingles(words_of(text))
+        for k, item in items:
+            target = shingles(words_of(item))
+            similarity = (own & target).total() / max(1, (own | target).total())
+            if len(words_of(text)) < len(words_of(item)) and similarity >= 0.8:
+                wanted[d, k] = similarity, 0
+    frames = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contamination(*frames, shorter=True).collect()}
+    assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k][0]) < 1e-12 for k in got)
+    assert (0, 6) in got and (3, 8) in got and len(got) > 30
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(*frames).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in wanted}
