@@ -3,6 +3,7 @@
 A text is its five-word shingles, told apart by occurrence. For each of several hash functions
 the two smallest are kept in the order of the text, so a sketch agrees only if the shingles and
 their order do. Texts that share a sketch are compared by banded alignment of all their shingles.
+Where too many share one, pairs that are not connected yet are found by their rarest shingles.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ SKETCHES = 12
 SMALL = 8
 HUBS, LEADERS = 3, 16
 # Members meet leaders that agree with them in this many sketches, as 99.4 % of pairs of similarity 0.8 do, and
-# in each round this many random ones, those that agree in most.
+# in each round this many random ones, those that agree in most. The rest is left to rare shingles.
 AGREEMENT, MEETINGS = 4, 16
+# Counters for the order of shingles by rarity, and the members of a rare shingle that one row holds.
+_COUNTER_BITS, BLOCK = 18, 256
 _SEEDS = mix(np.arange(1, 2 * SKETCHES + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -129,8 +132,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     full. A larger bucket is neither gathered nor paired: its members meet its hubs, those that share
     most sketches with others, found by an aggregate. Members that stay out of the main hub's class
     then meet random members of that class and of the rest that agree with them in most sketches, in
-    rounds that go on until one finds no further link. A text meets few others even in a bucket that
-    holds a third of all rows.
+    rounds that go on until one finds no further link. These rounds only save work: members of a
+    bucket that are of different classes at the end are compared by ``_rare_pairs``, which leaves out
+    no pair that can reach 0.8, however few sketches it shares. So a pair that shares a sketch is
+    linked in large buckets as it is in small ones.
     """
     own = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     sketched = stage(
@@ -165,6 +170,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             break
         classes = _merged(classes, links)
         turn += 1
+    rest = _rare_pairs(large, bodies, classes).distinct().join(met, ["a", "b"], "left_anti")
+    links = _linked(small_side(rest, "rest"), bodies)
+    if not links.isEmpty():
+        classes = _merged(classes, links)
 
     copies = texts.select("digest", F.col("id").alias("copy_of")).join(
         classes.withColumnRenamed("id", "copy_of"), "copy_of", "left"
@@ -263,6 +272,91 @@ def _random_pairs(large: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
     return nearest.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
 
 
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """How often shingles occur in ``texts``, by the first bits of their hash: a table of one size for any input."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << _COUNTER_BITS, "i8")
+        for batch in in_slices(batches):
+            slots = (_labelled(batch.column(1).to_pylist())[2] >> np.uint64(64 - _COUNTER_BITS)).astype("i8")
+            total += np.bincount(slots, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    counts = texts.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << _COUNTER_BITS, "i8")
+    out[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    return out
+
+
+def _may_reach(size: Column, at: Column, other_size: Column, other_at: Column) -> Column:
+    """Whether two texts whose first common shingle is at these places can share enough for the similarity."""
+    need = F.lit(SIMILARITY / (1 + SIMILARITY)) * (size + other_size) - F.lit(1e-6)
+    return F.least(size - at, other_size - other_at) >= need
+
+
+def _rare_pairs(large: DataFrame, bodies: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs ``a < b`` of different classes in large buckets that may have the similarity.
+
+    All shingles are put in one order, rare ones first. Two texts of n and m shingles that reach a
+    similarity of s share s / (1 + s) * (n + m) of them or more; behind their first common one, both have
+    to have as many left, so it is among the first fifth of either. A passage that thousands share
+    is behind the shingles that few have. Shingles whose texts are all of one class are left out. The
+    others' texts are compared in blocks, those of the main class with those outside only.
+    """
+    live = _by_bucket(large.join(classes, "id")).groupBy("bucket")
+    live = live.agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high").select("bucket")
+    ids = _by_bucket(large).join(small_side(live, "live"), "bucket", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+    texts = stage(bodies.join(small_side(ids, "open"), "doc_id"), "open-texts")
+    rarity = _rarity(texts)
+
+    def first_fifth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            x, many = _labelled(batch.column(1).to_pylist())[2:]
+            text = np.repeat(np.arange(len(many)), many)
+            order = np.lexsort((x, rarity[(x >> np.uint64(64 - _COUNTER_BITS)).astype("i8")], text))
+            at = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+            size = np.repeat(many, many)
+            keep = size - at >= SIMILARITY * size - 1e-6
+            columns = (np.repeat(batch.column(0).to_numpy(), many), x[order].view("i8"), size, at)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep], pa.int64()) for c in columns], ["id", "shingle", "size", "at"])
+
+    firsts = texts.mapInArrow(first_fifth, "id long, shingle long, size long, at long").join(classes, "id")
+    firsts = stage(firsts, "firsts")
+    shared = firsts.groupBy("shingle").agg(
+        F.count("*").alias("n"),
+        F.max_by("class_id", F.struct("size", "id")).alias("main"),
+        (F.min("class_id") != F.max("class_id")).alias("live"),
+    )
+    shared = small_side(shared.where("live").drop("live"), "shared")
+    outside = firsts.join(shared, "shingle").withColumn("outside", F.col("class_id") != F.col("main"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = stage(outside.select("*", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), blocks.alias("blocks")), "dealt")
+    # Members outside the main class stand still in their block, and every member visits all blocks.
+    visits = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("visited"))
+    fields = ("id", "class_id", "size", "at", "outside")
+    home = dealt.where("outside").groupBy("shingle", "block").agg(F.collect_list(F.struct(*fields)).alias("home"))
+    home = stage(home, "home")
+    occupied = home.select("shingle", F.col("block").alias("visited"))
+    guests = visits.join(occupied, ["shingle", "visited"], "left_semi").groupBy("shingle", "visited", "block")
+    guests = guests.agg(F.collect_list(F.struct(*fields)).alias("guests")).withColumnRenamed("block", "of")
+    met = guests.join(home.withColumnRenamed("block", "visited"), ["shingle", "visited"])
+
+    def differing(x: Column) -> Column:
+        """Guests that ``x`` has to be compared with; of two outside the main class the smaller id asks."""
+
+        def wanted(y: Column) -> Column:
+            once = ~y["outside"] | (x["id"] < y["id"])
+            return once & (x["class_id"] != y["class_id"]) & _may_reach(x["size"], x["at"], y["size"], y["at"])
+
+        return F.transform(
+            F.filter("guests", wanted),
+            lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")),
+        )
+
+    return met.select(F.explode(F.flatten(F.transform("home", differing))).alias("p")).select("p.a", "p.b")
+
+
 def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """Classes joined by further links between their members."""
     for end in "ab":

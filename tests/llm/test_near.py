@@ -134,3 +134,34 @@ def test_components(spark):
     found = {r.id: r.class_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}, 299: 299, 300: 299}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_planted_pairs_in_a_passage_that_hundreds_share(spark):
+    rnd = random.Random(6)
+    new = lambda n: [f"u{rnd.randrange(10**9)}" for _ in range(n)]
+    passage = new(180)
+    text = lambda own: " ".join(own[:30] + passage + own[30:])
+    rows = [(10 * i, text(new(60))) for i in range(600)]
+
+    def sketched(texts):
+        return near.order_sketches(*near._labelled(texts)[2:])
+
+    common = sketched([t for _, t in rows])
+    common = [{s for s, n in Counter(column).items() if n > 4 * near.SMALL} for column in common.T.tolist()]
+    planted = 0
+    while planted < 4:  # pairs that share sketches of the passage only, enough of them
+        own = new(60)
+        copy = list(own)
+        for p in (6, 17, 24, 37, 52):
+            copy[p] = new(1)[0]
+        left, right = sketched([text(own), text(copy)]).tolist()
+        agreeing = [s in common[j] for j, (s, t) in enumerate(zip(left, right)) if s == t]
+        if len(agreeing) >= near.AGREEMENT and all(agreeing):
+            rows += [(10**5 + planted, text(own)), (10**6 + planted, text(copy))]
+            planted += 1
+    wanted = {d: d if d < 10**6 else d - 10**6 + 10**5 for d, _ in rows}
+    sets = {d: labelled(words_of(t)) for d, t in rows}
+    similarity = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(similarity(10**5 + k, 10**6 + k) >= 0.8 for k in range(4)) and similarity(10, 20) < 0.8
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == wanted
