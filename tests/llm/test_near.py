@@ -165,3 +165,34 @@ def test_planted_pairs_in_a_passage_that_hundreds_share(spark):
     assert all(similarity(10**5 + k, 10**6 + k) >= 0.8 for k in range(4)) and similarity(10, 20) < 0.8
     got = {r.doc_id: r.class_id for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == wanted
+
+
+def test_a_pair_that_agrees_in_few_sketches_of_crowded_buckets(spark):
+    rnd = random.Random(8)
+    new = lambda n: [f"v{rnd.randrange(10**9)}" for _ in range(n)]
+
+    def sketched(words):
+        x, many = near._labelled([" ".join(words)])[2:]
+        return x, near.order_sketches(x, many)[0]
+
+    while True:  # about one pair in a hundred
+        a = new(100)
+        b = [*a[:48], *new(1), *a[49:72], *new(1), *a[73:]]
+        (x, left), (_, right) = sketched(a), sketched(b)
+        agreeing = np.flatnonzero(left == right).tolist()
+        if 1 <= len(agreeing) < near.AGREEMENT:
+            break
+    rows = [(1, " ".join(a)), (2, " ".join(b))]
+    for j in agreeing:
+        g = (x ^ near._SEEDS[2 * j]) * (near._SEEDS[2 * j + 1] | np.uint64(1))
+        low, high = sorted(np.argsort(g ^ (g >> np.uint64(32)))[:2].tolist())
+        members = 0
+        while members < near.SMALL:  # texts that share this sketch and little else
+            words = [*a[low : low + 5], *new(6), *a[high : high + 5], *new(20)]
+            if sketched(words)[1][j] == left[j]:
+                rows.append((100 * (j + 1) + members, " ".join(words)))
+                members += 1
+    wanted = classes_by_hand(rows)
+    assert wanted[2] == 1 and len(set(wanted.values())) == len(rows) - 1
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == wanted
