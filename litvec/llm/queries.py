@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from litvec.llm import chat, decontaminate, exact, near, pii, repeats, sequences, toxicity, url_rules, warc
+from litvec.llm import bestfit, chat, clusters, decontaminate, exact, near, pii, repeats, sequences, toxicity, url_rules, warc
 from pyspark.sql import functions as F
 
 from litvec.llm.common import Query, table
@@ -195,3 +195,51 @@ SELECT doc_id,
     text_sha256
 FROM n
 """
+
+
+@query
+def op12_clusters(spark, sf_dir):
+    vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return clusters.with_inertia(*clusters.centroid_clusters(vectors))
+
+
+def _cluster_sql(dim: int = 64, clusters: int = 8, rounds: int = 10) -> str:
+    """One step per round: nearest centroids of all vectors, then the means as floors."""
+    each = ", ".join(f"sum(v[{i}]) AS s{i}" for i in range(1, dim + 1))
+    # Division of whole numbers cuts towards zero: take the remainder off first.
+    floors = ", ".join(f"((s{i} - ((s{i} % n) + n) % n) // n)::BIGINT" for i in range(1, dim + 1))
+    squares = "list_sum(list_transform(list_zip(v.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    step = """a{r} AS MATERIALIZED (
+    SELECT v.row, any_value(v.vec_id) AS vec_id, any_value(v.v) AS v,
+        min({{'d': {squares}::BIGINT, 'k': c.k}}) AS near
+    FROM v, c{r} c GROUP BY v.row
+), """.replace("{squares}", squares)
+    move = """m{r} AS MATERIALIZED (SELECT near.k AS k, count(*) AS n, {each} FROM a{r} GROUP BY near.k),
+c{next} AS MATERIALIZED (SELECT c.k, CASE WHEN m.k IS NULL THEN c.c ELSE [{floors}] END AS c FROM c{r} c LEFT JOIN m{r} m ON c.k = m.k),
+"""
+    steps = "".join(
+        step.format(r=r) + move.format(r=r, next=r + 1, each=each, floors=floors) for r in range(rounds)
+    ) + step.format(r=rounds)
+    return f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}
+), c0 AS MATERIALIZED (
+    SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1)::INTEGER AS k, v AS c FROM v QUALIFY k < {clusters}
+), {steps}t AS (
+    SELECT near.k AS k, sum(near.d)::BIGINT AS n FROM a{rounds} GROUP BY near.k
+)
+SELECT a.vec_id, a.near.k AS cluster, a.near.d AS distance, t.n AS cluster_inertia,
+    (SELECT sum(n) FROM t)::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN t ON t.k = a.near.k JOIN c{rounds} c ON c.k = a.near.k
+"""
+
+
+ORACLES["op12_clusters"] = _cluster_sql()
+
+
+@query
+def op13_best_fit(spark, sf_dir):
+    found = bestfit.pieces(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    return bestfit.best_fit(bestfit.digests(found))
