@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from litvec.llm import bestfit, chat, clusters, decontaminate, exact, near, pii, repeats, sequences, toxicity, url_rules, warc
+from litvec.llm import (
+    bestfit,
+    chat,
+    clusters,
+    decontaminate,
+    exact,
+    merkle,
+    near,
+    pii,
+    repeats,
+    sequences,
+    toxicity,
+    url_rules,
+    warc,
+)
 from pyspark.sql import functions as F
 
 from litvec.llm.common import Query, table
@@ -197,6 +211,102 @@ FROM n
 """
 
 
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def manifest_checked(documents, fan_out=merkle.FAN_OUT):
+    """Proofs of all rows, folded from rows of which every third or so came back in lower case."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    text = F.when(hit, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text"))
+    # Only tampered rows are hashed a second time; the others come back as they were.
+    seen = F.when(hit, merkle.digest(*LEAF_FIELDS[:-1], text)).alias("seen")
+    tree = merkle.build(documents, merkle.digest(*LEAF_FIELDS), "lang", ["doc_id"], ["doc_id", seen], fan_out)
+    folded = merkle.proofs(tree).withColumn("folded_root", merkle.folded(F.coalesce("carried.seen", "leaf")))
+    return folded.select(
+        "carried.doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest().alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query
+def op11_manifest(spark, sf_dir):
+    return manifest_checked(spread(table(spark, sf_dir, "documents")))
+
+
+def _manifest_sql(levels: int = 9, fan_out: int = 8) -> str:
+    """Every level groups its nodes by run; ``levels`` is enough for as many leaves as 8 to its power."""
+
+    def told(name: str) -> str:
+        return f"coalesce(octet_length(encode({name}::VARCHAR))::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join([*map(told, LEAF_FIELDS[:-1]), told(text)]) + ")"
+
+    def climbed(name: str) -> str:
+        parts = []
+        for at in range(levels):
+            parts.append(f"""{name}r{at} AS MATERIALIZED (
+    SELECT grp, node // {fan_out} AS node, list(hash ORDER BY node) AS run, any_value(n) AS n FROM {name}{at} GROUP BY grp, node // {fan_out}
+), {name}{at + 1} AS MATERIALIZED (
+    SELECT grp, node, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS hash,
+        (n + {fan_out - 1}) // {fan_out} AS n
+    FROM {name}r{at}
+)""")
+        return ",\n".join(parts)
+
+    def folded(name: str, start: str, source: str) -> str:
+        """Proof and both folds of the rows of ``source`` (row, grp, node, hash, proof, seen)."""
+        parts = [f"{start}0 AS MATERIALIZED ({source})"]
+        for at in range(levels):
+            slot = f"(f.node % {fan_out})::INTEGER"
+            left, right = f"array_to_string(r.run[1:{slot}], '')", f"array_to_string(r.run[{slot} + 2:], '')"
+            parts.append(f"""{start}{at + 1} AS MATERIALIZED (
+    SELECT f.row, f.grp, f.node // {fan_out} AS node,
+        CASE WHEN r.n = 1 THEN f.proof ELSE f.proof || {left} || {right} END AS proof,
+        CASE WHEN r.n = 1 THEN f.seen ELSE sha256({left} || f.seen || {right}) END AS seen
+    FROM {start}{at} f JOIN {name}r{at} r ON r.grp = f.grp AND r.node = f.node // {fan_out}
+)""")
+        return ",\n".join(parts)
+
+    return f"""
+WITH bits AS (
+    SELECT list_transform(range(256), lambda n: list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), d AS (
+    SELECT documents.*, xor(list_reduce(
+            [4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 IS NOT DISTINCT FROM 0 AS hit
+    FROM documents, bits
+), h AS (
+    SELECT doc_id, lang, {leaf("text")} AS leaf,
+        CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed,
+        {leaf("changed")} AS seen
+    FROM d
+), l AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, doc_id, leaf, seen, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS grp,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS node, count(*) OVER (PARTITION BY lang) AS n
+    FROM h
+), a0 AS MATERIALIZED (SELECT grp, node, leaf AS hash, n FROM l),
+{climbed("a")},
+b0 AS MATERIALIZED (SELECT 0 AS grp, grp AS node, hash, count(*) OVER () AS n FROM a{levels}),
+{climbed("b")},
+{folded("a", "f", "SELECT row, grp, node, '' AS proof, seen FROM l")},
+{folded("b", "g", f"SELECT row, 0 AS grp, grp AS node, proof, seen FROM f{levels}")}
+SELECT l.doc_id, l.leaf, s.hash AS subroot, r.hash AS root, sha256(g.proof) AS proof_sha256,
+    g.seen AS folded_root, g.seen = r.hash AS verified
+FROM l JOIN g{levels} g ON g.row = l.row JOIN a{levels} s ON s.grp = l.grp, b{levels} r
+"""
+
+
+ORACLES["op11_manifest"] = _manifest_sql()
+
+
 @query
 def op12_clusters(spark, sf_dir):
     vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

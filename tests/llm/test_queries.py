@@ -21,5 +21,5 @@ def test_query_agrees_with_sql(spark, monkeypatch, name):
 def test_registered():
     names = [*QUERIES, "pipeline"]
     assert set(names) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
