@@ -75,12 +75,12 @@ collapsed AS (
   FROM kept GROUP BY pmid, section)"""
 
 
-def packed(texts: str, key: str, limit: int) -> str:
+def packed(texts: str, key: str, limit: int, pieces: str = f"regexp_extract_all(s, ' ?(?:{TOKEN})')") -> str:
     """Chunks of the relation ``texts(key, text)`` as ``chunks(key, chunk_no, text, n_tokens)``."""
     return f"""
 sized AS (
-  SELECT {key}, sents, list_transform(sents, lambda s: len({token_list("s")})) AS sizes,
-    flatten(list_transform(sents, lambda s: regexp_extract_all(s, ' ?(?:{TOKEN})'))) AS pieces
+  SELECT {key}, sents, list_transform(sents, lambda s: len({pieces})) AS sizes,
+    flatten(list_transform(sents, lambda s: {pieces})) AS pieces
   FROM (SELECT {key}, {sentence_list("text")} AS sents FROM {texts})),
 step AS (
   SELECT {key}, 0 AS i, 0::BIGINT AS start, 0::BIGINT AS len, CAST([] AS STRUCT(a BIGINT, n BIGINT)[]) AS done, sizes FROM sized
@@ -103,6 +103,164 @@ chunks AS (
   FROM spans JOIN sized USING ({key}))"""
 
 
+# Learned sentence ends: words of all documents, counts, ratios.
+CLOSERS = r"""["''”’»)\]}]*"""
+
+
+def word_type(expr: str) -> str:
+    bare = rf"lower(regexp_replace({expr}, '\A[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+\z', '', 'g'))"
+    return rf"CASE WHEN regexp_matches({bare}, '\A[0-9][0-9.,]*\z') THEN '#' ELSE {bare} END"
+
+
+def word_mark(expr: str) -> str:
+    return rf"""CASE WHEN regexp_matches({expr}, '[!?][.!?]*{CLOSERS}\z') THEN '!'
+    WHEN regexp_matches({expr}, '\.\.+{CLOSERS}\z') THEN '…'
+    WHEN regexp_matches({expr}, '[\p{{L}}\p{{N}}]\.{CLOSERS}\z') THEN '.'
+    WHEN regexp_matches({expr}, '\.{CLOSERS}\z') THEN '!'
+    WHEN regexp_matches({expr}, '[\p{{L}}\p{{N}}]\.[^\p{{L}}\p{{N}}.]+\z') THEN ',' ELSE '' END"""
+
+
+def times_log(count: str, share: str) -> str:
+    return f"CASE WHEN {count} > 0 THEN {count} * ln({share}) ELSE 0 END"
+
+
+def likelihood(k: str, n: str, share: str) -> str:
+    return f"({times_log(k, share)} + {times_log(f'({n} - {k})', f'(1 - {share})')})"
+
+
+RATIO = f"""2 * ({likelihood("k", "c1", "(k / c1)")} + {likelihood("(c2 - k)", "(t - c1)", "((c2 - k) / (t - c1))")}
+    - {likelihood("k", "c1", "(c2 / t)")} - {likelihood("(c2 - k)", "(t - c1)", "(c2 / t)")})"""
+
+
+def behind(ends: str, least: str) -> str:
+    return f"""
+  SELECT type, n, k AS together, score FROM (
+    SELECT a.type, a.n, a.k, {RATIO} AS score
+    FROM (SELECT e.next AS type, sum(e.c)::BIGINT AS k, any_value(t.n) AS n, any_value(t.n)::DOUBLE AS c2,
+        (SELECT sum(c) FROM {ends})::DOUBLE AS c1, (SELECT total FROM totals)::DOUBLE AS t
+      FROM {ends} e JOIN types t ON t.type = e.next WHERE regexp_matches(e.next, '\\p{{L}}') GROUP BY e.next) a
+    WHERE k / c1 > c2 / t) WHERE score >= {least}"""
+
+
+SENTENCE_MODEL = f"""
+words AS (
+  SELECT doc_id, i, w, {word_type("w")} AS type, {word_mark("w")} AS mark
+  FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+    FROM (SELECT doc_id, string_split({spaced("text")}, ' ') AS ws FROM documents WHERE text IS NOT NULL))),
+followed AS (
+  SELECT type, mark, lead(type) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM words
+  UNION ALL SELECT '', '^', type FROM words WHERE i = 1),
+counts AS MATERIALIZED (SELECT type, mark, CASE WHEN mark IN ('!', '.', '^') THEN next END AS next, count(*) AS c FROM followed GROUP BY ALL),
+types AS MATERIALIZED (
+  SELECT type, sum(c)::BIGINT AS n, coalesce(sum(c) FILTER (mark IN ('.', ',')), 0)::BIGINT AS k FROM counts WHERE type <> '' GROUP BY type),
+totals AS MATERIALIZED (SELECT sum(n)::BIGINT AS total, sum(k)::BIGINT AS stops FROM types),
+weighed AS (
+  SELECT type, n, k, n - k AS plain, stops / total AS p, length(replace(type, '.', '')) AS letters
+  FROM types, totals WHERE k > 0 AND regexp_matches(type, '\\p{{L}}')),
+scored AS (
+  SELECT type, n, k AS together, -2 * ({times_log("k", "p")} + {times_log("plain", "(1 - p)")} - k * ln(0.99) - plain * ln(1 - 0.99::DOUBLE))
+    * exp(-letters) * (length(type) - letters + 1) * pow(letters::DOUBLE, -plain::DOUBLE) AS score
+  FROM weighed),
+abbreviations AS MATERIALIZED (SELECT * FROM scored WHERE score >= 0.3),
+certain AS MATERIALIZED (
+  SELECT * FROM counts WHERE next <> '' AND type NOT IN (SELECT type FROM abbreviations)
+    AND (mark IN ('!', '^') OR mark = '.' AND length(type) > 1)),
+starters AS MATERIALIZED ({behind("certain", "30")}),
+numbered AS MATERIALIZED (SELECT * FROM counts WHERE type = '#' AND mark = '.' AND next <> ''),
+ordinals AS MATERIALIZED (SELECT * FROM ({behind("numbered", "7.88")}) WHERE type NOT IN (SELECT type FROM starters))"""
+
+LEARNED_SENTENCES = rf"""{SENTENCE_MODEL},
+possible AS (
+  SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (
+    SELECT doc_id, string_split(regexp_replace({spaced("text")}, '([.!?]{CLOSERS}) ', '\1' || {NEWLINE} || ' ', 'g'), {NEWLINE}) AS ps
+    FROM documents)),
+faced AS (
+  SELECT *, regexp_extract(p, '[^ ]+\z') AS word,
+    regexp_extract(lead(p) OVER (PARTITION BY doc_id ORDER BY i), '\A *([^ ]+)', 1) AS after FROM possible),
+facts AS (
+  SELECT doc_id, i, p, {word_mark("word")} AS mark, {word_type("word")} AS kind, {word_type("after")} AS next,
+    regexp_matches(after, '\A[^\p{{L}}\p{{N}}]*\p{{Lu}}') AS capital, regexp_matches(after, '\A[^\p{{L}}\p{{N}}]*\p{{Ll}}') AS small FROM faced),
+judged AS (
+  SELECT *, NOT CASE WHEN mark = '!' THEN FALSE WHEN mark = '…' THEN NOT capital
+    WHEN length(kind) = 1 AND kind <> '#' OR kind IN (SELECT type FROM abbreviations)
+      THEN NOT (capital AND next IN (SELECT type FROM starters))
+    WHEN kind = '#' THEN small OR next IN (SELECT type FROM ordinals) ELSE FALSE END AS ends FROM facts),
+runs AS (
+  SELECT doc_id, i, p, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
+  FROM judged),
+learned AS (SELECT doc_id, run, trim(string_agg(p, '' ORDER BY i)) AS text FROM runs GROUP BY doc_id, run)"""
+
+
+def regexp_chain(expr: str, *rules: tuple[str, str]) -> str:
+    for pattern, to in rules:
+        pattern, to = pattern.replace("'", "''"), to.replace("'", "''")
+        expr = f"regexp_replace({expr}, '{pattern}', replace('{to}', '~', {NEWLINE}), 'g')"
+    return expr
+
+
+def small_or_capital(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" for c in word)
+
+
+CLITIC = "([nN]['’][tT]|['’](?:[lL][lL]|[rR][eE]|[vV][eE]|[sS]|[mM]|[dD]))"
+CUT_WORDS = [
+    (small_or_capital(a), small_or_capital(b))
+    for a, b in (("can", "not"), ("gon", "na"), ("wan", "na"), ("got", "ta"), ("gim", "me"), ("lem", "me"))
+]
+
+
+def marked(expr: str) -> str:
+    """A line end wherever two tokens touch; ``~`` stands for it in the replacements."""
+    clitic = (rf"([^'’\n ]){CLITIC}(\n| |\z)", r"\1~\2\3")
+    words = [(rf"(\A|\n| )({a})({b})(\n| |\z)", r"\1\2~\3\4") for a, b in CUT_WORDS]
+    return regexp_chain(
+        expr,
+        (r"(--+|\.\.+|[,:;@#$%&?!()\[\]{}<>\"“”„«»…])", r"~\1~"),
+        (r"\n([,:])\n([0-9])", r"\1\2"),
+        (r"([^.\n ])\.([\n \])}>\"”»'’]*)\z", r"\1~.\2"),
+        (r"(\A|\n| )(['’])([^\n ])", r"\1\2~\3"),
+        (r"(\A|\n| )(['’])\n([tT])([iI][sS]|[wW][aA][sS])(\n| |\z)", r"\1\2\3~\4\5"),
+        clitic,
+        clitic,
+        (r"([^'’\n ])(['’])(\n| |\z)", r"\1~\2\3"),
+        *words,
+        *words,
+        (r"\n* \n*", " "),
+        (r"\n\n+", "~"),
+        (r"\A\n+|\n+\z", ""),
+    )
+
+
+def treebank_pieces(expr: str) -> str:
+    return f"list_filter(string_split(replace({marked(expr)}, ' ', {NEWLINE} || ' '), {NEWLINE}), lambda p: p <> '')"
+
+
+# Sentences with their pieces and tokens; a double quote opens where only the next token touches it.
+TREEBANK = f"""
+treebank AS (
+  SELECT doc_id, i - 1 AS sentence_no, {treebank_pieces("trim(piece)")} AS ps
+  FROM (SELECT doc_id, unnest(sents) AS piece, generate_subscripts(sents, 1)::BIGINT AS i
+    FROM (SELECT doc_id, {sentence_list("text")} AS sents FROM documents))),
+tokens AS (
+  SELECT *, list_filter(list_transform(ps, lambda p, i: CASE WHEN trim(p) <> '"' THEN ltrim(p, ' ')
+    WHEN (starts_with(p, ' ') OR i = 1 OR ltrim(ps[i - 1], ' ') IN ('(', '[', '{{', '<')) AND NOT starts_with(coalesce(ps[i + 1], ' '), ' ')
+    THEN '``' ELSE '''''' END), lambda t: t <> '') AS ts FROM treebank)"""
+
+PRINTED = regexp_chain(
+    "array_to_string(ts, ' ')",
+    (r" (''|[;?!%)\]}>”»…])", r"\1"),
+    (r" (\.+|[,:])([^\p{L}\p{N}]|\z)", r"\1\2"),
+    (r" (\.+|[,:])([^\p{L}\p{N}]|\z)", r"\1\2"),
+    (rf" {CLITIC}(?: |\z)", r"\1 "),
+    (rf" {CLITIC}(?: |\z)", r"\1 "),
+    (r"(\A| )(``|[(\[{<“„«$#@]) ", r"\1\2"),
+    (r"(\A| |``|[(\[{<“„«$#@])(``|[(\[{<“„«$#@]) ", r"\1\2"),
+    *((rf"(\A| )({a}) ({b})([^\p{{L}}\p{{N}}]|\z)", r"\1\2\3\4") for a, b in CUT_WORDS),
+    (r"``|''", '"'),
+    (r"\A +| +\z", ""),
+)
+
+
 SECTION_CHUNKS = f"""{COLLAPSED},
 keyed AS (SELECT pmid || '/' || section AS k, * FROM collapsed),
 {packed("keyed", "k", 100)},
@@ -302,6 +460,18 @@ FROM (SELECT doc_id, unnest(sents) AS piece, trim(piece) AS s, generate_subscrip
   FROM (SELECT doc_id, {sentence_list("text")} AS sents FROM documents))""",
     "pack_100": f"WITH RECURSIVE {packed('documents', 'doc_id', 100)} SELECT doc_id, chunk_no, text, n_tokens FROM chunks",
     "pack_350": f"WITH RECURSIVE {packed('documents', 'doc_id', 350)} SELECT doc_id, chunk_no, text, n_tokens FROM chunks",
+    "sentence_model": f"""WITH {SENTENCE_MODEL}
+SELECT 'abbreviation' AS kind, type, n, together, round(score, 4) AS score FROM abbreviations
+UNION ALL SELECT 'starter', type, n, together, round(score, 4) FROM starters
+UNION ALL SELECT 'ordinal', type, n, together, round(score, 4) FROM ordinals""",
+    "sentences_learned": f"""WITH {LEARNED_SENTENCES}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS sentence_no, text FROM learned WHERE text <> ''""",
+    "treebank_tokens": f"""WITH {TREEBANK}
+SELECT doc_id, sentence_no, array_to_string(ts, '|') AS tokens FROM tokens WHERE ps <> []""",
+    "detokenize": f"""WITH {TREEBANK}
+SELECT doc_id, sentence_no, array_to_string(ps, '') AS spelled, {PRINTED} AS printed FROM tokens WHERE ps <> []""",
+    "pack_treebank": f"""WITH RECURSIVE {packed('documents', 'doc_id', 100, treebank_pieces("s"))}
+SELECT doc_id, chunk_no, text, n_tokens FROM chunks""",
     "fixed_slices": """
 SELECT id, (a // 10)::BIGINT AS slice_no, len(s) AS n, round(list_sum(s::DOUBLE[]), 6) AS total
 FROM (SELECT vec_id AS id, a, list_slice(embedding, a + 1, a + 10) AS s

@@ -13,7 +13,8 @@ from checks import standins as st
 from litvec.functions import packing, vector
 from litvec.functions.nearest import unit
 from litvec.functions import text as tx
-from litvec.operators import chunking, dedupe, embedding, ids, passages, pooling, projection, prompts, search
+from litvec.functions import treebank as tb
+from litvec.operators import chunking, dedupe, embedding, ids, passages, pooling, projection, prompts, search, sentences
 from litvec.plans import corpus, retrieval
 from litvec.runtime import stage, staging_path
 from litvec.sources import collections, documents, files, tables
@@ -343,6 +344,55 @@ def chunk_quality(spark, sf_dir):
     return chunking.chunk_quality(st.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _sentence_model(spark, sf_dir):
+    return stage(sentences.learn(st.table(spark, sf_dir, "documents")), "sentence-model")
+
+
+@query
+def sentence_model(spark, sf_dir):
+    """Abbreviations, starters and words behind ordinals of all documents."""
+    return _sentence_model(spark, sf_dir).withColumn("score", F.round("score", 4))
+
+
+@query
+def sentences_learned(spark, sf_dir):
+    model = sentences.SentenceModel.of(_sentence_model(spark, sf_dir))
+    return sentences.split_sentences(st.table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+
+
+def _sentences(spark, sf_dir):
+    docs = st.table(spark, sf_dir, "documents")
+    split = docs.select("doc_id", F.posexplode(tx.sentences("text")).alias("no", "sentence"))
+    return split.select("doc_id", F.col("no").cast("long").alias("sentence_no"), "sentence")
+
+
+@query
+def treebank_tokens(spark, sf_dir):
+    tokens = tb.treebank_tokens("sentence")
+    return _sentences(spark, sf_dir).select("doc_id", "sentence_no", F.array_join(tokens, "|").alias("tokens"))
+
+
+@query
+def detokenize(spark, sf_dir):
+    """The sentence from its pieces, exactly, and from bare tokens, as print is spaced."""
+    both = _sentences(spark, sf_dir).select(
+        "doc_id",
+        "sentence_no",
+        tb.spelled(tb.treebank_pieces("sentence")).alias("spelled"),
+        tb.detokenize(tb.treebank_tokens("sentence")).alias("printed"),
+    )
+    return both
+
+
+@query
+def pack_treebank(spark, sf_dir):
+    """Chunks that count treebank tokens: how many, their tokens, and what they hold."""
+    splitter = packing.Splitter(pieces=lambda s: F.transform(s, tb.treebank_pieces))
+    docs = st.table(spark, sf_dir, "documents").select("doc_id", "text")
+    chunks = chunking.chunk_texts(docs, chunking.DEMO_MAX_TOKENS, splitter)
+    return chunks.select("doc_id", "chunk_no", "text", F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
 # --- vectors ---
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,7 +89,22 @@ def pack_spans(sizes: Column, max_tokens: int) -> Column:
     return F.aggregate(blocks, start, fold, finish)
 
 
-def chunks(text: Column | str, max_tokens: int) -> Column:
+@dataclass(frozen=True)
+class Splitter:
+    """How a text is cut: into sentences, and these into the pieces that a chunk counts.
+
+    Both keep the blank before what they cut off, so that joined pieces are the single-spaced text.
+    ``pieces`` takes the array of sentences and may be a vectorised Python function.
+    """
+
+    sentences: Callable[[Column | str], Column] = sentence_pieces
+    pieces: Callable[[Column], Column] = lambda s: F.transform(s, token_pieces)
+
+
+PLAIN = Splitter()
+
+
+def chunks(text: Column | str, max_tokens: int, splitter: Splitter = PLAIN) -> Column:
     """Array of ``(text, n_tokens)``: whole sentences where they fit, spelled as in the source."""
 
     def from_sentences(pieces: Column) -> Column:
@@ -105,4 +123,4 @@ def chunks(text: Column | str, max_tokens: int) -> Column:
 
         return let(F.flatten(pieces), lambda flat: F.transform(spans(flat), lambda span: chunk(flat, span)))
 
-    return let(F.transform(sentence_pieces(text), token_pieces), from_sentences)
+    return let(splitter.pieces(splitter.sentences(text)), from_sentences)

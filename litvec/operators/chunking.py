@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from litvec.functions import text as tx
 from litvec.functions.columns import let
+from litvec.functions.packing import PLAIN, Splitter
 from litvec.functions.packing import chunks as packed
 from litvec.operators import passages as ps
 
@@ -58,14 +59,14 @@ def section_texts(
     ).select(*own, "s.section", "pmid", "pmcid", "date", "authors", "journal", "s.text")
 
 
-def chunk_texts(texts: DataFrame, max_tokens: int = DEMO_MAX_TOKENS) -> DataFrame:
-    """Replace ``text`` by its chunks, one row each, numbered in ``chunk_no``."""
+def chunk_texts(texts: DataFrame, max_tokens: int = DEMO_MAX_TOKENS, splitter: Splitter = PLAIN) -> DataFrame:
+    """Replace ``text`` by its chunks, one row each, numbered in ``chunk_no``; ``splitter`` says what a token is."""
     if max_tokens < 1:
         raise ValueError(f"max_tokens must be positive: {max_tokens}")
     rest = [c for c in texts.columns if c != "text"]
     return (
         texts.where(F.length(tx.strip("text")) > 0)
-        .select(*rest, F.posexplode(packed("text", max_tokens)).alias("chunk_no", "c"))
+        .select(*rest, F.posexplode(packed("text", max_tokens, splitter)).alias("chunk_no", "c"))
         .select(*rest, F.col("chunk_no").cast("long").alias("chunk_no"), "c.text", "c.n_tokens")
     )
 
@@ -75,13 +76,14 @@ def to_chunks(
     mode: str = "section",
     max_tokens: int = DEMO_MAX_TOKENS,
     sections: Sequence[str] = ps.DEFAULT_SECTIONS,
+    splitter: Splitter = PLAIN,
 ) -> DataFrame:
     """Chunk table of documents: packed sections, or the passages as they are (``mode='sentence'``).
 
     ``chunk_no`` counts within (document, section), in sentence mode it is the passage position.
     """
     if mode == "section":
-        return chunk_texts(section_texts(documents, sections), max_tokens)
+        return chunk_texts(section_texts(documents, sections), max_tokens, splitter)
     if mode == "sentence":
         kept = ps.min_words(ps.keep_sections(ps.clean(ps.flatten(documents), end_marks=False), sections))
         return kept.withColumnsRenamed({"sentence": "text", "index": "chunk_no"}).withColumn(
