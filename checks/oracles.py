@@ -82,6 +82,12 @@ sized AS (
   SELECT {key}, sents, list_transform(sents, lambda s: len({pieces})) AS sizes,
     flatten(list_transform(sents, lambda s: {pieces})) AS pieces
   FROM (SELECT {key}, {sentence_list("text")} AS sents FROM {texts})),
+{packed_sizes(key, limit)}"""
+
+
+def packed_sizes(key: str, limit: int) -> str:
+    """Chunks from ``sized(key, sizes, pieces)``: the sizes of the sentences and all their pieces."""
+    return f"""
 step AS (
   SELECT {key}, 0 AS i, 0::BIGINT AS start, 0::BIGINT AS len, CAST([] AS STRUCT(a BIGINT, n BIGINT)[]) AS done, sizes FROM sized
   UNION ALL
@@ -103,6 +109,37 @@ chunks AS (
   FROM spans JOIN sized USING ({key}))"""
 
 
+# Longest pieces of every distinct word: the longest edge from every place, and a walk along them.
+WORD_PIECES = f"""
+piece_words AS (SELECT DISTINCT unnest({token_list(f"lower({spaced('text')})")}) AS piece FROM benchmark),
+starts AS (SELECT piece FROM piece_words UNION SELECT unnest(string_split(piece, '')) FROM piece_words),
+vocabulary AS MATERIALIZED (SELECT piece AS key FROM starts UNION SELECT '##' || piece FROM starts),
+doc_tokens AS MATERIALIZED (
+  SELECT doc_id, i, j, unnest(ts) AS token, generate_subscripts(ts, 1) AS k
+  FROM (SELECT doc_id, i, j, regexp_extract_all(s, ' ?(?:{TOKEN})') AS ts
+    FROM (SELECT doc_id, unnest(sents) AS s, generate_subscripts(sents, 1) AS i, 0 AS j
+      FROM (SELECT doc_id, {sentence_list("text")} AS sents FROM documents)))),
+words AS MATERIALIZED (SELECT DISTINCT lower(ltrim(token, ' ')) AS word FROM doc_tokens),
+edges AS MATERIALIZED (
+  SELECT word, a, max(l) AS l
+  FROM (SELECT word, unnest(range(length(word))) AS a FROM words),
+    (SELECT unnest(range(1, (SELECT max(length(key)) + 1 FROM vocabulary))) AS l)
+  WHERE a + l <= length(word) AND CASE WHEN a > 0 THEN '##' ELSE '' END || substr(word, (a + 1)::INT, l::INT) IN (SELECT key FROM vocabulary)
+  GROUP BY word, a),
+walk AS (
+  SELECT word, 0::BIGINT AS a FROM words
+  UNION ALL SELECT w.word, w.a + e.l FROM walk w JOIN edges e ON e.word = w.word AND e.a = w.a),
+known AS MATERIALIZED (SELECT word FROM walk WHERE a = length(word)),
+word_cuts AS MATERIALIZED (
+  SELECT w.word, w.a, e.l, CASE WHEN w.a > 0 THEN '##' ELSE '' END || substr(w.word, (w.a + 1)::INT, e.l::INT) AS key
+  FROM walk w JOIN edges e ON e.word = w.word AND e.a = w.a WHERE w.word IN (SELECT word FROM known)
+  UNION ALL SELECT word, 0, length(word), '[UNK]' FROM words WHERE word NOT IN (SELECT word FROM known)),
+piece_rows AS MATERIALIZED (
+  SELECT doc_id, i, k, a, key,
+    CASE WHEN a = 0 AND starts_with(token, ' ') THEN ' ' ELSE '' END || substr(ltrim(token, ' '), (a + 1)::INT, l::INT) AS spelled
+  FROM doc_tokens JOIN word_cuts ON word = lower(ltrim(token, ' ')))"""
+
+
 # Learned sentence ends: words of all documents, counts, ratios.
 CLOSERS = r"""["''”’»)\]}]*"""
 
@@ -471,6 +508,16 @@ SELECT doc_id, sentence_no, array_to_string(ts, '|') AS tokens FROM tokens WHERE
     "detokenize": f"""WITH {TREEBANK}
 SELECT doc_id, sentence_no, array_to_string(ps, '') AS spelled, {PRINTED} AS printed FROM tokens WHERE ps <> []""",
     "pack_treebank": f"""WITH RECURSIVE {packed('documents', 'doc_id', 100, treebank_pieces("s"))}
+SELECT doc_id, chunk_no, text, n_tokens FROM chunks""",
+    "truncate_subwords": f"""WITH RECURSIVE {WORD_PIECES},
+listed AS (SELECT doc_id, list(key ORDER BY i, k, a) AS ks FROM piece_rows GROUP BY doc_id),
+every AS (SELECT doc_id, lang, list_slice(coalesce(ks, []), 1, 512) AS ks FROM documents LEFT JOIN listed USING (doc_id))
+SELECT doc_id, len(ks) AS n_pieces, max(len(ks)) OVER (PARTITION BY lang) AS n_mask, len(ks) AS n_ones,
+  md5(array_to_string(ks, ' ')) AS digest FROM every""",
+    "pack_subwords": f"""WITH RECURSIVE {WORD_PIECES},
+sentence_sizes AS (SELECT doc_id, i, count(*) AS n, list(spelled ORDER BY k, a) AS ps FROM piece_rows GROUP BY doc_id, i),
+sized AS (SELECT doc_id, list(n ORDER BY i) AS sizes, flatten(list(ps ORDER BY i)) AS pieces FROM sentence_sizes GROUP BY doc_id),
+{packed_sizes("doc_id", 100)}
 SELECT doc_id, chunk_no, text, n_tokens FROM chunks""",
     "fixed_slices": """
 SELECT id, (a // 10)::BIGINT AS slice_no, len(s) AS n, round(list_sum(s::DOUBLE[]), 6) AS total

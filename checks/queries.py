@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from checks import standins as st
 from litvec.functions import packing, vector
 from litvec.functions.nearest import unit
+from litvec.functions.subwords import WordPieces
 from litvec.functions import text as tx
 from litvec.functions import treebank as tb
 from litvec.operators import chunking, dedupe, embedding, ids, passages, pooling, projection, prompts, search, sentences
@@ -393,6 +394,35 @@ def pack_treebank(spark, sf_dir):
     return chunks.select("doc_id", "chunk_no", "text", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
+def _word_pieces(spark, sf_dir):
+    """A vocabulary that both sides can make: the words of the questions and all their letters, to start and to go on with."""
+    words = st.questions(spark, sf_dir).select(F.explode(tx.tokens(F.lower("text"))).alias("piece")).distinct()
+    letters = words.select(F.explode(F.split("piece", "")).alias("piece")).where("piece <> ''")
+    starts = words.union(letters).distinct()
+    marked = starts.union(starts.select(F.concat(F.lit("##"), "piece")))
+    return WordPieces.of(marked.select("piece", F.crc32("piece").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("id")))
+
+
+@query
+def truncate_subwords(spark, sf_dir):
+    docs = st.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    masked = embedding.truncate_subwords(docs, _word_pieces(spark, sf_dir), batch="lang")
+    return masked.select(
+        "doc_id",
+        F.size("tokens").cast("long").alias("n_pieces"),
+        F.size("mask").cast("long").alias("n_mask"),
+        F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_ones"),
+        F.md5(F.array_join("tokens", " ")).alias("digest"),
+    )
+
+
+@query
+def pack_subwords(spark, sf_dir):
+    docs = st.table(spark, sf_dir, "documents").select("doc_id", "text")
+    chunks = chunking.chunk_texts(docs, chunking.DEMO_MAX_TOKENS, _word_pieces(spark, sf_dir).splitter())
+    return chunks.select("doc_id", "chunk_no", "text", F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
 # --- vectors ---
 
 

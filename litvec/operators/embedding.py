@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from litvec.functions import text as tx
 from litvec.functions.nearest import MIN_NORM
+from litvec.functions.subwords import WordPieces
 from litvec.functions.vector import hash_vector
 from litvec.operators.pooling import pool_batch, weight_of
-from litvec.runtime import small_side
+from litvec.runtime import small_side, stage
 
 # Most tokens a model takes per text; size of the vectors of the demo configuration.
 MAX_MODEL_TOKENS = 512
@@ -78,13 +79,31 @@ def truncate_mask(
     Masks are padded to the longest text of the same ``batch`` value, null being one, or to
     ``max_tokens``. A null text has no tokens.
     """
-    found = F.coalesce(tx.tokens(text), F.array().cast("array<string>"))
-    cut = df.withColumn("tokens", F.slice(found, 1, max_tokens)).withColumn("_n", F.size("tokens"))
+    return _masked(df.withColumn("tokens", F.coalesce(tx.tokens(text), F.array().cast("array<string>"))), max_tokens, batch)
+
+
+def truncate_subwords(
+    df: DataFrame, pieces: WordPieces, text: str = "text", max_tokens: int = MAX_MODEL_TOKENS, batch: str | None = None
+) -> DataFrame:
+    """The same with word pieces for tokens: ``tokens`` holds the pieces, ``ids`` their numbers in the vocabulary.
+
+    The limit counts pieces, as models do, so a text of long or rare words is cut earlier. A null
+    text has no pieces.
+    """
+    none = F.array().cast("array<struct<piece:string,id:int>>")
+    cut = df.withColumn("_pieces", F.slice(F.coalesce(pieces.pieces(tx.tokens(text)), none), 1, max_tokens))
+    named = cut.withColumns({"tokens": F.col("_pieces.piece"), "ids": F.col("_pieces.id")}).drop("_pieces")
+    return _masked(stage(named, "subwords") if batch is not None else named, max_tokens, batch)
+
+
+def _masked(found: DataFrame, max_tokens: int, batch: str | None) -> DataFrame:
+    """Cut ``tokens`` and add the mask, padded to the longest of the batch."""
+    cut = found.withColumn("tokens", F.slice("tokens", 1, max_tokens)).withColumn("_n", F.size("tokens"))
     if batch is None:
         padded = cut.withColumn("_to", F.lit(max_tokens))
     else:
-        longest = df.groupBy(F.col(batch).alias("_batch")).agg(
-            F.least(F.max(F.size(found)), F.lit(max_tokens)).alias("_to")
+        longest = found.groupBy(F.col(batch).alias("_batch")).agg(
+            F.least(F.max(F.size("tokens")), F.lit(max_tokens)).alias("_to")
         )
         padded = cut.join(small_side(longest, "longest"), F.col(batch).eqNullSafe(F.col("_batch"))).drop("_batch")
     mask = F.concat(
