@@ -413,6 +413,27 @@ hit_texts AS (
   SELECT query_id, rank, text, doc_id::VARCHAR AS pmid, 'What is label ' || query_id || ' about?' AS question
   FROM hits JOIN documents ON doc_id = id)"""
 
+# Every twentieth vector asks; buckets of twelve tables of six planes, four of which are also turned.
+UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))"
+HASHED_HITS = f"""
+normals AS (
+  SELECT t, b, list((('0x' || substr(md5(t || '-' || b || '-' || d), 1, 4))::INT - 32768)::DOUBLE ORDER BY d) AS n
+  FROM range(12) r(t), range(6) s(b), range(64) u(d) GROUP BY t, b),
+sides AS MATERIALIZED (
+  SELECT vec_id, t, b::INT AS b, list_inner_product(u, n) AS side FROM (SELECT vec_id, {UNIT} AS u FROM embeddings), normals),
+own AS MATERIALIZED (SELECT vec_id, t, sum(CASE WHEN side >= 0 THEN 1 << b ELSE 0 END)::INT AS code FROM sides GROUP BY vec_id, t),
+turned AS (
+  SELECT vec_id, t, b FROM sides WHERE vec_id % 20 = 0
+  QUALIFY row_number() OVER (PARTITION BY vec_id, t ORDER BY abs(side), b) <= 4),
+probed AS (
+  SELECT vec_id, t, code FROM own WHERE vec_id % 20 = 0
+  UNION ALL SELECT vec_id, t, xor(code, 1 << b) FROM own JOIN turned USING (vec_id, t)),
+met AS (SELECT DISTINCT p.vec_id AS query_id, o.vec_id AS id FROM probed p JOIN own o USING (t, code)),
+hashed_hits AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, score
+  FROM (SELECT query_id, id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score
+    FROM met JOIN embeddings q ON q.vec_id = query_id JOIN embeddings c ON c.vec_id = id) QUALIFY rank <= 10)"""
+
 CELL_ROWS = """SELECT {key}, unnest(range(len({v}))) AS dim, round(unnest({v})::DOUBLE, 6) AS value FROM {t}"""
 VECTOR_CELLS = CELL_ROWS.format(key="vec_id AS id", v="embedding", t="embeddings")
 
@@ -585,6 +606,38 @@ WITH scored AS (
   FROM embeddings a, embeddings b)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, score
 FROM scored QUALIFY rank <= 5""",
+    "knn_joined": """
+WITH scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score
+  FROM embeddings a, embeddings b)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, score
+FROM scored QUALIFY rank <= 5""",
+    "knn_hashed": f"WITH {HASHED_HITS} SELECT * FROM hashed_hits",
+    "knn_hashed_recall": f"""WITH {HASHED_HITS},
+exact AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS id FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id
+    ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) DESC, c.vec_id) <= 10)
+SELECT query_id, count(h.id) / count(*) AS recall, count(*) AS k FROM exact LEFT JOIN hashed_hits h USING (query_id, id) GROUP BY query_id""",
+    "knn_pruned_cosine": f"WITH {label_hits(COSINE, 'DESC')} {HIT_ROWS}",
+    "knn_pruned_ip": f"WITH {label_hits('list_inner_product(q, embedding::DOUBLE[])', 'DESC')} {HIT_ROWS}",
+    "knn_pruned_l2": f"WITH {label_hits('list_distance(q, embedding::DOUBLE[])', 'ASC')} {HIT_ROWS}",
+    "knn_filtered_cells": f"""WITH {LABEL_QUERIES},
+near AS (
+  SELECT vec_id AS id, query_id AS cell FROM centres, embeddings WHERE vec_id % 7 = 3
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY {COSINE} DESC, query_id) = 1),
+filled AS (SELECT cell, count(*) AS n FROM near GROUP BY cell),
+ordered AS (
+  SELECT a.query_id, b.query_id AS cell, n, list_cosine_similarity(a.q, b.q) AS s
+  FROM centres a, centres b JOIN filled ON b.query_id = filled.cell),
+cumulated AS (
+  SELECT query_id, cell, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY s DESC, cell
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ordered),
+scored AS (
+  SELECT c.query_id, id, round({COSINE}, 9) AS score
+  FROM cumulated c JOIN near USING (cell) JOIN centres ON centres.query_id = c.query_id JOIN embeddings ON vec_id = id WHERE before < 10)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, score
+FROM scored QUALIFY rank <= 10""",
     "collection_search": f"""WITH {label_hits(
         'list_inner_product(q, list_transform(embedding, lambda x: x::DOUBLE * (label + 1)))', 'DESC', 'label <> 4')}
 SELECT query_id, rank::INTEGER AS rank, id, score, label::VARCHAR AS label FROM hits JOIN embeddings ON vec_id = id""",

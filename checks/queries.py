@@ -15,7 +15,21 @@ from litvec.functions.nearest import unit
 from litvec.functions.subwords import WordPieces
 from litvec.functions import text as tx
 from litvec.functions import treebank as tb
-from litvec.operators import chunking, dedupe, embedding, ids, passages, pooling, projection, prompts, search, sentences
+from litvec.operators import (
+    blocks,
+    chunking,
+    dedupe,
+    embedding,
+    hashing,
+    ids,
+    passages,
+    pooling,
+    projection,
+    prompts,
+    pruned,
+    search,
+    sentences,
+)
 from litvec.plans import corpus, retrieval
 from litvec.runtime import stage, staging_path
 from litvec.sources import collections, documents, files, tables
@@ -618,6 +632,63 @@ def knn_many_questions(spark, sf_dir):
     return search.knn(vectors, queries, k=5, block_bytes=64 << 10)
 
 
+@query
+def knn_joined(spark, sf_dir):
+    """Every vector is a question, and both sides are cut into small blocks."""
+    vectors = st.vectors(spark, sf_dir)
+    queries = vectors.select(F.col("id").alias("query_id"), "vector")
+    return blocks.knn_joined(vectors, queries, k=5, block_bytes=64 << 10)
+
+
+def _some_questions(spark, sf_dir):
+    """Every twentieth vector is a question."""
+    return st.vectors(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+@query
+def knn_hashed(spark, sf_dir):
+    return hashing.knn_hashed(st.vectors(spark, sf_dir), _some_questions(spark, sf_dir))
+
+
+@query
+def knn_hashed_recall(spark, sf_dir):
+    corpus_vectors, queries = st.vectors(spark, sf_dir), _some_questions(spark, sf_dir)
+    return search.recall(hashing.knn_hashed(corpus_vectors, queries), search.knn(corpus_vectors, queries))
+
+
+def _pruned(spark, sf_dir, metric):
+    corpus_vectors = st.vectors(spark, sf_dir)
+    centroids = search.fit_cells(corpus_vectors, 16, metric=metric)
+    celled = stage(search.assign_cells(corpus_vectors, centroids, metric=metric), "cells")
+    bounds = stage(pruned.cell_bounds(celled, centroids, metric), "cell-bounds")
+    hits = pruned.knn_pruned(celled, st.label_queries(spark, sf_dir), centroids, bounds, metric=metric)
+    return hits.withColumn("score", F.round("score", 9))
+
+
+@query
+def knn_pruned_cosine(spark, sf_dir):
+    return _pruned(spark, sf_dir, "COSINE")
+
+
+@query
+def knn_pruned_ip(spark, sf_dir):
+    return _pruned(spark, sf_dir, "IP")
+
+
+@query
+def knn_pruned_l2(spark, sf_dir):
+    return _pruned(spark, sf_dir, "L2")
+
+
+@query
+def knn_filtered_cells(spark, sf_dir):
+    """Cells around the means of the labels; a filter that leaves few rows in each."""
+    queries = stage(st.label_queries(spark, sf_dir), "queries")
+    centroids = unit(np.array([r.vector for r in queries.orderBy("query_id").collect()]))
+    cells = stage(search.assign_cells(st.vectors(spark, sf_dir), centroids), "cells")
+    return pruned.knn_filtered_cells(cells, queries, centroids, 1, where="id % 7 = 3")
+
+
 @query
 def collection_search(spark, sf_dir):
     """A stored collection is searched by its own metric."""

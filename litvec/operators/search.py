@@ -230,6 +230,24 @@ def load_centroids(spark: SparkSession, path: str) -> np.ndarray:
     return np.array([r.centroid for r in rows], dtype=np.float64)
 
 
+def cell_scan(vectors: DataFrame, which: np.ndarray) -> tuple[DataFrame, Callable[[pa.RecordBatch, Best], None]]:
+    """Rows ``(id, vector, cell)`` of the cells that any question reads, and how a batch is compared.
+
+    ``which`` says per question and cell whether the question reads the cell.
+    """
+    probed = {int(c): np.flatnonzero(which[:, c]) for c in np.flatnonzero(which.any(axis=0))}
+
+    def compare(batch: pa.RecordBatch, best: Best) -> None:
+        batch = with_vector(batch)
+        cells = batch["cell"].to_numpy(zero_copy_only=False)
+        ids, rows = batch["id"].to_numpy(zero_copy_only=False), matrix_of(batch["vector"])
+        for c in np.unique(cells):
+            own = cells == c
+            best.add(ids[own], rows[own], probed[int(c)])
+
+    return vectors.where(F.col("cell").isin(sorted(probed))), compare
+
+
 def knn_cells(
     corpus: DataFrame,
     queries: DataFrame,
@@ -257,17 +275,9 @@ def knn_cells(
 
     def scan(matrix):
         near = np.argsort(-_near(matrix, centroids, metric, probing=True), axis=1, kind="stable")[:, :probes]
-        probed = {int(c): np.nonzero((near == c).any(axis=1))[0] for c in np.unique(near)}
-
-        def compare(batch: pa.RecordBatch, best: Best) -> None:
-            batch = with_vector(batch)
-            cells = batch["cell"].to_numpy(zero_copy_only=False)
-            ids, rows = batch["id"].to_numpy(zero_copy_only=False), matrix_of(batch["vector"])
-            for c in np.unique(cells):
-                own = cells == c
-                best.add(ids[own], rows[own], probed[int(c)])
-
-        return vectors.where(F.col("cell").isin(sorted(probed))), compare
+        which = np.zeros((len(matrix), len(centroids)), bool)
+        np.put_along_axis(which, near, True, axis=1)
+        return cell_scan(vectors, which)
 
     hits = _search(queries.select("query_id", "vector"), k, metric, scan)
     return with_entity(hits, corpus, fields, id_col) if fields else hits
