@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from litvec.functions.columns import let
 from litvec.functions.vector import MIN_WEIGHT
-from litvec.runtime import small_side
 
 # The names of the poolings. How the mask (or any score) of a token becomes its weight.
 _WEIGHTS: dict[str, Callable[[Column], Column]] = {
@@ -20,6 +19,9 @@ _WEIGHTS: dict[str, Callable[[Column], Column]] = {
     "attention_pooling": F.exp,
 }
 
+# Scores within a step have weights that a double holds with room for sums; rows without a score are in the lowest.
+_STEP, _LOWEST = 256.0, -1e308
+
 
 def weight_of(pooling: str) -> Callable[[Column], Column]:
     if not isinstance(pooling, str):
@@ -36,23 +38,27 @@ def pool(
 
     ``mean_pooling`` weighs by the mask, ``attention_pooling`` by the softmax of the mask, or any
     score, over the rows of the key; padding counts only where a row says so, a null mask has no
-    weight. The softmax is taken after the key's largest score is removed, so scores of any size
-    are fine. Weighted vectors are summed as vectors, in every map task first; the weight rides
-    along as one more dimension.
+    weight. Weighted vectors are summed as vectors, in every map task first; the weight rides
+    along as one more dimension. Everything is read once.
+
+    Scores of any size are fine: the sums of a key are kept per step of ``_STEP`` in the score, each
+    relative to its step, and only sums of the two highest steps, brought to the highest one, can matter.
     """
     score = F.col(mask).cast("double")
-    if pooling == "attention_pooling":
-        names = [f"_key{i}" for i in range(len(keys))]
-        largest = token_vectors.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.max(score).alias("_largest"))
-        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
-        token_vectors = token_vectors.join(small_side(largest, "largest-scores"), same)
-        score = score - F.col("_largest")
-    weight = F.coalesce(weight_of(pooling)(score), F.lit(0.0))
+    soft = pooling == "attention_pooling"
+    step = F.coalesce(F.rint(score / _STEP - 0.5), F.lit(_LOWEST)) if soft else F.lit(0.0)
+    weight = F.coalesce(weight_of(pooling)(score - step * _STEP if soft else score), F.lit(0.0))
     weighted = let(
         weight, lambda w: F.concat(F.transform(vector, lambda x: x.cast("double") * w), F.array(w))
     )
-    total = token_vectors.groupBy(*keys).agg(Summarizer.sum(array_to_vector(weighted)).alias("total"))
-    return total.select(*keys, vector_to_array("total").alias("t")).select(
+    rows = token_vectors.select(*[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)], step.alias("step"), weighted.alias("w"))
+    own = [f"key{i}" for i in range(len(keys))]
+    sums = rows.groupBy(*own, *(["step"] if soft else [])).agg(Summarizer.sum(array_to_vector("w")).alias("total"))
+    sums = sums.select(*[F.col(n).alias(k) for n, k in zip(own, keys)], *(["step"] if soft else []), vector_to_array("total").alias("t"))
+    if soft:
+        states = F.collect_list(F.struct("step", "t")).alias("states")
+        sums = sums.groupBy(*keys).agg(states).select(*keys, let(F.col("states"), _merged).alias("t"))
+    return sums.select(
         *keys,
         let(
             F.greatest(F.element_at("t", -1), F.lit(MIN_WEIGHT)),
@@ -61,6 +67,21 @@ def pool(
     )
 
 
+def _merged(states: Column) -> Column:
+    """The sum of states ``(step, t)`` in units of the highest step; what lies two steps below is beyond double precision."""
+
+    def scaled(top: Column) -> Column:
+        near = F.filter(states, lambda s: s["step"] >= top - 1)
+        parts = F.transform(near, lambda s: F.transform(s["t"], lambda x: x * F.exp((s["step"] - top) * _STEP)))
+        return F.aggregate(
+            F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+            parts[0],
+            lambda a, b: F.zip_with(a, b, lambda x, y: x + y),
+        )
+
+    return let(F.array_max(F.transform(states, lambda s: s["step"])), scaled)
+
+
 def pool_batch(token_vectors: np.ndarray, mask: np.ndarray, pooling: str) -> np.ndarray:
     """The same for a batch of (texts, tokens, dim) that a model returned inside a task."""
     weight_of(pooling)

@@ -41,19 +41,23 @@ def _rank(hits: DataFrame, k: int, metric: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, least: int, most_bytes: int) -> Iterator[tuple[pa.Table, bool]]:
-    """The queries as tables of bounded size, and whether there are several; one small job when they fit into one."""
+Block = Callable[[], pa.Table]
+
+
+def _blocks(queries: DataFrame, least: int, most_bytes: int) -> tuple[list[Block], DataFrame]:
+    """The queries as tables of bounded size, each fetched when it is called for, and a table to read them from.
+
+    One small job when they fit into the least block; more queries are staged.
+    """
     head = queries.limit(least + 1).toArrow()
     if head.num_rows <= least:
-        yield head, False
-        return
+        return [lambda: head], queries
     dim = max((len(v) for v in head["vector"].to_pylist() if v is not None), default=1)
     block = max(least, most_bytes // (8 * max(1, dim)))
     # The hash spreads unevenly: aim at blocks that are three quarters full.
     staged = stage(queries, "queries")
     n = -(-4 * staged.count() // (3 * block))
-    for i in range(n):
-        yield staged.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow(), n > 1
+    return [lambda i=i: staged.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow() for i in range(n)], staged
 
 
 def _check(metric: str, k: int) -> str:
@@ -70,12 +74,13 @@ def _search(
     metric: str,
     scan: Callable[[np.ndarray], tuple[DataFrame, Callable[[pa.RecordBatch, Best], None]]],
     block_bytes: int = QUERY_BLOCK_BYTES,
+    many: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``scan`` names the corpus rows to read for a block of queries and how a batch is compared.
 
-    A batch of another vector length than the queries fails the job. Of several blocks each is
-    searched in a job of its own whose hits are staged, so the driver holds one block at a time,
-    however many queries there are.
+    A batch of another vector length than the queries fails the job. Queries of several blocks are
+    searched by ``many`` if it is given. Otherwise each block is searched in a job of its own whose hits
+    are staged, so the driver holds one block at a time, however many queries there are.
     """
     least = min(QUERY_BLOCK, max(1, block_bytes // 8))
     hit = T.StructType(
@@ -86,7 +91,12 @@ def _search(
         ]
     )
     found = queries.sparkSession.createDataFrame([], hit)
-    for block, several in _blocks(queries, least, block_bytes):
+    blocks, asked = _blocks(queries, least, block_bytes)
+    several = len(blocks) > 1
+    if several and many is not None:
+        return many(asked)
+    for fetch in blocks:
+        block = fetch()
         block = block.filter(pc.is_valid(block["vector"]))
         query_ids, matrix = block["query_id"].combine_chunks(), matrix_of(block["vector"])
         good = finite(matrix)
@@ -125,8 +135,11 @@ def knn(
     multiplies its corpus batches with the query matrix and passes on ``k`` hits per query; pairs
     are never rows. ``where`` filters the corpus first. ``fields`` that the corpus has are returned
     as ``entity``. Vectors that are null or hold a null, a NaN or an infinity have no neighbours and
-    are nobody's neighbour.
+    are nobody's neighbour. Questions that do not fit one block of ``block_bytes`` are searched by
+    ``blocks.knn_joined``, which reads the corpus once for all of them.
     """
+    from litvec.operators.blocks import knn_joined  # it builds on this module
+
     metric = _check(metric, k)
     searched = corpus if where is None else corpus.where(where)
     vectors = searched.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
@@ -138,7 +151,10 @@ def knn(
 
         return vectors, compare
 
-    hits = _search(queries.select("query_id", "vector"), k, metric, scan, block_bytes)
+    def many(asked: DataFrame) -> DataFrame:
+        return knn_joined(corpus, asked, k, metric, where, (), id_col, vector_col)
+
+    hits = _search(queries.select("query_id", "vector"), k, metric, scan, block_bytes, many)
     return with_entity(hits, corpus, fields, id_col) if fields else hits
 
 

@@ -1,4 +1,5 @@
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,11 +189,58 @@ def test_collections_refuse_what_is_no_number(spark):
             collections.write_collection(df, "papers", "bad", 2)
 
 
-def test_swap_keeps_one_table(spark):
-    for n in (3, 5):
-        collections.write_collection(spark.range(n).selectExpr("id", "array(1.0, 2.0) as vector"), "papers", "swapped", 2)
-    names = [r.tableName for r in spark.sql("SHOW TABLES IN papers LIKE 'swapped*'").collect()]
-    assert names == ["swapped"] and collections.open_collection(spark, "papers", "swapped").count() == 5
+def numbers(spark, n):
+    return spark.range(n).selectExpr("id", "array(1.0, 2.0) as vector")
+
+
+def test_versions_switch_roll_back_and_stay_readable(spark):
+    for n in (3, 5, 7):
+        collections.write_collection(numbers(spark, n), "papers", "swapped", 2, keep=3)
+    assert collections.versions(spark, "papers", "swapped") == [1, 2, 3]
+    pinned = collections.open_collection(spark, "papers", "swapped")
+    entries = collections.manifest(spark, "papers", "swapped")
+    assert [(e["version"], e["rows"], e["current"]) for e in entries] == [(1, "3", False), (2, "5", False), (3, "7", True)]
+    collections.switch(spark, "papers", "swapped", 1)
+    assert collections.open_collection(spark, "papers", "swapped").count() == 3 and pinned.count() == 7
+    assert spark.table("papers.swapped").count() == 3
+    assert collections.open_collection(spark, "papers", "swapped", version=2).count() == 5
+    collections.write_collection(numbers(spark, 9), "papers", "swapped", 2, keep=1)
+    assert collections.versions(spark, "papers", "swapped") == [4] == [collections.current_version(spark, "papers", "swapped")]
+    for wrong in (lambda: collections.switch(spark, "papers", "swapped", 2), lambda: collections.open_collection(spark, "papers", "swapped", 2)):
+        with pytest.raises(LookupError):
+            wrong()
+    with pytest.raises(ValueError):
+        collections.drop_versions(spark, "papers", "swapped", 0)
+
+
+def test_a_failed_write_leaves_no_version(spark):
+    collections.write_collection(numbers(spark, 2), "papers", "held", 2)
+    with pytest.raises(Exception, match="vector of dimension 3 expected"):
+        collections.write_collection(numbers(spark, 2), "papers", "held", 3)
+    assert collections.versions(spark, "papers", "held") == [1] and collections.open_collection(spark, "papers", "held").count() == 2
+
+
+def test_readers_never_miss_a_collection_that_is_swapped(spark):
+    collections.write_collection(numbers(spark, 1), "papers", "busy", 2)
+    seen, failed, done = [], [], threading.Event()
+
+    def read():
+        while not done.is_set():
+            try:
+                seen.append(collections.open_collection(spark, "papers", "busy").count())
+            except Exception as error:  # reported by the test
+                failed.append(error)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    try:
+        for n in range(2, 22):
+            collections.write_collection(numbers(spark, n), "papers", "busy", 2, keep=4)
+    finally:
+        done.set()
+        reader.join()
+    assert not failed, failed[0]
+    assert seen == sorted(seen) and set(seen) <= set(range(1, 22))
 
 
 def test_run_folder_is_dropped(spark):

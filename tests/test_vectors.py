@@ -103,3 +103,28 @@ def test_projection_equals_principal_components(spark):
     assert np.allclose(np.abs(found), np.abs(expected))
     assert [r.code for r in rows[:2]] == [0, 1]
     assert tuple(projection.vector_shape(df).first()) == (60, 5, 5)
+
+
+def test_one_scan_and_scores_of_any_size(spark):
+    rows = [
+        (1, 0.0, [1.0, 5.0]), (1, 1.0, [3.0, 7.0]), (1, None, [9.0, 9.0]),
+        (2, 1e300, [1.0, 2.0]), (2, -1e300, [5.0, 5.0]), (2, 1e300, [3.0, 2.0]),
+        (3, 700.0, [1.0, 1.0]), (3, 701.0, [2.0, 4.0]), (3, -700.0, [9.0, 9.0]), (3, 128.0, [1.0, 0.0]), (3, 127.9, [0.0, 1.0]),
+        (None, 4.0, [2.0, 2.0]), (None, 4.0, [4.0, 2.0]), (5, None, [1.0, 1.0]),
+    ]
+    df = spark.createDataFrame(rows, "total long, mask double, vec array<double>").repartition(4)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    pooled = pooling.pool(df.mapInArrow(counted, df.schema), "total")
+    assert read.value == 0  # nothing runs while the plan is built
+    got = {r.total: r.vec for r in pooled.collect()}
+    assert read.value == len(rows)
+    e = np.e
+    assert got[1] == pytest.approx([(1 + 3 * e) / (1 + e), (5 + 7 * e) / (1 + e)])
+    assert got[2] == [2.0, 2.0] and got[None] == [3.0, 2.0] and got[5] == [0.0, 0.0]
+    assert got[3] == pytest.approx([(1 + 2 * e) / (1 + e), (1 + 4 * e) / (1 + e)])
