@@ -483,6 +483,8 @@ SELECT doc_id, source || CASE WHEN lang = 'en' THEN ' and ' || lang ELSE '' END
 SELECT doc_id, CASE WHEN lang = 'en' THEN source ELSE 'Unknown' END AS source,
   CASE WHEN lang <> 'en' THEN n_chars::VARCHAR ELSE 'Unknown' END AS n_chars, 'Unknown' AS nothing FROM documents""",
     "dropped_documents": f"""WITH {KEPT}
+SELECT doc_id::VARCHAR AS pmid, source AS journal FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT pmid FROM kept)""",
+    "documents_without_chunks": f"""WITH {KEPT}
 SELECT doc_id::VARCHAR AS pmid, source AS journal FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT pmid FROM kept)""",
     "first_n_docs": "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 15",
     "collapse_conversation": """
@@ -517,6 +519,8 @@ SELECT doc_id, i - 1 AS sentence_no, s AS sentence, array_to_string({token_list(
 FROM (SELECT doc_id, unnest(sents) AS piece, trim(piece) AS s, generate_subscripts(sents, 1)::BIGINT AS i
   FROM (SELECT doc_id, {sentence_list("text")} AS sents FROM documents))""",
     "pack_100": f"WITH RECURSIVE {packed('documents', 'doc_id', 100)} SELECT doc_id, chunk_no, text, n_tokens FROM chunks",
+    "pack_guarded": f"""WITH RECURSIVE guarded AS (SELECT doc_id, text FROM documents WHERE doc_id % 4 = 3),
+{packed("guarded", "doc_id", 100)} SELECT doc_id, chunk_no, text, n_tokens FROM chunks""",
     "pack_350": f"WITH RECURSIVE {packed('documents', 'doc_id', 350)} SELECT doc_id, chunk_no, text, n_tokens FROM chunks",
     "sentence_model": f"""WITH {SENTENCE_MODEL}
 SELECT 'abbreviation' AS kind, type, n, together, round(score, 4) AS score FROM abbreviations
@@ -622,6 +626,7 @@ SELECT query_id, count(h.id) / count(*) AS recall, count(*) AS k FROM exact LEFT
     "knn_pruned_cosine": f"WITH {label_hits(COSINE, 'DESC')} {HIT_ROWS}",
     "knn_pruned_ip": f"WITH {label_hits('list_inner_product(q, embedding::DOUBLE[])', 'DESC')} {HIT_ROWS}",
     "knn_pruned_l2": f"WITH {label_hits('list_distance(q, embedding::DOUBLE[])', 'ASC')} {HIT_ROWS}",
+    "knn_quantized": f"WITH {label_hits(COSINE, 'DESC')} {HIT_ROWS}",
     "knn_filtered_cells": f"""WITH {LABEL_QUERIES},
 near AS (
   SELECT vec_id AS id, query_id AS cell FROM centres, embeddings WHERE vec_id % 7 = 3

@@ -27,6 +27,7 @@ from litvec.operators import (
     projection,
     prompts,
     pruned,
+    quantized,
     search,
     sentences,
 )
@@ -216,6 +217,11 @@ def dropped_documents(spark, sf_dir):
     return passages.dropped_documents(docs.select("pmid", "journal"), chunking.to_chunks(docs))
 
 
+@query
+def documents_without_chunks(spark, sf_dir):
+    return chunking.without_chunks(st.articles(spark, sf_dir)).select("pmid", "journal")
+
+
 @query
 def first_n_docs(spark, sf_dir):
     return passages.first_n(st.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), 15, "doc_id")
@@ -324,6 +330,14 @@ def pack_100(spark, sf_dir):
     return _packed(spark, sf_dir, chunking.DEMO_MAX_TOKENS)
 
 
+@query
+def pack_guarded(spark, sf_dir):
+    """Texts that are null, empty or blank give no chunk."""
+    blank = F.when(F.col("doc_id") % 4 == 1, "").when(F.col("doc_id") % 4 == 2, " \t\n").when(F.col("doc_id") % 4 == 3, F.col("text"))
+    docs = st.table(spark, sf_dir, "documents").select("doc_id", blank.alias("text"))
+    return chunking.chunk_texts(docs).withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
 @query
 def pack_350(spark, sf_dir):
     return _packed(spark, sf_dir, chunking.NOTEBOOK_MAX_TOKENS)
@@ -680,6 +694,16 @@ def knn_pruned_l2(spark, sf_dir):
     return _pruned(spark, sf_dir, "L2")
 
 
+@query
+def knn_quantized(spark, sf_dir):
+    """A byte for each of eight parts; the best by codes are scored exactly."""
+    corpus_vectors = st.vectors(spark, sf_dir)
+    books = quantized.fit_codebooks(corpus_vectors, codes=64)
+    compressed = stage(quantized.compress(corpus_vectors, books), "codes")
+    hits = quantized.knn_quantized(corpus_vectors, compressed, st.label_queries(spark, sf_dir), books)
+    return hits.withColumn("score", F.round("score", 9))
+
+
 @query
 def knn_filtered_cells(spark, sf_dir):
     """Cells around the means of the labels; a filter that leaves few rows in each."""

@@ -52,6 +52,16 @@ def _exact(corpus: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     return np.round(score, COSINE_DECIMALS) if metric == "COSINE" else _significant(score)
 
 
+def paired_scores(corpus: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """The scores that ``Best`` gives, of row ``i`` with query ``i``; a distance for L2."""
+    if not len(corpus):
+        return np.zeros(0)
+    if metric == "COSINE":
+        corpus, queries = unit(corpus), unit(queries)
+    score = _exact(corpus, queries, metric)
+    return -score if metric == "L2" else score
+
+
 def _significant(score: np.ndarray) -> np.ndarray:
     """Rounded to DIGITS significant digits; what is too small or too large for that stays as it is."""
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):

@@ -18,6 +18,31 @@ DEMO_MAX_TOKENS = 100
 NOTEBOOK_MAX_TOKENS = 350
 
 
+def _kept_passages(sections: Sequence[str], more_than: int) -> Column:
+    """Section and cleaned text of a document's passages that belong to a kept section and are long enough."""
+
+    def cleaned(passage: Column) -> Column:
+        return F.struct(
+            tx.normalise_section(ps.section_of(F.col("pmcid"), passage["infons"])).alias("section"),
+            tx.with_end_mark(tx.strip(passage["text"])).alias("text"),
+        )
+
+    return F.filter(
+        F.transform("passages", cleaned),
+        lambda p: p["section"].isin(*sections) & tx.has_more_words_than(p["text"], more_than),
+    )
+
+
+def without_chunks(
+    documents: DataFrame, sections: Sequence[str] = ps.DEFAULT_SECTIONS, more_than: int = ps.MIN_WORDS
+) -> DataFrame:
+    """Documents that give no chunk, found in their own row: no text is packed and nothing is joined.
+
+    A kept passage has words, so a document gives chunks if and only if it has one.
+    """
+    return documents.where(F.coalesce(F.size(_kept_passages(sections, more_than)), F.lit(0)) <= 0)
+
+
 def section_texts(
     documents: DataFrame, sections: Sequence[str] = ps.DEFAULT_SECTIONS, more_than: int = ps.MIN_WORDS
 ) -> DataFrame:
@@ -27,12 +52,6 @@ def section_texts(
     comes as one row with all its passages, so nothing has to be grouped across rows.
     """
 
-    def cleaned(passage: Column) -> Column:
-        return F.struct(
-            tx.normalise_section(ps.section_of(F.col("pmcid"), passage["infons"])).alias("section"),
-            tx.with_end_mark(tx.strip(passage["text"])).alias("text"),
-        )
-
     def collected(kept: Column) -> Column:
         def section_text(name: Column) -> Column:
             own = F.filter(kept, lambda p: p["section"] == name)
@@ -43,10 +62,7 @@ def section_texts(
         names = F.array(*[F.lit(s) for s in sorted(sections)])
         return F.filter(F.transform(names, section_text), lambda s: s["text"] != "")
 
-    kept = F.filter(
-        F.transform("passages", cleaned),
-        lambda p: p["section"].isin(*sections) & tx.has_more_words_than(p["text"], more_than),
-    )
+    kept = _kept_passages(sections, more_than)
     own = [c for c in documents.columns if c not in ("pmid", "pmcid", "date", "authors", "journal", "passages")]
     return documents.select(
         *own,

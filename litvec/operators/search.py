@@ -28,6 +28,8 @@ _SALTS = 64
 # Every task passes on k hits per query. From this many hits on, fewer and longer tasks read the corpus.
 _MANY_HITS = 100_000
 _TASKS_PER_SLOT = 4
+# Rows that centroids are fitted on, for each cell.
+FIT_PER_CELL = 1000
 
 
 def _rank(hits: DataFrame, k: int, metric: str) -> DataFrame:
@@ -186,15 +188,20 @@ def fit_cells(
     vector_col: str = "vector",
     max_iter: int = 10,
     metric: str = "COSINE",
+    per_cell: int = FIT_PER_CELL,
 ) -> np.ndarray:
-    """Centroids of a k-means over the corpus, one row per cell; of unit vectors for ``COSINE``.
+    """Centroids of a k-means, one row per cell; of unit vectors for ``COSINE``.
 
-    Vectors are staged once, as k-means reads them in every pass. Null vectors are left out.
+    They are fitted on a random sample of about ``per_cell`` rows for each cell, on all rows of a smaller corpus;
+    every row is put into a cell afterwards. The sample is staged once, as k-means reads it in every pass. Null vectors are left out.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     cosine = _check(metric, 1) == "COSINE"
+    rows = corpus.count()
+    if rows > per_cell * cells:
+        corpus = corpus.where(F.rand(seed) < per_cell * cells / rows)
     vectors = stage(corpus.select(F.col(vector_col).alias("v")), "cell-vectors").where(
         F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     )

@@ -72,18 +72,21 @@ def with_bucket(df: DataFrame, key: str, buckets: int, name: str = "doc_bucket")
     return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
-def write_embeddings_tsv(df: DataFrame, path: str, id_col: str = "id", vector_col: str = "vector") -> None:
-    """Embedding table as text: the row id first, the vector as ``embedding``."""
+def write_embeddings_tsv(
+    df: DataFrame, path: str, id_col: str = "id", vector_col: str = "vector", one_line: bool = False
+) -> None:
+    """Embedding table as text: the row id first, the vector as ``embedding``; ``one_line`` is that of ``write_table``."""
     rest = [c for c in df.columns if c not in (id_col, vector_col)]
-    write_table(df.select(id_col, *rest, F.col(vector_col).alias("embedding")), path, "tsv")
+    write_table(df.select(id_col, *rest, F.col(vector_col).alias("embedding")), path, "tsv", one_line=one_line)
 
 
-def read_embeddings_tsv(spark: SparkSession, path: str) -> DataFrame:
+def read_embeddings_tsv(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
     """Embedding table from text: the first column, named or not, is ``id`` and ``embedding`` is ``vector``.
 
-    All other columns stay text, so ids keep their leading zeros.
+    All other columns stay text, so ids keep their leading zeros. A file is one task unless it was written
+    with ``one_line``.
     """
-    read = read_tsv(spark, path)
+    read = read_tsv(spark, path, one_line)
     first = read.columns[0]
     rest = [c for c in read.columns[1:] if c != "embedding"]
     return read.select(

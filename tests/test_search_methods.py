@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from litvec.operators import blocks, hashing, pruned, search
+from litvec import runtime
+from litvec.operators import blocks, hashing, pruned, quantized, search
 
 
 def frame(spark, vectors, name="id"):
@@ -122,3 +123,42 @@ def test_filtered_cells_never_miss_hits(spark, metric):
         assert {r["count"] for r in found.groupBy("query_id").count().collect()} <= {rows} and found.count() == 10 * rows
     few = search.knn_cells(celled, asked, centroids, 1, 8, metric, where="id in (5, 77, 801)")
     assert few.count() < 30
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "IP", "L2"])
+def test_compressed_search_finds_most_and_reads_little(spark, tmp_path, metric):
+    vectors = clustered(5, 2000, 32, 40)
+    corpus = frame(spark, gaps(vectors))
+    asked = frame(spark, gaps(vectors[::100] + 0.03), "query_id")
+    books = quantized.fit_codebooks(corpus, 8, 64, metric)
+    quantized.save_codebooks(spark, books, str(tmp_path / "books"))
+    books = quantized.load_codebooks(spark, str(tmp_path / "books"))
+    quantized.compress(corpus, books, metric).coalesce(1).write.parquet(str(tmp_path / "codes"))
+    corpus.select("id", "vector").coalesce(1).write.parquet(str(tmp_path / "vectors"))
+    small, large = (runtime.bytes_under(spark, str(tmp_path / f)) for f in ("codes", "vectors"))
+    assert small < large / 5
+    codes = spark.read.parquet(str(tmp_path / "codes"))
+    assert codes.count() == 2000 and codes.selectExpr("max(length(code))").first()[0] == 8
+    exact = search.knn(corpus, asked, 10, metric)
+    found = quantized.knn_quantized(corpus, codes, asked, books, 10, metric, rerank=10)
+    assert search.recall(found, exact).agg(F.avg("recall")).first()[0] >= 0.9
+    assert rows_of(quantized.knn_quantized(corpus, codes, asked, books, 10, metric, rerank=200)) == rows_of(exact)
+    some = quantized.knn_quantized(corpus, codes, asked, books, 3, metric, rerank=1000, where="id % 7 = 1", fields=("kind",))
+    assert rows_of(some) == rows_of(search.knn(corpus, asked, 3, metric, "id % 7 = 1"))
+
+
+def test_compressed_search_of_nothing(spark):
+    empty = frame(spark, gaps(np.zeros((0, 2))))
+    books = quantized.fit_codebooks(empty, 2)
+    codes = quantized.compress(empty, books)
+    assert codes.count() == 0
+    assert quantized.knn_quantized(empty, codes, frame(spark, np.eye(2), "query_id"), books).count() == 0
+    with pytest.raises(ValueError):
+        quantized.fit_codebooks(empty, codes=300)
+
+
+def test_centroids_are_fitted_on_a_bounded_sample(spark):
+    corpus = frame(spark, clustered(6, 1000, 4, 5))
+    centroids = search.fit_cells(corpus, 5, per_cell=20)
+    assert centroids.shape == (5, 4)
+    assert search.assign_cells(corpus, centroids).where("cell is null").isEmpty()
