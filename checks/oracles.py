@@ -626,7 +626,24 @@ SELECT query_id, count(h.id) / count(*) AS recall, count(*) AS k FROM exact LEFT
     "knn_pruned_cosine": f"WITH {label_hits(COSINE, 'DESC')} {HIT_ROWS}",
     "knn_pruned_ip": f"WITH {label_hits('list_inner_product(q, embedding::DOUBLE[])', 'DESC')} {HIT_ROWS}",
     "knn_pruned_l2": f"WITH {label_hits('list_distance(q, embedding::DOUBLE[])', 'ASC')} {HIT_ROWS}",
-    "knn_quantized": f"WITH {label_hits(COSINE, 'DESC')} {HIT_ROWS}",
+    "knn_quantized": f"""WITH {LABEL_QUERIES},
+parts AS MATERIALIZED (
+  SELECT vec_id, p::INT AS p, list_slice(u, 8 * p + 1, 8 * p + 8) AS v FROM (SELECT vec_id, {UNIT} AS u FROM embeddings), range(8) r(p)),
+coded AS MATERIALIZED (
+  SELECT a.vec_id, a.p, arg_min(b.vec_id, [list_inner_product(b.v, b.v) - 2 * list_inner_product(a.v, b.v), b.vec_id]) AS code
+  FROM parts a JOIN parts b ON a.p = b.p AND b.vec_id < 64 GROUP BY a.vec_id, a.p),
+asked AS (
+  SELECT query_id, p::INT AS p, list_slice(list_transform(q, lambda x: x / sqrt(list_inner_product(q, q))), 8 * p + 1, 8 * p + 8) AS v
+  FROM centres, range(8) r(p)),
+tables AS MATERIALIZED (
+  SELECT query_id, a.p, vec_id AS code, list_inner_product(a.v, b.v) AS s FROM asked a JOIN parts b ON a.p = b.p AND vec_id < 64),
+guessed AS (
+  SELECT query_id, vec_id AS id, sum(s ORDER BY t.p) AS s FROM coded JOIN tables t USING (p, code) GROUP BY query_id, vec_id),
+chosen AS (SELECT query_id, id FROM guessed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 200),
+scored AS (
+  SELECT query_id, id, round({COSINE}, 9) AS score FROM chosen JOIN centres USING (query_id) JOIN embeddings ON vec_id = id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, score
+FROM scored QUALIFY rank <= 10""",
     "knn_filtered_cells": f"""WITH {LABEL_QUERIES},
 near AS (
   SELECT vec_id AS id, query_id AS cell FROM centres, embeddings WHERE vec_id % 7 = 3

@@ -696,9 +696,10 @@ def knn_pruned_l2(spark, sf_dir):
 
 @query
 def knn_quantized(spark, sf_dir):
-    """A byte for each of eight parts; the best by codes are scored exactly."""
+    """A byte for each of eight parts; the best by codes are scored exactly. The parts of 64 vectors are the code vectors."""
     corpus_vectors = st.vectors(spark, sf_dir)
-    books = quantized.fit_codebooks(corpus_vectors, codes=64)
+    first = corpus_vectors.where("id < 64").orderBy("id").collect()
+    books = np.array_split(unit(np.array([r.vector for r in first], dtype=np.float64)), 8, axis=1)
     compressed = stage(quantized.compress(corpus_vectors, books), "codes")
     hits = quantized.knn_quantized(corpus_vectors, compressed, st.label_queries(spark, sf_dir), books)
     return hits.withColumn("score", F.round("score", 9))

@@ -148,9 +148,9 @@ def knn_quantized(
                 part = codes[a : a + _ROWS]
                 scores = sum(t[:, part[:, p]] for p, t in enumerate(tables))
                 top = min(wide, scores.shape[1])
-                at = np.argpartition(-scores, top - 1, axis=1)[:, :top]
-                q = np.repeat(np.arange(len(scores)), top)
-                best.buffer.append((q, ids[a : a + _ROWS][at.ravel()], np.take_along_axis(scores, at, 1).ravel()))
+                least = np.partition(scores, scores.shape[1] - top, axis=1)[:, scores.shape[1] - top]
+                q, at = np.nonzero(scores >= least[:, None])  # rows of equal codes tie, and the smaller ids stay
+                best.buffer.append((q, ids[a : a + _ROWS][at], scores[q, at]))
                 best.buffered += len(q)
             if best.buffered > (1 << 18) + 2 * wide * len(matrix):
                 best._reduce()
