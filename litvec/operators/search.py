@@ -169,11 +169,18 @@ def with_entity(
 ) -> DataFrame:
     """Add the named corpus columns of each hit as a struct ``entity``; unknown names are left out.
 
-    A small set of hits goes to the corpus scan, not the corpus to it.
+    A small set of hits goes to the corpus scan, not the corpus to it. Of many hits the distinct ids go there, and only
+    the rows they name are moved; the corpus itself is shuffled by id beyond ``max_broadcast`` ids.
     """
     known = [f for f in fields if f in corpus.columns]
     source = corpus.select(F.col(id_col).cast("long").alias("id"), F.struct(*known).alias("entity"))
-    return source.join(small_side(hits, "hits", max_broadcast), "id").select("query_id", "rank", "id", "score", "entity")
+    met = stage(hits, "hits")
+    if met.count() <= max_broadcast:
+        found = source.join(small_side(met, "few-hits", max_broadcast), "id")
+    else:
+        ids = small_side(met.select("id").distinct(), "hit-ids", max_broadcast)
+        found = met.join(source.join(ids, "id", "left_semi"), "id")
+    return found.select("query_id", "rank", "id", "score", "entity")
 
 
 def entities(hits: DataFrame) -> DataFrame:

@@ -199,3 +199,12 @@ def test_cells_of_every_metric_prune_and_take_filters(spark, tmp_path):
         assert {r.entity.kind for r in found.collect()} == {1}
         few = search.knn_cells(stored, queries.where("query_id = 0"), centroids, 1, 5, metric)
         assert "PartitionFilters: [isnotnull(cell" in few._jdf.queryExecution().toString()
+
+
+def test_fields_of_many_hits_move_the_named_rows_only(spark):
+    corpus = spark.range(3000).selectExpr("id", "array(cast(id as double), 1.0) as vector", "repeat('x', 10) as text")
+    queries = corpus.where("id < 40").selectExpr("id as query_id", "vector")
+    found = search.knn(corpus, queries, 5, "L2")
+    few, many = (search.with_entity(found, corpus, ("text",), max_broadcast=n) for n in (1000, 100))
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and many.count() == 200
+    assert "LeftSemi, BuildRight" in many._jdf.queryExecution().toString()
