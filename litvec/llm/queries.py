@@ -161,9 +161,10 @@ def op8_suffix_dedup(spark, sf_dir):
 def op9_warc(spark, sf_dir):
     archives = warc.write_archives(spread(table(spark, sf_dir, "pages")))
     number = lambda c: F.regexp_extract(c, r"urn:page:(-?[0-9]+)", 1).try_cast("long")
+    damage = F.raise_error(F.concat(F.lit("a gap in an archive just written: "), "path", F.lit(" "), "gap")).cast("boolean")
     return (
         warc.read_archives(archives, payloads=False)
-        .where("gap is null")
+        .where(F.when(F.col("gap").isNull(), True).otherwise(damage))
         .select(
             number("record_id").alias("page_id"),
             "payload_bytes",

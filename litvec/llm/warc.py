@@ -2,7 +2,8 @@
 
 Records are gzip members of their own. The reader checks every member, header, length and digest.
 After a failed check it looks for the next member or version line that is valid, goes on there and
-reports the bytes in between as a gap.
+reports the bytes in between as a gap. It does the same inside a member that holds several records,
+and keeps what a damaged member still gives.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from litvec.llm.common import text_or_empty
 from litvec.runtime import stage, staging_path
 
 FILE_BYTES = 64 << 20  # of payload, then a task starts another archive
+LONGEST_HEADER = 64 << 20  # of an uncompressed archive; in a member a header may be as long as the member
 _CHUNK = 1 << 20
 _LINE = b"\r\n"
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+_VERSION_LINE = re.compile(rb"WARC/1\.")
 _DATE = "2020-01-01T00:00:00Z"  # the tables name no time of capture
 
 
@@ -87,19 +90,33 @@ class _File:
         return self.held[at - self.at : at - self.at + n]
 
 
-def _member(file: _File, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and where it ends."""
+def _member(file: _File, at: int) -> tuple[bytes, int | None, str | None, bool]:
+    """What the gzip member at ``at`` holds and where it ends; if it is damaged no end, but the reason, and whether it is only cut off."""
     inflate, out, position = zlib.decompressobj(31), [], at
     while not inflate.eof:
         data = file.read(position, _CHUNK // 4)
         if not data:
-            raise Damaged("member is cut off")
+            return b"".join(out), None, "member is cut off", True
         try:
             out.append(inflate.decompress(data))
         except zlib.error as error:
-            raise Damaged(f"member: {error}") from None
+            return b"".join(out) + _before_error(file, at, position), None, f"member: {error}", False
         position += len(data)
-    return b"".join(out), position - len(inflate.unused_data)
+    return b"".join(out), position - len(inflate.unused_data), None, False
+
+
+def _before_error(file: _File, at: int, position: int) -> bytes:
+    """What the bytes from ``position`` on give before inflating them fails."""
+    inflate = zlib.decompressobj(31)
+    for start in range(at, position, _CHUNK // 4):
+        inflate.decompress(file.read(start, min(_CHUNK // 4, position - start)))
+    out, data = [], file.read(position, _CHUNK // 4)
+    for i in range(0, len(data), 64):
+        try:
+            out.append(inflate.decompress(data[i : i + 64]))
+        except zlib.error:
+            break
+    return b"".join(out)
 
 
 def _head(data: bytes) -> tuple[dict[str, str], int]:
@@ -148,7 +165,7 @@ def _plain(file: _File, at: int) -> tuple[dict, int]:
     size = 8192
     while True:
         data = file.read(at, size)
-        if _LINE + _LINE in data or len(data) < size or size >= _CHUNK:
+        if _LINE + _LINE in data or len(data) < size or size >= LONGEST_HEADER and file.source:
             break
         size *= 4
     fields, start = _head(data)
@@ -160,53 +177,79 @@ def _plain(file: _File, at: int) -> tuple[dict, int]:
     return _checked(fields, file.read(at + start, length)), at + start + length + 4
 
 
-def _records_at(file: _File, at: int) -> tuple[list[dict], int]:
-    """The records of the member, or the uncompressed record, that starts at ``at``."""
+def _inside(data: bytes, checked: bool) -> list[dict]:
+    """Records and gaps of an inflated member, with their places in it; without its checksum only records that a digest confirms."""
+    inner = _File(None, len(data))
+    inner.held = data
+
+    def read(file: _File, at: int) -> tuple[list[dict], int, None]:
+        record, end = _plain(file, at)
+        if not checked and record["payload"] is None:
+            raise Damaged("no digest confirms the record")
+        return [record], end, None
+
+    return [e | {"inner_start": e["start"], "inner_end": e["end"]} for e in _walk(inner, read, _VERSION_LINE)]
+
+
+def _entries_at(file: _File, at: int) -> tuple[list[dict], int | None, str | None]:
+    """What the member, or the uncompressed record, that starts at ``at`` gives, and its end; the reason where it is damaged."""
     start = file.read(at, 8)
     if start.startswith(b"WARC/1."):
         record, end = _plain(file, at)
-        return [record], end
+        return [record], end, None
     if not start.startswith(b"\x1f\x8b\x08"):
         raise Damaged("neither member nor version line")
-    data, end = _member(file, at)
-    inner, position, out = _File(None, len(data)), 0, []
-    inner.held = data
-    while position < len(data):
-        record, position = _plain(inner, position)
-        out.append(record)
-    return out, end
+    data, end, reason, cut = _member(file, at)
+    entries = _inside(data, reason is None or cut)
+    # Nothing stands behind the last bytes of a damaged member, so a record that reaches them counts as damaged.
+    found = [e for e in entries if not e["gap"] and (reason is None or e["inner_end"] < len(data))]
+    if entries and not found:
+        raise Damaged(reason or entries[0]["gap"])
+    if reason is None:
+        return entries, end, None
+    # The rest of a damaged member is part of its gap in the file.
+    return entries[: entries.index(found[-1]) + 1] if found else [], None, reason
+
+
+def _walk(file: _File, read, candidate: re.Pattern) -> Iterator[dict]:
+    """Entries and gaps from the start to the end of ``file``; ``read`` gives what starts at a place, or part of it and no end."""
+    at, broken = 0, None
+    while at < file.size:
+        try:
+            entries, end, reason = read(file, at)
+        except Damaged as damage:
+            entries, end, reason = [], None, str(damage)
+        if broken and (entries or end is not None):
+            yield {"start": broken[0], "end": at, "gap": broken[1]}
+            broken = None
+        for entry in entries:
+            yield {"gap": None} | entry | {"start": at, "end": at if end is None else end}
+        if end is not None:
+            at = end
+            continue
+        broken = broken or (at, reason)
+        at += 1
+        while at < file.size:
+            data = file.read(at, _CHUNK)
+            found = candidate.search(data)
+            if found:
+                at += found.start()
+                break
+            at += max(1, len(data) - 6)
+        at = min(at, file.size)
+    if broken:
+        yield {"start": broken[0], "end": file.size, "gap": broken[1]}
 
 
 def salvage(source, size: int) -> Iterator[dict]:
     """Records and gaps of an archive in their order, each with ``start`` and ``end`` in the file.
 
-    A member or record that fails a check becomes part of a gap with the first reason found.
+    A member or record that fails a check becomes part of a gap with the first reason found. Records
+    and gaps of a compressed member have their place in it as ``inner_start`` and ``inner_end`` too. Of a member that is cut
+    off or corrupt, the records before the last bytes that it gives are kept, of a corrupt one those with a digest; their
+    ``end`` is their ``start``, as the bytes of the member are a gap.
     """
-    file, at = _File(source, size), 0
-    broken: tuple[int, str] | None = None
-    while at < size:
-        try:
-            records, end = _records_at(file, at)
-        except Damaged as damage:
-            broken = broken or (at, str(damage))
-            at += 1
-            while at < size:
-                data = file.read(at, _CHUNK)
-                found = _CANDIDATE.search(data)
-                if found:
-                    at += found.start()
-                    break
-                at += max(1, len(data) - 6)
-            at = min(at, size)
-            continue
-        if broken:
-            yield {"start": broken[0], "end": at, "gap": broken[1]}
-            broken = None
-        for record in records:
-            yield record | {"start": at, "end": end, "gap": None}
-        at = end
-    if broken:
-        yield {"start": broken[0], "end": size, "gap": broken[1]}
+    return _walk(_File(source, size), _entries_at, _CANDIDATE)
 
 
 def _responses(df: DataFrame, least: int) -> DataFrame:
@@ -276,17 +319,18 @@ def write_archives(
 
 
 READ = (
-    "path string, start long, end long, gap string, record_id string, record_type string, target_uri string, "
+    "path string, start long, end long, inner_start long, inner_end long, gap string, record_id string, record_type string, target_uri string, "
     "refers_to string, payload_digest string, payload_bytes long, payload binary"
 )
-_KINDS = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()]
+_KINDS = [pa.string(), *[pa.int64()] * 4, *[pa.string()] * 6, pa.int64(), pa.binary()]
 _NAMES = [x.split()[0] for x in READ.split(", ")]
 
 
 def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
     """Records and gaps of the archives in the column ``path``.
 
-    A gap has its bytes (start, end) and the reason in ``gap``; nothing else is set. ``payloads``
+    A gap has its bytes (start, end, and the place in a member that is otherwise whole) and the reason in
+    ``gap``; nothing else is set. ``payloads``
     false leaves the payloads out after they were checked. A null path gives no row, an empty
     file none, a path that comes twice is read twice. A file is read as a stream by one task.
     """

@@ -120,3 +120,41 @@ def test_damaged_archive_is_read_by_spark(spark, tmp_path):
 
 def test_query_has_sql():
     assert "op9_warc" in QUERIES and "op9_warc" in ORACLES
+
+
+def test_records_that_share_a_member_with_a_damaged_one():
+    records = members(6, seed=4)
+    records[3] = records[3][:-6] + bytes([records[3][-6] ^ 1]) + records[3][-5:]
+    before, shared, behind = gzip.compress(members(1)[0]), gzip.compress(b"".join(records)), gzip.compress(members(9)[8])
+    found = read(before + shared + behind)
+    assert ids(found) == [0, 0, 1, 2, 4, 5, 8]
+    (gap,) = [r for r in found if r["gap"]]
+    assert (gap["start"], gap["end"]) == (len(before), len(before + shared)) and gap["gap"] == "payload digest differs"
+    assert (gap["inner_start"], gap["inner_end"]) == (sum(map(len, records[:3])), sum(map(len, records[:4])))
+
+
+def test_records_of_a_member_that_is_cut_off_or_corrupt():
+    records = members(6, seed=5)
+    shared = gzip.compress(b"".join(records))
+    found = read(shared[:-40])
+    assert ids(found) == [0, 1, 2, 3, 4] and found[-1]["gap"] == "member is cut off"
+    assert (found[-1]["start"], found[-1]["end"]) == (0, len(shared) - 40) and found[0]["end"] == 0
+    alone = gzip.compress(members(8)[7])
+    hurt = bytearray(shared)
+    hurt[-5] ^= 0xFF  # the checksum
+    assert ids(read(bytes(hurt) + alone)) == [0, 1, 2, 3, 4, 7]
+    revisit = warc.page_record(3, None, b"x" * 50, 1)
+    several = gzip.compress(records[0] + revisit + records[1] + records[2])
+    hurt = bytearray(several)
+    hurt[-5] ^= 0xFF
+    assert ids(read(bytes(hurt))) == [0, 1]  # no digest confirms a revisit there
+    assert ids(read(several[:-3])) == [0, 3, 1]
+
+
+def test_header_of_several_megabytes(spark):
+    url = "http://h/" + "é " * 1_500_000
+    df = spark.createDataFrame([(1, url, "a"), (2, "http://b", "b")], PAGES)
+    found = warc.read_archives(warc.write_archives(df)).collect()
+    assert not [r for r in found if r.gap] and sorted(len(r.target_uri) for r in found) == [8, 9 + 4 * 1_500_000]
+    record = warc.page_record(1, url, b"x", None)
+    assert ids(read(record)) == [1]
