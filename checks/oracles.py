@@ -673,6 +673,12 @@ codes AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SEL
 SELECT 'x' AS name, round(value, 8) AS value FROM first
 UNION ALL SELECT 'y', round(value, 8) FROM second
 UNION ALL SELECT 'label ' || label || ' is ' || code, count(*)::DOUBLE FROM embeddings JOIN codes USING (label) GROUP BY label, code""",
+    "neighbour_graph": """
+WITH near AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id
+  QUALIFY row_number() OVER (PARTITION BY a.vec_id
+    ORDER BY round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 11), b.vec_id) <= 5)
+SELECT a, b FROM near UNION SELECT b, a FROM near""",
     "knn_with_gaps": f"WITH {label_hits(COSINE, 'DESC', 'vec_id % 5 NOT IN (1, 2, 3)')} {HIT_ROWS}",
     "knn_ip_small": f"""WITH {LABEL_QUERIES},
 scored AS (

@@ -22,6 +22,7 @@ from litvec.operators import (
     embedding,
     hashing,
     ids,
+    layout,
     passages,
     pooling,
     projection,
@@ -558,6 +559,17 @@ def pca_2d(spark, sf_dir):
     return axes.union(named).withColumn("value", F.round("value", 8))
 
 
+@query
+def neighbour_graph(spark, sf_dir):
+    """Which points pull each other."""
+    return layout.neighbour_graph(st.vectors(spark, sf_dir), neighbours=5).select("a", "b")
+
+
+@query
+def neighbour_layout(spark, sf_dir):
+    return layout.neighbour_layout(st.vectors(spark, sf_dir), rounds=12)
+
+
 # --- search ---
 
 
