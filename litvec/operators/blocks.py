@@ -40,11 +40,17 @@ def block_join(
         counted = side.groupBy(*buckets).agg(F.count("*").alias("n"))
         return counted.select(*buckets, F.ceil(F.col("n") / size).cast("int").alias(name))
 
-    of_rows, of_asked = parts(rows, per_block, "row_blocks"), parts(asked, asked_per_block, "asked_blocks")
-    grid = small_side(of_rows.join(of_asked, [*buckets]) if buckets else of_rows.join(of_asked), "block-grid")
+    if buckets:
+        of_rows, of_asked = parts(rows, per_block, "row_blocks"), parts(asked, asked_per_block, "asked_blocks")
+        grid = small_side(of_rows.join(of_asked, [*buckets]), "block-grid")
+    else:
+        whole = {"row_blocks": -(-rows.count() // per_block), "asked_blocks": -(-asked.count() // asked_per_block)}
 
     def dealt(side: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        met = side.join(grid, [*buckets]) if buckets else side.join(grid)
+        if buckets:
+            met = side.join(grid, [*buckets])
+        else:
+            met = side.withColumns({name: F.lit(max(1, n)) for name, n in whole.items()})
         block = F.pmod(F.xxhash64(key), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block")
         each = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
         return met.select(*buckets, key, "vector", block, each)

@@ -105,9 +105,10 @@ def learn(df: DataFrame, text: str = "text") -> DataFrame:
         ),
         "word-types",
     )
-    total = types.agg(F.sum("n").alias("total"), F.sum("dotted").alias("stops"))
+    told = types.agg(F.sum("n").alias("total"), F.sum("dotted").alias("stops")).first()
+    total, stops = (F.lit(told[c] or 0) for c in ("total", "stops"))
     k, plain = F.col("dotted"), F.col("n") - F.col("dotted")
-    share = F.col("stops") / F.col("total")
+    share = stops / total
     ratio = -2 * (
         _times_log(k, share) + _times_log(plain, 1 - share) - k * F.ln(F.lit(_ALWAYS)) - plain * F.ln(F.lit(1 - _ALWAYS))
     )
@@ -116,10 +117,8 @@ def learn(df: DataFrame, text: str = "text") -> DataFrame:
     # Short words, words with full stops inside and words hardly ever seen without one are likelier abbreviations.
     weight = F.exp(-letters) * (inner + 1) * F.pow(letters, -plain)
     words = F.col("type").rlike(r"\p{L}")
-    of_total = F.broadcast(total)
     abbreviations = stage(
         types.where((k > 0) & words)
-        .join(of_total)
         .select("type", "n", k.alias("together"), (ratio * weight).alias("score"))
         .where(F.col("score") >= ABBREVIATION),
         "abbreviations",
@@ -128,10 +127,10 @@ def learn(df: DataFrame, text: str = "text") -> DataFrame:
     def behind(pairs: DataFrame, least: float) -> DataFrame:
         """Types that follow the given ends more often than they would by chance."""
         after = pairs.groupBy(F.col("next").alias("type")).agg(F.sum("n").alias("together"))
-        ends = pairs.agg(F.sum("n").alias("ends"))
-        scored = after.where(F.col("type").rlike(r"\p{L}")).join(types, "type").join(of_total).join(F.broadcast(ends))
-        score = _ratio(F.col("together"), F.col("ends"), F.col("n"), F.col("total"))
-        more = F.col("together") / F.col("ends") > F.col("n") / F.col("total")
+        ends = F.lit(pairs.agg(F.sum("n").alias("ends")).first()["ends"] or 0)
+        scored = after.where(F.col("type").rlike(r"\p{L}")).join(types, "type")
+        score = _ratio(F.col("together"), ends, F.col("n"), total)
+        more = F.col("together") / ends > F.col("n") / total
         return scored.where(more).select("type", "n", "together", score.alias("score")).where(F.col("score") >= least)
 
     pairs = counts.where(F.col("mark").isin("!", ".", "^") & (F.col("next") != ""))
