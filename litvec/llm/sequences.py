@@ -71,8 +71,9 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > _WORDS_KEPT:
             self.known = {"": b""}
-        # A word and the full stop or comma behind it are encoded apart, as the vocabulary splits them anyway.
-        stems = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()}
+        # A word and the full stop or comma behind it are encoded apart, as the vocabulary splits them anyway. Other
+        # letters than these may become a letter and a mark, which is one unit with the mark behind it.
+        stems = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and w[-2] < "\u0130"}
         parts = {stems.get(w, w) for w in words}.union(w[-1] for w in stems)
         fresh = [w for w in parts if w not in self.known]
         if self.plain:

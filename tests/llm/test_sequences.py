@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -113,3 +114,24 @@ def test_words_are_forgotten_without_harm(monkeypatch, whole):
     texts = [f"one two{i} three, four{i}. five{i % 3}" for i in range(100)]
     got = [x for i in range(0, 100, 3) for x in encoder(texts[i : i + 3])]
     assert [x.tolist() for x in got] == [whole(t)[:-1] for t in texts]
+
+
+def test_ids_of_every_character_before_a_mark_a_letter_and_a_blank(whole):
+    encoder = sequences.WordEncoder(vocabulary())
+    characters = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(characters), 2000):
+        texts = [f"{c}. x a{c}, {c}{c}. {c}b {c}, a.{c} é{c}." for c in characters[a : a + 2000]]
+        wanted = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for text, ids, other in zip(texts, encoder(texts), wanted):
+            assert ids.tolist() == other.ids, text
+    assert encoder(["İ. x"])[0].tolist() == whole("İ. x")[:-1]
+
+
+def test_ids_of_random_mixes():
+    rnd = random.Random(9)
+    parts = [*"aÀéßµªİıſKǅﬁΣςक़़\u0301\u0307.,'!1 \n日ंि", "word", "'s", "...", "</w>", " ", " "]
+    encoder = sequences.WordEncoder(vocabulary())
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(5000)]
+    wanted = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    for text, ids, other in zip(texts, encoder(texts), wanted):
+        assert ids.tolist() == other.ids, text
