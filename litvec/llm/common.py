@@ -43,3 +43,20 @@ def components(links: DataFrame) -> DataFrame:
         labels = following.select("id", "label")
         if following.where("label <> was").isEmpty():
             return labels.select("id", F.col("label").alias("class_id"))
+
+
+def without(df: DataFrame, listed: DataFrame, doc_id: str, digest: Column) -> DataFrame:
+    """The rows of ``df`` that a staged list ``id, digest, stays`` does not name, and one of each that is to stay.
+
+    ``digest`` is what the list calls ``digest`` of a row, so an id may repeat, be null or stand for several texts. The
+    list is counted and weighed: it is broadcast, so that rows pass in the task that reads them, or beyond that joined
+    by shuffle. Rows that stay although they are listed repeat others; only these are grouped, in map tasks first.
+    """
+    own = df.select(F.struct("*").alias("own"), F.col(doc_id).alias("doc_id"), digest.alias("own_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest"))
+    left = own.join(small_side(listed.select("id", "digest"), "listed"), same, "left_anti").select("own")
+    stays = listed.where("stays")
+    if not stays.isEmpty():
+        repeated = own.join(small_side(stays.select("id", "digest"), "stays"), same)
+        left = left.union(repeated.groupBy("id", "digest").agg(F.first("own").alias("own")).select("own"))
+    return left.select(*[F.col("own").getField(c).alias(c) for c in df.columns])

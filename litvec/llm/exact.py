@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litvec.llm.common import text_or_empty
+from litvec.llm.common import text_or_empty, without
 from litvec.runtime import stage
 
 # A chunk ends behind a letter of the first class and one of the second (code points 1 and 5 modulo 8),
@@ -116,12 +116,4 @@ def drop_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     judged = exact_duplicates(df, doc_id, text).groupBy("doc_id", "text_sha256")
     judged = judged.agg(F.max("kept").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
     listed = stage(judged.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"), "stays"), "listed")
-    own = df.select(
-        F.struct("*").alias("own"),
-        F.col(doc_id).alias("doc_id"),
-        F.sha2(normalised(text_or_empty(text)), 256).alias("text_sha256"),
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("digest"))
-    alone = own.join(listed, same, "left_anti").select("own")
-    repeated = own.join(listed.where("stays"), same).groupBy("id", "digest").agg(F.first("own").alias("own"))
-    return alone.union(repeated.select("own")).select(*[F.col("own").getField(c).alias(c) for c in df.columns])
+    return without(df, listed, doc_id, F.sha2(normalised(text_or_empty(text)), 256))
