@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litvec.llm.common import components, text_or_empty
+from litvec.llm.common import components, text_or_empty, without
 from litvec.llm.words import by_occurrence, in_slices, mix, shingles, word_hashes
 from litvec.runtime import small_side, stage
 
@@ -102,8 +102,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, row in zip(full, order_sketches(x, many[full]).view("i8").tolist()):
                 rows[k] = row
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(digests), pa.array(many.astype("i4")), pa.array(rows, pa.list_(pa.int64()))],
-            ["doc_id", "digest", "shingles", "sketches"],
+            [batch.column(0), batch.column(2), pa.array(digests), pa.array(many.astype("i4")), pa.array(rows, pa.list_(pa.int64()))],
+            ["doc_id", "mark", "digest", "shingles", "sketches"],
         )
 
 
@@ -125,8 +125,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     Texts with the same words in the same order are copies of the one with the smallest id; texts
     without any word are copies if they are equal, so null and empty texts are. Different texts
     are linked at a similarity of 0.8 or more of their five-word shingles, aligned in order, and
-    classes are what links connect. Rows that repeat an id have to repeat its text. A row with a
-    null id has a null class and stands for itself; an empty table gives an empty one.
+    classes are what links connect. Texts are told apart by a row number that is staged with their
+    sketches, so an id may repeat and stand for several texts. A row with a null id has a null class
+    and stands for itself; an empty table gives an empty one.
 
     Copies leave the search as one text. Buckets of a few texts that share a sketch are paired in
     full. A larger bucket is neither gathered nor paired: its members meet its hubs, those that share
@@ -137,14 +138,25 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     no pair that can reach 0.8, however few sketches it shares. So a pair that shares a sketch is
     linked in large buckets as it is in small ones.
     """
+    return _judged(df, doc_id, text).select("doc_id", "class_id", "copy_of")
+
+
+def _judged(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``near_duplicates`` with ``mark``, a hash of the text, and ``kept``: the one row of its class that stays."""
     own = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    sketched = stage(
-        own.mapInArrow(_sketch, "doc_id long, digest string, shingles int, sketches array<long>"), "sketches"
-    )
+    own = own.withColumn("mark", F.xxhash64("text"))
+    sketched = own.mapInArrow(_sketch, "doc_id long, mark long, digest string, shingles int, sketches array<long>")
+    sketched = stage(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    # From here on the id of a text is the number of its first row, and its name the id of that row.
     texts = stage(
         sketched.where("doc_id is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("id"), F.first("shingles").alias("shingles"), F.first("sketches").alias("sketches")),
+        .agg(
+            F.min(F.struct("doc_id", "row", "mark")).alias("first"),
+            F.first("shingles").alias("shingles"),
+            F.first("sketches").alias("sketches"),
+        )
+        .select("digest", "first.doc_id", F.col("first.row").alias("id"), "first.mark", "shingles", "sketches"),
         "texts",
     )
     every = texts.select("id", "shingles", F.posexplode("sketches").alias("j", "sketch")).select(
@@ -154,10 +166,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     members = stage(every.join(shared, "bucket"), "members")
     crowded = members.where(F.col("n") > SMALL).groupBy("id")
     crowded = crowded.agg(F.sum("n").alias("degree"), F.collect_list("bucket").alias("buckets"))
-    large = stage(texts.drop("digest").join(small_side(crowded, "crowded"), "id"), "large")
+    large = stage(texts.drop("digest", "doc_id", "mark").join(small_side(crowded, "crowded"), "id"), "large")
     pairs = _paired(members.where(F.col("n") <= SMALL)).union(_with_hubs(large)).distinct()
     pairs = small_side(pairs, "pairs")
-    bodies = _bodies(own, pairs, large)
+    bodies = _bodies(own, texts, pairs, large)
     alone = bodies.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("class_id"))
     classes = _merged(small_side(alone, "classes"), _linked(pairs, bodies))
     met, turn = pairs, 1
@@ -175,13 +187,23 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     if not links.isEmpty():
         classes = _merged(classes, links)
 
-    copies = texts.select("digest", F.col("id").alias("copy_of")).join(
-        classes.withColumnRenamed("id", "copy_of"), "copy_of", "left"
+    named = texts.select("digest", "id", "doc_id").join(classes, "id", "left")
+    named = stage(named.withColumn("class", F.coalesce("class_id", "id")).drop("class_id"), "named")
+    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "id")).alias("stays"), F.count("*").alias("n")).where("n > 1")
+    several = named.join(small_side(first, "classes-first"), "class", "left")
+    copies = several.select(
+        "digest",
+        F.col("doc_id").alias("copy_of"),
+        F.coalesce("stays.doc_id", "doc_id").alias("class_id"),
+        F.coalesce("stays.id", "id").alias("stays"),
     )
+    has_id = F.col("doc_id").isNotNull()
     return sketched.join(stage(copies, "copies"), "digest", "left").select(
         "doc_id",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "copy_of")).alias("class_id"),
-        F.when(F.col("doc_id").isNotNull(), F.col("copy_of")).alias("copy_of"),
+        "mark",
+        F.when(has_id, F.col("class_id")).alias("class_id"),
+        F.when(has_id, F.col("copy_of")).alias("copy_of"),
+        (~has_id | (F.col("row") == F.col("stays"))).alias("kept"),
     )
 
 
@@ -367,11 +389,12 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     return small_side(joined, "classes")
 
 
-def _bodies(own: DataFrame, pairs: DataFrame, large: DataFrame) -> DataFrame:
-    """The texts that may be compared, each once."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select("id")).distinct()
-    wanted = own.join(small_side(ids, "wanted"), "doc_id")
-    return stage(wanted.groupBy("doc_id").agg(F.min("text").alias("text")), "bodies")
+def _bodies(own: DataFrame, texts: DataFrame, pairs: DataFrame, large: DataFrame) -> DataFrame:
+    """The texts that may be compared, each once; ``doc_id`` is the id of the text."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
+    named = texts.select("id", "doc_id", "mark").join(small_side(ids, "wanted"), "id")
+    found = own.join(small_side(named, "wanted-texts"), ["doc_id", "mark"])
+    return stage(found.groupBy(F.col("id").alias("doc_id")).agg(F.min("text").alias("text")), "bodies")
 
 
 def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -384,6 +407,12 @@ def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, that have the smallest id of their class or no id."""
-    gone = near_duplicates(df, doc_id, text).where("doc_id <> class_id").select(F.col("doc_id").alias(doc_id))
-    return df.join(stage(gone, "gone"), doc_id, "left_anti").select(*df.columns)
+    """The rows of ``df``, with all their columns, that have no id or the id and text that stay of their class.
+
+    What stays of a class is a text with its smallest id; rows that repeat both stay too. A row is named by
+    its id and a hash of its text, so none is lost because another text has its id.
+    """
+    judged = _judged(df, doc_id, text).where("doc_id is not null").groupBy("doc_id", "mark")
+    gone = judged.agg(F.max("kept").alias("stays")).where("not stays")
+    listed = stage(gone.select(F.col("doc_id").alias("id"), F.col("mark").alias("digest"), "stays"), "gone")
+    return without(df, listed, doc_id, F.xxhash64(text_or_empty(text)))

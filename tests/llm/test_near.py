@@ -196,3 +196,17 @@ def test_a_pair_that_agrees_in_few_sketches_of_crowded_buckets(spark):
     assert wanted[2] == 1 and len(set(wanted.values())) == len(rows) - 1
     got = {r.doc_id: r.class_id for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == wanted
+
+
+def test_ids_that_stand_for_several_texts_lose_none(spark):
+    rnd = random.Random(8)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, unique, other = words(60), words(60), words(60)
+    rows = [(3, a), (5, a + " end"), (5, unique), (7, other), (7, other + " end"), (7, other), (9, "x"), (9, "x"), (None, a), (None, a)]
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, digest int")
+    judged = near.near_duplicates(df).collect()
+    assert sorted((r.class_id for r in judged), key=str) == sorted([3, 3, 5, 7, 7, 7, 9, 9, None, None], key=str)
+    left = sorted(((r.doc_id, r.text) for r in near.drop_near_duplicates(df.repartition(3)).collect()), key=str)
+    assert [d for d, _ in left] == [3, 5, 7, 7, 9, 9, None, None]
+    assert (3, a) in left and (5, unique) in left and (9, "x") in left
+    assert near.drop_near_duplicates(df).columns == df.columns
