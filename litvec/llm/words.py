@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE = 5
 _PIECE = 1 << 20
@@ -89,12 +91,16 @@ def by_occurrence(x: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def in_slices(batches: Iterator, size: int = 1 << 21) -> Iterator:
-    """Batches cut into slices of a bounded number of text bytes (one row at least); the text is column 1."""
+    """Batches cut into slices of a bounded number of text bytes (one row at least); the text is column 1.
+
+    At the end the memory of past batches goes back to the system, as workers live on into later stages.
+    """
     for batch in batches:
-        lengths = np.array([len(s) for s in batch.column(1).to_pylist()], "i8")
+        lengths = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype("i8")
         slot = np.cumsum(lengths) // size
         a = 0
         while a < batch.num_rows:
             b = int(np.searchsorted(slot, slot[a], side="right"))
             yield batch.slice(a, b - a)
             a = b
+    pa.default_memory_pool().release_unused()
