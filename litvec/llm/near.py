@@ -29,9 +29,9 @@ SMALL = 8
 HUBS, LEADERS = 3, 16
 # Members meet leaders that agree with them in this many sketches, as 99.4 % of pairs of similarity 0.8 do, and
 # in each round this many random ones, those that agree in most. The rest is left to rare shingles.
-AGREEMENT, MEETINGS = 4, 16
+AGREEMENT, NEAREST, MEETINGS = 4, 3, 16
 # Counters for the order of shingles by rarity, and the members of a rare shingle that one row holds.
-_COUNTER_BITS, BLOCK = 18, 256
+_COUNTER_BITS, BLOCK = 18, 400
 _SEEDS = mix(np.arange(1, 2 * SKETCHES + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -283,6 +283,8 @@ def _random_pairs(large: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
         return F.struct((-_agreement(x["sketches"], F.col("sketches"))).alias("differ"), x["id"].alias("leader"))
 
     met = F.filter(F.transform(F.filter("leaders", wanted), agreeing), lambda x: x["differ"] <= -AGREEMENT)
+    # The nearest of a bucket are enough: what they miss is found in other buckets, by later rounds or by rare shingles.
+    met = F.slice(F.sort_array(met), 1, NEAREST)
     nearest = (
         known.join(small_side(leaders, "leaders"), "bucket")
         .where("class_id <> main")
@@ -354,13 +356,13 @@ def _rare_pairs(large: DataFrame, bodies: DataFrame, classes: DataFrame) -> Data
     outside = firsts.join(shared, "shingle").withColumn("outside", F.col("class_id") != F.col("main"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = stage(outside.select("*", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), blocks.alias("blocks")), "dealt")
-    # Members outside the main class stand still in their block, and every member visits all blocks.
-    visits = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("visited"))
+    # Members outside the main class stand still in their block, and every member visits the blocks that have any.
     fields = ("id", "class_id", "size", "at", "outside")
     home = dealt.where("outside").groupBy("shingle", "block").agg(F.collect_list(F.struct(*fields)).alias("home"))
     home = stage(home, "home")
-    occupied = home.select("shingle", F.col("block").alias("visited"))
-    guests = visits.join(occupied, ["shingle", "visited"], "left_semi").groupBy("shingle", "visited", "block")
+    occupied = home.groupBy("shingle").agg(F.collect_list("block").alias("occupied"))
+    visits = dealt.join(small_side(occupied, "occupied"), "shingle").select("*", F.explode("occupied").alias("visited"))
+    guests = visits.groupBy("shingle", "visited", "block")
     guests = guests.agg(F.collect_list(F.struct(*fields)).alias("guests")).withColumnRenamed("block", "of")
     met = guests.join(home.withColumnRenamed("block", "visited"), ["shingle", "visited"])
 
