@@ -1,15 +1,16 @@
 """Passages of benchmark items in documents, by SimHash fingerprints of item-sized windows.
 
 Windows with as many words as an item are fingerprinted where a document shares a shingle with
-some item; elsewhere no window can be similar. Items of that size are indexed by blocks of their
-fingerprint, one block more than the radius has bits, so every fingerprint within the radius
-agrees in a block. What is within the radius is verified by the weighted similarity of shingles.
+some item; elsewhere no window can be similar. Fingerprints have several blocks, each with a radius of
+its own: whatever is within the radius of the whole is within that of a block, and few other items are.
+What is within the radius is verified by the weighted similarity of shingles.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,23 +18,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litvec.llm.common import text_or_empty
-from litvec.llm.words import SHINGLE, in_slices, shingles, word_hashes
+from litvec.llm.words import SHINGLE, in_slices, mix, shingles, word_hashes
+from litvec.runtime import small_side, stage
 
 SIMILARITY = 0.8
-BITS = 64
-# Fingerprints of windows of similarity 0.8 differ in 9.7 of 64 bits on average, in more than 23 once in 100,000.
-RADIUS = 23
+BITS, BLOCKS = 256, 4
+# Fingerprints of texts of similarity 0.8 differ in 39 of 256 bits on average, in 48 if they have five shingles and four of
+# these; in more than 80 less than once in a million.
+RADIUS = 80
+# Radius of each block: if all blocks differ in more, the whole differs in more than RADIUS.
+NEAR = np.array([(RADIUS - BLOCKS + 1) // BLOCKS + (i < (RADIUS - BLOCKS + 1) % BLOCKS) for i in range(BLOCKS)], "u1")
 # Items that one pass over the documents carries; more are searched in further passes.
 PASS_ITEMS, PASS_BYTES = 20_000, 2 << 20
 _MAP_BITS = 22
 
 
 def fingerprints(x: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """SimHash of runs of shingles, each shingle weighted by its count."""
-    bits = np.unpackbits(x.view("u1").reshape(-1, 8), axis=1).astype("i4") * 2 - 1
+    """SimHash of runs of shingles, each shingle weighted by its count: a row of ``BLOCKS`` 64-bit numbers for each run."""
+    wide = mix(x[:, None] + np.arange(BLOCKS, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
+    bits = np.unpackbits(wide.view("u1").reshape(len(x), -1), axis=1).astype("i4") * 2 - 1
     off = np.cumsum(many) - many
     signs = np.add.reduceat(bits, off, axis=0) > 0
-    return np.packbits(signs, axis=1).view("u8").reshape(-1)
+    return np.packbits(signs, axis=1).view("u8")
 
 
 def weighted_similarity(a: Counter, b: Counter) -> float:
@@ -53,7 +59,7 @@ class Items:
         self.size = counts[full]
         stops = np.cumsum(many)[full]
         self.weights = [Counter(x[e - n : e].tolist()) for e, n in zip(stops, many[full])]
-        self.prints = fingerprints(x, many[full]) if len(full) else np.zeros(0, "u8")
+        self.prints = fingerprints(x, many[full]) if len(full) else np.zeros((0, BLOCKS), "u8")
         # Where each shingle lies in which items; short items have one shingle of all their words.
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, (e, n) in enumerate(zip(stops, many[full])):
@@ -62,22 +68,25 @@ class Items:
         self.grams = sorted({min(SHINGLE, int(n)) for n in self.size})
         self.map = np.zeros(1 << _MAP_BITS, bool)
         self.map[x >> np.uint64(64 - _MAP_BITS)] = True
-        self.blocks = [np.uint64(m) for m in self._masks()]
-        self.index: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for k, n in enumerate(self.size.tolist()):
-            for i, mask in enumerate(self.blocks):
-                self.index[n, i, int(self.prints[k] & mask)].append(k)
-
-    @staticmethod
-    def _masks() -> list[int]:
-        borders = [BITS * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-        return [((1 << b) - (1 << a)) for a, b in zip(borders, borders[1:])]
-
-    def within_radius(self, size: int, fingerprint: np.uint64) -> list[int]:
-        near = set()
-        for i, mask in enumerate(self.blocks):
-            near.update(self.index.get((size, i, int(fingerprint & mask)), ()))
-        return [k for k in near if (int(self.prints[k]) ^ int(fingerprint)).bit_count() <= RADIUS]
+        self.of_size = {int(n): np.flatnonzero(self.size == n) for n in np.unique(self.size)}
+        self.columns = {n: np.ascontiguousarray(self.prints[k].T) for n, k in self.of_size.items()}
+
+    def candidates(self, size: int, fingerprint: np.ndarray) -> np.ndarray:
+        """Items of that size that are within the radius of some block.
+
+        At this similarity no run of equal bits is selective, so a block is not looked up but compared with the
+        blocks of all items of the size in one array operation.
+        """
+        if size not in self.of_size:
+            return np.zeros(0, "i8")
+        hit = np.zeros(len(self.of_size[size]), bool)
+        for column, block, most in zip(self.columns[size], fingerprint, NEAR):
+            hit |= np.bitwise_count(column ^ block) <= most
+        return self.of_size[size][hit]
+
+    def within_radius(self, size: int, fingerprint: np.ndarray) -> list[int]:
+        near = self.candidates(size, fingerprint)
+        return near[np.bitwise_count(self.prints[near] ^ fingerprint).sum(axis=1) <= RADIUS].tolist()
 
     def windows(self, words: np.ndarray, shorter: bool = False) -> set[tuple[int, int]]:
         """Start and size of the windows of a document that share a shingle with an item of that size.
@@ -119,19 +128,18 @@ class Items:
         return [(self.names[k], start, similarity) for k, (similarity, start) in sorted(best.items())]
 
 
-def _passes(items: DataFrame, item_id: str, text: str) -> Iterator[Items]:
-    """Items in passes of bounded rows and bytes; the driver holds one pass at a time while it builds the plan."""
-    names, texts, size = [], [], 0
-    rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long"), text).toLocalIterator()
-    for name, body in rows:
-        if len(names) >= PASS_ITEMS or size >= PASS_BYTES:
-            yield Items(names, texts)
-            names, texts, size = [], [], 0
-        names.append(name)
-        texts.append(body)
-        size += len(body)
-    if names:
-        yield Items(names, texts)
+def _passes(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[Items, bool]]:
+    """Items in passes of about so many rows and bytes, and whether there are several; the driver holds one pass at a time."""
+    own = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("body"))
+    n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.length("body")), F.lit(0))).first()
+    passes = max(-(-n // PASS_ITEMS), -(-size // PASS_BYTES))
+    if passes > 1:
+        own = stage(own.withColumn("row", F.monotonically_increasing_id()), "items")
+    for p in range(passes):
+        rows = own.where(F.pmod(F.xxhash64("row"), F.lit(passes)) == p) if passes > 1 else own
+        rows = rows.select("id", "body").collect()
+        if rows:
+            yield Items([r.id for r in rows], [r.body for r in rows]), passes > 1
 
 
 def _per_slice(items: Items, batches: Iterator[pa.RecordBatch], shorter: bool):
@@ -168,7 +176,7 @@ def contamination(
     own = df.select(F.col(doc_id).cast("long"), text_or_empty(text))
     schema = "doc_id long, item_id long, start_word long, similarity double"
     out = df.sparkSession.createDataFrame([], schema)
-    for known in _passes(items, item_id, item_text):
+    for known, several in _passes(items, item_id, item_text):
 
         def found(batches: Iterator[pa.RecordBatch], known: Items = known) -> Iterator[pa.RecordBatch]:
             for batch, hits in _per_slice(known, batches, shorter):
@@ -180,26 +188,42 @@ def contamination(
                     [pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "start_word", "similarity"]
                 )
 
-        out = out.union(own.mapInArrow(found, schema))
+        hits = own.mapInArrow(found, schema)
+        out = out.union(stage(hits, "hits") if several else hits)
     return out
 
 
 def drop_contaminated(
     df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """The rows of ``df``, with all their columns, that hold no item and are no shortened one."""
+    """The rows of ``df``, with all their columns, that hold no item and are no shortened one.
+
+    Items of one pass are searched while rows pass. With more, the digests of the texts that hold one are
+    staged pass by pass, and rows are dropped by a counted and weighed list of them.
+    """
     own = df.columns
     at = own.index(text)
-    for known in _passes(items, item_id, item_text):
+    digest = F.sha2(text_or_empty(text), 256)
+    listed = []
+    for known, several in _passes(items, item_id, item_text):
 
-        def kept(batches: Iterator[pa.RecordBatch], known: Items = known) -> Iterator[pa.RecordBatch]:
+        def kept(batches: Iterator[pa.RecordBatch], at: int = at, hold: bool = False, known: Items = known):
             for batch in batches:
                 a = 0
                 pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(at).fill_null("")], ["id", "text"])
                 for part, hits in _per_slice(known, iter([pair]), True):
-                    keep = [not hits.get(r) for r in range(part.num_rows)]
+                    keep = [bool(hits.get(r)) == hold for r in range(part.num_rows)]
                     yield batch.slice(a, part.num_rows).filter(pa.array(keep, pa.bool_()))
                     a += part.num_rows
 
-        df = df.mapInArrow(kept, df.schema)
-    return df
+        if not several:
+            return df.mapInArrow(kept, df.schema)
+        texts = df.select(digest.alias("digest"), text_or_empty(text).alias("body"))
+        holding = texts.mapInArrow(partial(kept, at=1, hold=True), texts.schema)
+        listed.append(stage(holding.select("digest").distinct(), "held"))
+    if not listed:
+        return df
+    held = reduce(DataFrame.union, listed).distinct()
+    rows = df.select(F.struct("*").alias("own"), digest.alias("digest"))
+    left = rows.join(small_side(held, "held"), "digest", "left_anti")
+    return left.select(*[F.col("own").getField(c).alias(c) for c in own])

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from litvec.llm import decontaminate
 
 ITEMS = "item_id long, text string"
@@ -72,6 +74,9 @@ def test_passes_cover_all_items(spark, monkeypatch):
     df = spark.createDataFrame([(*d, 1) for d in docs], DOCS + ", item_id int")
     kept = decontaminate.drop_contaminated(df, spark.createDataFrame(items, ITEMS))
     assert [tuple(r) for r in kept.collect()] == [(99, docs[-1][1], 1)]
+    repeated = spark.createDataFrame([items[0]] * 7 + items, ITEMS)
+    assert decontaminate.drop_contaminated(df, repeated).count() == 1
+    assert decontaminate.contamination(df, repeated).where("doc_id = 0").count() == 8
 
 
 def test_empty_tables_null_ids_and_repeated_rows(spark):
@@ -84,14 +89,40 @@ def test_empty_tables_null_ids_and_repeated_rows(spark):
     assert decontaminate.drop_contaminated(d, i.limit(0)).count() == 3
 
 
+def random_print(rnd):
+    return np.array([rnd.getrandbits(64) for _ in range(decontaminate.BLOCKS)], "u8")
+
+
 def test_index_finds_everything_within_the_radius():
     items = decontaminate.Items(list(range(40)), [" ".join(f"w{i * j % 97}" for j in range(30)) for i in range(1, 41)])
     rnd = random.Random(2)
     for k in range(40):
-        for flips in (0, 1, 10, decontaminate.RADIUS, decontaminate.RADIUS + 1):
-            mask = sum(1 << b for b in rnd.sample(range(64), flips))
-            near = items.within_radius(30, items.prints[k] ^ type(items.prints[k])(mask))
+        for flips in (0, 1, 10, 39, decontaminate.RADIUS, decontaminate.RADIUS + 1):
+            mask = sum(1 << b for b in rnd.sample(range(decontaminate.BITS), flips))
+            mask = np.array([mask >> 64 * i & (1 << 64) - 1 for i in range(decontaminate.BLOCKS)], "u8")
+            near = items.within_radius(30, items.prints[k] ^ mask)
             assert (k in near) == (flips <= decontaminate.RADIUS)
+    assert decontaminate.NEAR.sum() + decontaminate.BLOCKS > decontaminate.RADIUS
+
+
+def test_blocks_leave_out_nearly_all_other_items():
+    rnd = random.Random(6)
+    items = decontaminate.Items(list(range(2000)), [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(2000)])
+    met = [len(items.candidates(30, random_print(rnd))) for _ in range(200)]
+    assert sum(met) / len(met) < 0.02 * 2000
+    assert not len(items.candidates(31, random_print(rnd)))
+
+
+def test_similar_texts_are_within_the_radius():
+    """Pairs that just reach the similarity: five shingles and four of them, ten and eight, and many."""
+    rnd, misses = np.random.default_rng(3), 0
+    for shared, a, b in [(4, 0, 1), (8, 1, 1), (8, 0, 2), (16, 2, 2), (40, 5, 5), (200, 25, 25)]:
+        for _ in range(300):
+            x = rnd.integers(0, 1 << 63, shared + a + b, dtype="u8")
+            runs = np.concatenate([x[: shared + a], x[:shared], x[shared + a :]])
+            one, other = decontaminate.fingerprints(runs, np.array([shared + a, shared + b]))
+            misses += int(np.bitwise_count(one ^ other).sum()) > decontaminate.RADIUS
+    assert not misses
 
 
 def test_documents_shorter_than_the_item_against_brute_force(spark):
