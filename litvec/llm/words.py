@@ -5,6 +5,7 @@ A word is a run of letters and digits in lower case; every character beyond ASCI
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _powers: dict[np.uint64, np.ndarray] = {}
+# Only the C library of Linux has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,3 +107,5 @@ def in_slices(batches: Iterator, size: int = 1 << 21) -> Iterator:
             yield batch.slice(a, b - a)
             a = b
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
