@@ -8,6 +8,9 @@ Column expressions and aggregates only.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +33,12 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 # Tokens that may be identifiers hold a digit or an @; punctuation around them is not part of them.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 _TRIM_LEFT, _TRIM_RIGHT = r"^[\"'(\[<{,;:!?]++", r"(?<![\"')\]>},;:!?.])[\"')\]>},;:!?.]++$"
-LONGEST = 128  # characters of a token that only its context shows to be an identifier
 TURNS = 3
 SUPPORT = 5  # different seeds that a pattern must have met
 CONFIDENCE = 0.8
 BLOCK = 64  # matches whose places are summed together
-REACH = 48  # characters of context on either side
+REACH = 48  # a pattern is made of the words within so many characters on either side
+PIECE = 1024  # a context is cut from a piece of the text, not from its start
 
 
 def _spans() -> Column:
@@ -107,10 +110,22 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(may, F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["found"]))).otherwise(_spans())
 
 
-def _context(text: Column, start: Column, end: Column) -> Column:
+def _pieces(text: Column) -> Column:
+    """The text in pieces of one length in code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, length: Column) -> Column:
+    """A substring of less than a piece, from the two pieces that it may lie in."""
+    first = F.floor(start / PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(pieces, first), F.lit("")), F.coalesce(F.get(pieces, first + 1), F.lit("")))
+    return F.substring(two, start % PIECE + 1, length)
+
+
+def _context(pieces: Column, start: Column, end: Column) -> Column:
     """The two words before and the word behind, as lexical patterns; digits are alike, punctuation at the rim is not."""
-    before = F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
-    behind = F.substring(text, end + 1, F.lit(REACH))
+    before = _cut(pieces, F.greatest(start - REACH, F.lit(0)), F.least(start, F.lit(REACH)))
+    behind = _cut(pieces, end, F.lit(REACH))
     left = F.regexp_replace(F.lower(F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1)), "[0-9]", "0")
     right = F.regexp_replace(F.lower(F.regexp_extract(behind, r"^\S*\s+(\S+)", 1)), "[0-9]", "0")
     return F.array_compact(
@@ -124,20 +139,31 @@ def _context(text: Column, start: Column, end: Column) -> Column:
 def _shape(token: Column) -> Column:
     """The kind that a token may be by its characters alone, else null."""
     digits = F.length(_digits(token))
+    dotted = token.rlike("^[0-9][0-9.]*[0-9]$") & token.rlike(r"\.[0-9]+\.") & ~F.contains(token, F.lit(".."))
     return (
-        F.when(F.length(token) > LONGEST, None)
-        .when(F.contains(token, F.lit("@")), "email")
-        .when(token.rlike(r"^[0-9]++(?:\.[0-9]++){2,}+$"), "ip")
+        F.when(F.contains(token, F.lit("@")), "email")
+        .when(dotted, "ip")
         .when(token.rlike("^[0-9 -]+$") & (digits >= 12), "card")
         .when(token.rlike("^[+0-9().-]+$") & digits.between(7, 15), "phone")
     )
 
 
 def _overlaps(spans: Column, start: Column, end: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > start))
+    """Whether one of ``spans``, which ascend and do not overlap, has a place in common: the last that begins before ``end``."""
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        upper = F.struct((middle + 1).alias("low"), s["high"].alias("high"))
+        lower = F.struct(s["low"].alias("low"), middle.alias("high"))
+        return F.when(s["low"] >= s["high"], s).when(F.get(spans, middle)["start"] < end, upper).otherwise(lower)
+
+    whole = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+    turns = F.sequence(F.lit(1), F.length(F.bin(F.size(spans))))
+    last = F.aggregate(turns, whole, halved, lambda s: F.get(spans, s["low"] - 1))
+    return (F.size(spans) > 0) & F.coalesce(last["end"] > start, F.lit(False))
 
 
-def _candidates(text: Column, base: Column) -> Column:
+def _candidates(text: Column, base: list[Column]) -> Column:
     """Identifier-like tokens outside all base spans: ``start, end, found, kind``, trimmed of punctuation."""
 
     def trimmed(m: Column) -> Column:
@@ -150,7 +176,7 @@ def _candidates(text: Column, base: Column) -> Column:
 
     return F.filter(
         F.transform(matches(text, TOKEN), trimmed),
-        lambda c: c["kind"].isNotNull() & ~_overlaps(base, c["start"], c["end"]),
+        lambda c: c["kind"].isNotNull() & ~reduce(or_, [_overlaps(spans, c["start"], c["end"]) for spans in base]),
     )
 
 
@@ -223,9 +249,8 @@ def find_pii(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     body = F.col("body")
     first = df.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body"))
     based = first.select("doc_id", "body", *[base_spans(body, k).alias(k) for k in KINDS])
-    together = based.withColumn("taken", F.concat(*KINDS))
     may = body.rlike("[0-9@]")
-    fresh = F.when(may, _candidates(body, F.col("taken")))
+    fresh = F.when(may, _candidates(body, [F.col(k) for k in KINDS]))
 
     def occurrence(kind: Column, span: Column, seed: bool) -> Column:
         return F.struct(
@@ -234,7 +259,7 @@ def find_pii(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             span["end"].alias("end"),
             span["found"].alias("found"),
             F.lit(seed).alias("seed"),
-            _context(body, span["start"], span["end"]).alias("patterns"),
+            _context(F.col("pieces"), span["start"], span["end"]).alias("patterns"),
         )
 
     def seeds_of(kind: str) -> Column:
@@ -243,7 +268,7 @@ def find_pii(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     seeds = F.concat(*map(seeds_of, KINDS))
     unseen = F.transform("fresh", lambda s: occurrence(s["kind"], s, False))
     rows = stage(
-        together.withColumn("fresh", fresh).select(
+        based.select("*", fresh.alias("fresh"), F.when(may, _pieces(body)).alias("pieces")).select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
             F.concat(seeds, F.coalesce(unseen, F.array().cast("array<struct<kind:string,start:int,end:int,found:string,seed:boolean,patterns:array<string>>>"))).alias("seen"),
