@@ -244,7 +244,8 @@ def find_pii(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     Whole texts are read; a null text counts as empty, a null id stays, rows that repeat are
     judged each, an empty table gives an empty one. ``base`` holds the valid matches of the base
-    patterns, ``extra`` what contexts add; no extra span overlaps a base span.
+    patterns, ``extra`` what contexts add; no extra span overlaps a base span. The work for a text grows
+    with its identifiers and their logarithm; a context is the words within ``REACH`` characters.
     """
     body = F.col("body")
     first = df.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body"))

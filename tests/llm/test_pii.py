@@ -78,3 +78,31 @@ def test_null_ids_repeated_rows_empty_table_and_clashing_names(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.find_pii(spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_many_identifiers_in_one_text_and_at_the_rims_of_pieces(spark):
+    many = "x@y.z 1.2.3.4 " * 6000
+    rims = "".join("é" * (pii.PIECE - 20 + k) + f" write to a{k}@b.co now " for k in range(40))
+    rows = found(spark, [(1, many), (2, rims)]).orderBy("doc_id").collect()
+    assert [(r.n_email, r.n_ip) for r in rows] == [(6000, 6000), (40, 0)]
+    for r, text in zip(rows, (many, rims)):
+        assert r.base_sha256 == hashlib.sha256(by_hand(text).encode()).hexdigest()
+
+
+def test_contexts_do_not_depend_on_where_pieces_end(spark):
+    leads = (0, 1, pii.PIECE - 12, pii.PIECE - 5, pii.PIECE - 1, 2 * pii.PIECE - 9)
+    texts = ["ü" * lead + " call our office 555 now please" for lead in leads]
+    df = spark.createDataFrame([(t, t.index("555")) for t in texts], "text string, at int")
+    got = df.select(pii._context(pii._pieces(df.text), df.at, df.at + 3).alias("c")).collect()
+    assert [r.c for r in got] == [["< our office", "<> our office _ now"]] * len(texts)
+
+
+def test_overlaps_by_halving(spark):
+    rnd, rows = random.Random(4), []
+    for n in (0, 1, 2, 3, 7, 30):
+        ends = sorted(rnd.sample(range(200), 2 * n))
+        spans = list(zip(ends[::2], ends[1::2]))
+        rows += [(spans, a, a + w) for a in range(0, 200, 7) for w in (1, 5, 40)]
+    df = spark.createDataFrame(rows, "spans array<struct<start:int,end:int>>, a int, b int")
+    got = [r.c for r in df.select(pii._overlaps(df.spans, df.a, df.b).alias("c")).collect()]
+    assert got == [any(s < b and e > a for s, e in spans) for spans, a, b in rows]
