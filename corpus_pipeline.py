@@ -13,25 +13,35 @@ from litvec.llm.queries import vocabulary
 from litvec.runtime import spread, stage
 
 
+# Bytes of an Arrow batch: workers live on from stage to stage, and both sides hold a batch for each running task.
+BATCH_BYTES = "4m"
+
+
+def bounded(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` on all cores; from here on the session hands batches of bounded bytes to Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spread(docs)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model learns from ``labels`` and the documents; a score of 0.7 or more rejects."""
-    return toxicity.drop_toxic(spread(docs), table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(bounded(spark, docs), table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact.drop_duplicates(spread(docs))
+    return exact.drop_duplicates(bounded(spark, docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.drop_near_duplicates(spread(docs))
+    return near.drop_near_duplicates(bounded(spark, docs))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_contaminated(spread(docs), table(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_contaminated(bounded(spark, docs), table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sequences.digests(sequences.pack(spread(docs.select("doc_id", "text")), vocabulary()))
+    return sequences.digests(sequences.pack(bounded(spark, docs.select("doc_id", "text")), vocabulary()))
 
 
 STAGES = [
