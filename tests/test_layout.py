@@ -1,5 +1,7 @@
 """Neighbours kept in the plane, against a version that compares all pairs."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -83,3 +85,15 @@ def test_few_points_and_equal_ones(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(6)], schema)
     rows = layout.neighbour_layout(same, rounds=2).collect()
     assert len(rows) == 6 and all(np.isfinite([r.x, r.y]).all() for r in rows)
+
+
+def test_push_of_many_points_takes_bounded_memory():
+    rng = np.random.default_rng(3)
+    x, y, cells = rng.normal(size=8000), rng.normal(size=8000), rng.uniform(1, 2, size=(1024, 3))
+    tracemalloc.start()
+    ux, uy = layout._push(x, y, cells)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    dx, dy, q = layout._near(x[:700], y[:700], cells)
+    assert ux[:700] == pytest.approx((q * q * cells[:, 0] * dx).sum(1)) and uy[:700] == pytest.approx((q * q * cells[:, 0] * dy).sum(1))
+    assert peak < 64 << 20
