@@ -1,10 +1,12 @@
 """Joined, hashed, pruned and filtered search against the plain one."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from litvec import runtime
+from litvec.functions import nearest
 from litvec.operators import blocks, hashing, pruned, quantized, search
 
 
@@ -56,6 +58,34 @@ def test_joined_reads_its_corpus_once_and_takes_empty_sides(spark):
     assert blocks.knn_joined(lazy, asked, 1, block_bytes=1).count() == 4 and read.value == 4
 
 
+def test_many_small_blocks_grow_instead_of_copying_rows(spark):
+    vectors = clustered(5, 600, 4)
+    rows, asked = frame(spark, vectors), frame(spark, vectors[:40], "query_id")
+    passed = blocks.block_join(rows, asked, (), 1, "L2", 4, block_bytes=1)
+    assert passed.count() <= 40 * blocks.SIDE_BLOCKS  # a hit per question and block of rows
+    assert rows_of(blocks.knn_joined(rows, asked, 3, "L2", block_bytes=1)) == rows_of(search.knn(rows, asked, 3, "L2"))
+
+
+def test_candidates_of_a_large_block_are_reduced_on_the_way(monkeypatch):
+    monkeypatch.setattr(nearest, "_BUFFERED", 1000)
+    rng = np.random.default_rng(8)
+    corpus, asked = rng.normal(size=(30_000, 8)), rng.normal(size=(500, 8))
+    most, reduce = [0], nearest.Best._reduce
+
+    def watched(best):
+        most[0] = max(most[0], best.buffered)
+        reduce(best)
+
+    monkeypatch.setattr(nearest.Best, "_reduce", watched)
+    best = nearest.Best(asked, 5, "L2")
+    best.add(np.arange(len(corpus)), corpus)
+    hits = best.hits(pa.array(range(500)))
+    distances = np.linalg.norm(corpus[None] - asked[:50, None], axis=2)
+    nearest_ids = np.argsort(distances, axis=1, kind="stable")[:, :5]
+    assert hits["id"].to_numpy()[:250].tolist() == nearest_ids.ravel().tolist()
+    assert most[0] < 20_000
+
+
 def test_hashed_search_finds_most_and_scores_exactly(spark):
     vectors = clustered(2, 3000, 16, 60)
     corpus, asked = frame(spark, gaps(vectors)), frame(spark, gaps(vectors[::30] + 0.05), "query_id")
