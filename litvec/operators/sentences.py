@@ -54,25 +54,28 @@ def _mark(word: Column) -> Column:
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """``type, mark, next, n``: how often words occur, and before which others where they may end a sentence.
 
-    Words are counted in the tasks that read them; only counts are shuffled. The word behind is
-    kept for possible ends alone, as nothing else asks for it. The start of a text counts as an end
-    before it, with the mark ``^`` and no type.
+    Words are counted as they are spelled in the tasks that read them, and patterns meet each spelling once; only
+    counts are shuffled. The word behind is kept for possible ends alone, as nothing else asks for it. The start of
+    a text counts as an end before it, with the mark ``^`` and no type.
     """
 
+    def spelled(w: Column, behind: Column, start: bool) -> Column:
+        return F.struct(w.alias("word"), behind.alias("behind"), F.lit(start).alias("start"))
+
     def word(words: Column, w: Column, i: Column) -> Column:
-        behind = F.coalesce(F.get(words, i + 1), F.lit(""))
-        return let(
-            _mark(w),
-            lambda m: F.struct(
-                word_type(w).alias("type"), m.alias("mark"), F.when(m.isin("!", "."), word_type(behind)).alias("next")
-            ),
-        )
+        # No other word has a mark that asks for the word behind.
+        may_end = w.contains(".") | w.contains("!") | w.contains("?")
+        return spelled(w, F.when(may_end, F.coalesce(F.get(words, i + 1), F.lit(""))), False)
 
     def counted(words: Column) -> Column:
-        start = F.struct(F.lit("").alias("type"), F.lit("^").alias("mark"), word_type(words[0]).alias("next"))
-        return F.concat(F.array(start), F.transform(words, lambda w, i: word(words, w, i)))
+        return F.concat(F.array(spelled(F.lit(""), words[0], True)), F.transform(words, lambda w, i: word(words, w, i)))
 
-    return df.select(F.inline(let(F.split(tx.single_spaced(text), " "), counted))).groupBy("type", "mark", "next").agg(F.count("*").alias("n"))
+    words = df.select(F.inline(let(F.split(tx.single_spaced(text), " "), counted)))
+    words = words.groupBy("word", "behind", "start").agg(F.count("*").alias("n"))
+    kind, mark = (F.when(F.col("start"), first).otherwise(rest) for first, rest in (("", word_type(F.col("word"))), ("^", _mark(F.col("word")))))
+    marked = words.select(kind.alias("type"), mark.alias("mark"), "behind", "n")
+    following = F.when(F.col("mark").isin("!", ".", "^"), word_type(F.col("behind")))
+    return marked.select("type", "mark", following.alias("next"), "n").groupBy("type", "mark", "next").agg(F.sum("n").alias("n"))
 
 
 def _times_log(count: Column, share: Column) -> Column:
@@ -164,7 +167,8 @@ class SentenceModel:
 
     def _together(self, piece: Column, following: Column) -> Column:
         """True where the possible end of a piece does not end a sentence."""
-        word, after = F.regexp_extract(piece, r"[^ ]+\z", 0), F.regexp_extract(following, r"\A *([^ ]+)", 1)
+        # A possible end has no blank behind it.
+        word, after = F.substring_index(piece, " ", -1), F.substring_index(F.ltrim(following), " ", 1)
         capital, small = (after.rlike(rf"\A[^\p{{L}}\p{{N}}]*\p{{{c}}}") for c in ("Lu", "Ll"))
 
         def judged(mark: Column, kind: Column, next_kind: Column) -> Column:

@@ -159,3 +159,15 @@ def test_empty_corpus_and_too_many_words(spark, learned):
     assert df.select(model.sentences("text").alias("s")).first().s == ["Ab c. Cd ef.", "Gh"]
     with pytest.raises(ValueError, match="more than 2"):
         st.SentenceModel.of(learned, most=2)
+
+
+def test_patterns_meet_each_spelling_once(spark):
+    df = spark.createDataFrame([("One two. One two! one",), ("",), (None,), ("Two. One",)], "text string")
+    counts = st.word_counts(df)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "\\p{L}" not in plan[plan.index("Generate") :]  # types and marks are made of counted spellings
+    got = {(r["type"], r["mark"], r["next"], r["n"]) for r in counts.collect()}
+    assert got == {
+        ("", "^", "one", 1), ("", "^", "", 1), ("", "^", "two", 1), ("", "", None, 1), ("one", "", None, 4),
+        ("two", ".", "one", 2), ("two", "!", "one", 1),
+    }
