@@ -7,6 +7,9 @@ tokens are what lies between blanks and line ends. A few patterns set the marks;
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,7 +46,6 @@ _QUOTED = (
     (rf"{_INSIDE}({_APOSTROPHE}){_AFTER}", "$1\n$2$3"),
 )
 _WORDS = tuple((rf"{_BEFORE}({any_case(a)})({any_case(b)}){_AFTER}", "$1$2\n$3$4") for a, b in CUT_WORDS)
-_HOLDS_WORD = "|".join(any_case(a + b) for a, b in CUT_WORDS)
 _TIDY = ((r"\n* \n*", " "), (r"\n\n+", "\n"), (r"\A\n+|\n+\z", ""))
 
 
@@ -53,11 +55,21 @@ def _replaced(text: Column, rules) -> Column:
     return text
 
 
+def _holds(text: Column, parts) -> Column:
+    """Whether a text holds one of some parts, written in small letters, in letters of any size."""
+    return let(F.lower(text), lambda small: reduce(or_, (small.contains(p) for p in parts)))
+
+
+def _replaced_where(text: Column, parts, rules) -> Column:
+    """``_replaced`` by rules that only match a text with one of ``parts``: looking for these costs less than the patterns."""
+    return let(text, lambda t: F.when(_holds(t, parts), _replaced(t, rules)).otherwise(t))
+
+
 def marked(sentence: Column | str) -> Column:
     """A sentence, single-spaced as ``text.sentence_pieces`` gives it, with a line end at borders without a blank."""
     cut = _replaced(col(sentence), _PUNCTUATION)
-    cut = let(cut, lambda t: F.when(t.rlike(_APOSTROPHE), _replaced(t, _QUOTED)).otherwise(t))
-    cut = let(cut, lambda t: F.when(t.rlike(_HOLDS_WORD), _replaced(t, _WORDS + _WORDS)).otherwise(t))
+    cut = _replaced_where(cut, APOSTROPHES, _QUOTED)
+    cut = _replaced_where(cut, [a + b for a, b in CUT_WORDS], _WORDS + _WORDS)
     return _replaced(cut, _TIDY)
 
 
@@ -91,17 +103,30 @@ def treebank_tokens(sentence: Column | str) -> Column:
 
 
 # What touches the token before it, or behind it, when nothing is known but the tokens.
+# Rules come with the parts that a text has to have for them, if most texts have none.
+_OPENERS = ("``", *"([{<“„«$#@")
 _JOINED = (
-    (r" (''|[;?!%)\]}>”»…])", "$1"),
-    (r" (\.+|[,:])([^\p{L}\p{N}]|\z)", "$1$2"),
-    (r" (\.+|[,:])([^\p{L}\p{N}]|\z)", "$1$2"),
-    (rf" {_CLITIC}(?: |\z)", "$1 "),
-    (rf" {_CLITIC}(?: |\z)", "$1 "),
-    (r"(\A| )(``|[(\[{<“„«$#@]) ", "$1$2"),
-    (r"(\A| |``|[(\[{<“„«$#@])(``|[(\[{<“„«$#@]) ", "$1$2"),
-    *((rf"(\A| )({any_case(a)}) ({any_case(b)})([^\p{{L}}\p{{N}}]|\z)", "$1$2$3$4") for a, b in CUT_WORDS),
-    ("``|''", '"'),
-    (r"\A +| +\z", ""),
+    (
+        None,
+        (
+            (r" (''|[;?!%)\]}>”»…])", "$1"),
+            (r" (\.+|[,:])([^\p{L}\p{N}]|\z)", "$1$2"),
+            (r" (\.+|[,:])([^\p{L}\p{N}]|\z)", "$1$2"),
+        ),
+    ),
+    (APOSTROPHES, ((rf" {_CLITIC}(?: |\z)", "$1 "), (rf" {_CLITIC}(?: |\z)", "$1 "))),
+    (
+        _OPENERS,
+        (
+            (r"(\A| )(``|[(\[{<“„«$#@]) ", "$1$2"),
+            (r"(\A| |``|[(\[{<“„«$#@])(``|[(\[{<“„«$#@]) ", "$1$2"),
+        ),
+    ),
+    (
+        [f"{a} {b}" for a, b in CUT_WORDS],
+        [(rf"(\A| )({any_case(a)}) ({any_case(b)})([^\p{{L}}\p{{N}}]|\z)", "$1$2$3$4") for a, b in CUT_WORDS],
+    ),
+    ((OPENING, CLOSING), (("``|''", '"'),)),
 )
 
 
@@ -110,4 +135,7 @@ def detokenize(tokens: Column | str) -> Column:
 
     The exact way back is ``spelled``, which needs the pieces.
     """
-    return _replaced(F.array_join(col(tokens), " "), _JOINED)
+    text = F.array_join(col(tokens), " ")
+    for parts, rules in _JOINED:
+        text = _replaced(text, rules) if parts is None else _replaced_where(text, parts, rules)
+    return F.btrim(text, F.lit(" "))

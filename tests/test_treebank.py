@@ -81,3 +81,11 @@ def test_chunks_count_treebank_tokens(spark, limit):
     sizes = df.select(F.transform(tx.sentence_pieces("t"), lambda s: F.size(tb.treebank_pieces(s))).alias("n")).first().n
     assert sum(c.n_tokens for c in got) == sum(sizes) and max(c.n_tokens for c in got) <= limit
     assert "".join(c.text for c in got).replace(" ", "") == text.replace(" ", "")
+
+
+def test_rules_for_rare_parts_run_where_a_text_has_them(spark):
+    texts = ["plain words .", "do n't CAN NOT go", "say `` so ''", "a ( b ) $ 5", "he ’s gon na , Lem Me", "“ x ” # 1", ""]
+    df = spark.createDataFrame([(i, t.split(" ")) for i, t in enumerate(texts)], "id int, tokens array<string>")
+    every = tb._replaced(F.array_join("tokens", " "), [r for _, rules in tb._JOINED for r in rules] + [(r"\A +| +\z", "")])
+    rows = df.select(tb.detokenize("tokens").alias("a"), every.alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[1].a == "don't CANNOT go"
