@@ -21,6 +21,8 @@ from litvec.functions.packing import Splitter
 # Nodes of a trie that every task may hold; vocabularies of models have about a hundred thousand.
 MOST_NODES = 4_000_000
 UNKNOWN = "[UNK]"
+# Characters of the texts that are cut at a time, a longer text alone.
+_AT_ONCE = 4 << 20
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -109,23 +111,33 @@ class WordPieces:
         """Sentences as arrays of their pieces, spelled as in the source with the blank before a word."""
 
         @F.arrow_udf("array<array<string>>")
-        def found(texts: pa.Array) -> pa.Array:
-            sentences_of = texts.flatten()
-            which, cuts, spelled = self._cut_distinct(sentences_of.flatten())
-            parts = []
-            for token, pieces in zip(spelled, cuts):
-                blanks = len(token) - len(token.lstrip(" "))
-                parts.append([token[(a + blanks if a else 0) : b + blanks] for a, b, _, _ in pieces])
-            counts = np.array([len(p) for p in parts], dtype=np.int64)
-            of_token = np.concatenate([[0], np.cumsum(counts[which])]) if len(which) else np.zeros(1, np.int64)
-            inner = np.concatenate([[0], np.cumsum(sentences_of.value_lengths().to_numpy(zero_copy_only=False))])
-            outer_sizes = np.nan_to_num(texts.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            outer = np.concatenate([[0], np.cumsum(outer_sizes)])
-            values = pa.array([p for w in which for p in parts[w]], pa.string())
-            lists = pa.ListArray.from_arrays(pa.array(of_token[inner.astype(np.int64)], pa.int32()), values)
-            return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), lists, mask=texts.is_null())
-
-        return found(F.transform(sentences, tx.token_pieces))
+        def found(texts: pa.Array, lengths: pa.Array) -> pa.Array:
+            ends = np.cumsum(np.nan_to_num(lengths.to_numpy(zero_copy_only=False)))
+            cuts = np.flatnonzero(np.diff(ends // _AT_ONCE)) + 1
+            parts = [texts.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, len(texts)])]
+            return pa.concat_arrays([self._spelled_lists(p) for p in parts])
+
+        lengths = F.aggregate(sentences, F.lit(0).cast("long"), lambda n, s: n + F.length(s))
+        return found(F.transform(sentences, tx.token_pieces), lengths)
+
+    def _spelled_lists(self, texts: pa.Array) -> pa.Array:
+        sentences_of = texts.flatten()
+        which, cuts, spelled = self._cut_distinct(sentences_of.flatten())
+        parts = []
+        for token, pieces in zip(spelled, cuts):
+            blanks = len(token) - len(token.lstrip(" "))
+            parts.append([token[(a + blanks if a else 0) : b + blanks] for a, b, _, _ in pieces])
+        counts = np.array([len(p) for p in parts], dtype=np.int64)
+        of_token = np.concatenate([[0], np.cumsum(counts[which])]) if len(which) else np.zeros(1, np.int64)
+        inner = np.concatenate([[0], np.cumsum(sentences_of.value_lengths().to_numpy(zero_copy_only=False))])
+        outer_sizes = np.nan_to_num(texts.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        outer = np.concatenate([[0], np.cumsum(outer_sizes)])
+        # The pieces of each distinct token stand once, and are taken by their places.
+        shift = (np.cumsum(counts) - counts)[which] - of_token[:-1]
+        at = np.repeat(shift, counts[which]) + np.arange(of_token[-1])
+        values = pa.array([p for of in parts for p in of], pa.string()).take(pa.array(at, pa.int64()))
+        lists = pa.ListArray.from_arrays(pa.array(of_token[inner.astype(np.int64)], pa.int32()), values)
+        return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), lists, mask=texts.is_null())
 
     def splitter(self, sentences=tx.sentence_pieces) -> Splitter:
         """For chunks whose limit counts word pieces; one that a limit cuts inside a word goes on in the next chunk."""

@@ -95,3 +95,14 @@ def test_chunks_count_pieces_and_spell_the_text(spark, limit):
         assert max(c.n_tokens for c in r.c) <= limit
     sizes = df.select(F.size(F.flatten(cut.splitter().pieces(tx.sentence_pieces("t")))).alias("n")).collect()
     assert [s.n for s in sizes][0] == 2 + 1 + 1 + 1 + 3 + 2 + 1 + 1 + 1 + 1 + 1
+
+
+def test_slices_of_texts_are_cut_like_the_whole():
+    import pyarrow as pa
+
+    cutter = WordPieces({"a": 1, "b": 2, "##a": 3, "##b": 4})
+    rows = [None if i % 5 == 3 else [["ab", " ba"], [" abx"], []][: i % 4] for i in range(40)]
+    texts = pa.array(rows, pa.list_(pa.list_(pa.string())))
+    parts = pa.concat_arrays([cutter._spelled_lists(texts.slice(a, 8)) for a in range(0, 40, 8)])
+    wanted = [["a", "b", " b", "a"], [" abx"], []]
+    assert parts.to_pylist() == [None if r is None else wanted[: len(r)] for r in rows]
