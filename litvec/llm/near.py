@@ -30,6 +30,8 @@ HUBS, LEADERS = 3, 16
 # Members meet leaders that agree with them in this many sketches, as 99.4 % of pairs of similarity 0.8 do, and
 # in each round this many random ones, those that agree in most. The rest is left to rare shingles.
 AGREEMENT, NEAREST, MEETINGS = 4, 3, 16
+# A further round is worth its passes over all members if the last one joined this share of their classes.
+GAIN = 0.1
 # Counters for the order of shingles by rarity, and the members of a rare shingle that one row holds.
 _COUNTER_BITS, BLOCK = 18, 400
 _SEEDS = mix(np.arange(1, 2 * SKETCHES + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
@@ -133,10 +135,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     full. A larger bucket is neither gathered nor paired: its members meet its hubs, those that share
     most sketches with others, found by an aggregate. Members that stay out of the main hub's class
     then meet random members of that class and of the rest that agree with them in most sketches, in
-    rounds that go on until one finds no further link. These rounds only save work: members of a
-    bucket that are of different classes at the end are compared by ``_rare_pairs``, which leaves out
-    no pair that can reach 0.8, however few sketches it shares. So a pair that shares a sketch is
-    linked in large buckets as it is in small ones.
+    rounds that go on while one joins a tenth of the classes left, so their number grows with the
+    logarithm of the texts at most. These rounds only save work: members of a bucket that are of
+    different classes at the end are compared by ``_rare_pairs``, which leaves out no pair that can
+    reach 0.8, however few sketches it shares. So a pair that shares a sketch is linked in large
+    buckets as it is in small ones.
     """
     return _judged(df, doc_id, text).select("doc_id", "class_id", "copy_of")
 
@@ -171,21 +174,23 @@ def _judged(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     pairs = small_side(pairs, "pairs")
     bodies = _bodies(own, texts, pairs, large)
     alone = bodies.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("class_id"))
-    classes = _merged(small_side(alone, "classes"), _linked(pairs, bodies))
-    met, turn = pairs, 1
-    while True:
+    classes, _ = _merged(small_side(alone, "classes"), _linked(pairs, bodies))
+    apart = large.join(classes, "id").select("class_id").distinct().count()
+    met, turn, worthwhile = pairs, 1, apart > 0
+    while worthwhile:
         fresh = _random_pairs(large, classes, turn).distinct().join(met, ["a", "b"], "left_anti")
         pairs = small_side(fresh, "pairs")
         met = met.union(pairs)
         links = _linked(pairs, bodies)
         if links.isEmpty():
             break
-        classes = _merged(classes, links)
-        turn += 1
+        classes, joined = _merged(classes, links)
+        worthwhile = joined >= GAIN * apart
+        apart, turn = apart - joined, turn + 1
     rest = _rare_pairs(large, bodies, classes).distinct().join(met, ["a", "b"], "left_anti")
     links = _linked(small_side(rest, "rest"), bodies)
     if not links.isEmpty():
-        classes = _merged(classes, links)
+        classes, _ = _merged(classes, links)
 
     named = texts.select("digest", "id", "doc_id").join(classes, "id", "left")
     named = stage(named.withColumn("class", F.coalesce("class_id", "id")).drop("class_id"), "named")
@@ -355,16 +360,17 @@ def _rare_pairs(large: DataFrame, bodies: DataFrame, classes: DataFrame) -> Data
     shared = small_side(shared.where("live").drop("live"), "shared")
     outside = firsts.join(shared, "shingle").withColumn("outside", F.col("class_id") != F.col("main"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = stage(outside.select("*", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), blocks.alias("blocks")), "dealt")
-    # Members outside the main class stand still in their block, and every member visits the blocks that have any.
+    dealt = outside.select("*", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    # Members outside the main class stand still in their block, and every block visits those that have any: whole
+    # blocks are rows here, so that their number grows with the square of a shingle's blocks and not of its members.
     fields = ("id", "class_id", "size", "at", "outside")
-    home = dealt.where("outside").groupBy("shingle", "block").agg(F.collect_list(F.struct(*fields)).alias("home"))
-    home = stage(home, "home")
-    occupied = home.groupBy("shingle").agg(F.collect_list("block").alias("occupied"))
-    visits = dealt.join(small_side(occupied, "occupied"), "shingle").select("*", F.explode("occupied").alias("visited"))
-    guests = visits.groupBy("shingle", "visited", "block")
-    guests = guests.agg(F.collect_list(F.struct(*fields)).alias("guests")).withColumnRenamed("block", "of")
-    met = guests.join(home.withColumnRenamed("block", "visited"), ["shingle", "visited"])
+    held = dealt.groupBy("shingle", "block").agg(F.collect_list(F.struct(*fields)).alias("guests"))
+    held = stage(held, "blocks")
+    home = held.select("shingle", F.col("block").alias("visited"), F.filter("guests", lambda x: x["outside"]).alias("home"))
+    home = home.where(F.size("home") > 0)
+    occupied = home.groupBy("shingle").agg(F.collect_list("visited").alias("occupied"))
+    visits = held.join(small_side(occupied, "occupied"), "shingle").select("shingle", "guests", F.explode("occupied").alias("visited"))
+    met = visits.join(home, ["shingle", "visited"])
 
     def differing(x: Column) -> Column:
         """Guests that ``x`` has to be compared with; of two outside the main class the smaller id asks."""
@@ -381,14 +387,14 @@ def _rare_pairs(large: DataFrame, bodies: DataFrame, classes: DataFrame) -> Data
     return met.select(F.explode(F.flatten(F.transform("home", differing))).alias("p")).select("p.a", "p.b")
 
 
-def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes joined by further links between their members."""
+def _merged(classes: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """Classes joined by further links between their members, and how many there are less."""
     for end in "ab":
         links = links.join(classes.select(F.col("id").alias(end), F.col("class_id").alias(f"class_{end}")), end)
     merged = components(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
     merged = small_side(merged.select(F.col("id").alias("class_id"), F.col("class_id").alias("merged")), "merged")
     joined = classes.join(merged, "class_id", "left").select("id", F.coalesce("merged", "class_id").alias("class_id"))
-    return small_side(joined, "classes")
+    return small_side(joined, "classes"), merged.where("class_id <> merged").count()
 
 
 def _bodies(own: DataFrame, texts: DataFrame, pairs: DataFrame, large: DataFrame) -> DataFrame:

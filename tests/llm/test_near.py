@@ -210,3 +210,49 @@ def test_ids_that_stand_for_several_texts_lose_none(spark):
     assert [d for d, _ in left] == [3, 5, 7, 7, 9, 9, None, None]
     assert (3, a) in left and (5, unique) in left and (9, "x") in left
     assert near.drop_near_duplicates(df).columns == df.columns
+
+
+def test_rounds_end_when_they_join_few(spark, monkeypatch):
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(10**9)}" for _ in range(120)]
+    sketched = lambda words: near.order_sketches(*near._labelled([" ".join(words)])[2:]).tolist()
+    copies = []
+    while len(copies) < 20:  # near copies that share all their sketches, so all their buckets are crowded
+        copy = list(base)
+        copy[rnd.randrange(120)] = f"x{rnd.randrange(10**9)}"
+        if sketched(copy) == sketched(base):
+            copies.append(" ".join(copy))
+    turns = []
+
+    def few_pairs(large, classes, turn):
+        ids = sorted(r.id for r in large.select("id").collect())
+        turns.append(turn)
+        links = list(zip(ids, ids[1:]))
+        return spark.createDataFrame(links[:5] if turn == 1 else links[turn + 3 : turn + 4], "a long, b long")
+
+    monkeypatch.setattr(near, "_with_hubs", lambda large: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(near, "_random_pairs", few_pairs)
+    found = near.near_duplicates(spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string"))
+    assert [r.class_id for r in found.collect()] == [0] * 20
+    assert turns == [1, 2]  # five of 20 classes are worth another round, one of 15 is not
+
+
+def test_blocks_of_a_rare_shingle_visit_as_rows(spark, monkeypatch):
+    def made(plan):
+        """Rows that the explodes of visits made, in the plan that ran."""
+        if plan.nodeName() == "AdaptiveSparkPlan" or plan.nodeName().endswith("QueryStage"):
+            return made(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan())
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        own = plan.nodeName() == "Generate" and "visited" in plan.generatorOutput().toString()
+        return sum(map(made, children)) + (plan.metrics().apply("numOutputRows").value() if own else 0)
+
+    rnd = random.Random(12)
+    words = lambda n: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(n))
+    n, passage = 200, words(60)
+    monkeypatch.setattr(near, "BLOCK", 10)
+    bodies = spark.createDataFrame([(i, f"{passage} {words(5)}") for i in range(n)], "doc_id long, text string")
+    large = bodies.selectExpr("doc_id AS id", "array(1L) AS buckets")
+    pairs = near._rare_pairs(large, bodies, bodies.selectExpr("doc_id AS id", "doc_id AS class_id"))
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for b in range(n) for a in range(b)}
+    shared = 8  # of the first fifth, 13 shingles of 61, five are of a text alone
+    assert 0 < made(pairs._jdf.queryExecution().executedPlan()) <= shared * (n // near.BLOCK) ** 2
