@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
+from checks.queries import QUERIES
 from litvec.operators import layout, projection
 
 
@@ -97,3 +98,70 @@ def test_push_of_many_points_takes_bounded_memory():
     dx, dy, q = layout._near(x[:700], y[:700], cells)
     assert ux[:700] == pytest.approx((q * q * cells[:, 0] * dx).sum(1)) and uy[:700] == pytest.approx((q * q * cells[:, 0] * dy).sum(1))
     assert peak < 64 << 20
+
+
+def divergence(vectors, places, neighbours=layout.NEIGHBOURS):
+    """The cost that all pairs give."""
+    n = len(vectors)
+    d = np.linalg.norm(vectors[:, None] - vectors[None], axis=2)
+    w = np.zeros((n, n))
+    for i in range(n):
+        near = [j for j in np.lexsort((np.arange(n), d[i])) if j != i][:neighbours]
+        w[i, near] = layout.neighbour_weights(d[i, near])
+    w = (w + w.T) / (2 * n)
+    q = 1 / (1 + ((places[:, None] - places[None]) ** 2).sum(2))
+    np.fill_diagonal(q, 0)
+    return (w[w > 0] * np.log(w[w > 0] * q.sum() / q[w > 0])).sum()
+
+
+def test_the_query_goes_on_until_the_layout_has_settled(spark, tmp_path):
+    vectors, own = clustered(80, 3, 10)
+    rows = [(i, v.tolist(), int(g)) for i, (v, g) in enumerate(zip(vectors, own))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["neighbour_layout"](spark, str(tmp_path)).orderBy("id").collect()
+    start = np.array([[r.x, r.y] for r in projection.project_2d(spark.createDataFrame(rows, "id long, vector array<double>, label int"), "id", "label").orderBy("id").collect()])
+    ours, few, many = (divergence(vectors, p) for p in (np.array([[r.x, r.y] for r in found]), *(dense(vectors, start, n, layout.NEIGHBOURS) for n in (12, 1000))))
+    assert ours < 1.1 * many < few, (ours, many, few)
+
+
+def test_settled_is_a_small_fall_over_the_whole_window():
+    falling = [10 * 0.99**i for i in range(60)]
+    assert not layout._settled(falling) and not layout._settled([1.0] * layout.WINDOW)
+    assert layout._settled(falling + [falling[-1]] * layout.WINDOW) and layout._settled([0.0] * (layout.WINDOW + 1))
+
+
+@pytest.mark.parametrize("spread", [0.05, 1, 30])
+def test_push_of_a_wide_layout_is_that_of_all_pairs(spark, spread):
+    x, y = np.random.default_rng(7).normal(size=(2, 1500)) * spread
+    at = spark.createDataFrame([(i, float(a), float(b), 0.5) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double, cost double")
+    cells, width, extent, cost = layout._cells(at, max(np.ptp(x), np.ptp(y)), layout.GRID)
+    assert cells[:, 0].sum() == 1500 and cost == 750 and extent / layout.LEAST >= 0.9 * width
+    *field, pairs = layout._field(cells, width)
+    dx, dy, q = layout._near(x, y, np.stack([np.ones(1500), x, y], 1))
+    wanted = np.stack([(q * q * dx).sum(1), (q * q * dy).sum(1)])
+    assert pairs == pytest.approx(q.sum() - 1500, rel=0.02)
+    assert np.linalg.norm(layout._felt(x, y, width, *field) - wanted) < 0.1 * np.linalg.norm(wanted)
+
+
+def test_a_side_has_a_bounded_number_of_cells(spark):
+    at = spark.createDataFrame([(0, -700.0, 1.0, 0.0), (1, 900.0, 2.0, 0.0), (2, 901.0, 2.0, 0.0)], "id long, x double, y double, cost double")
+    cells, width, extent, _ = layout._cells(at, 1.0, 256)
+    assert width == 8 and extent <= 256 * width and cells[:, 0].sum() == 3
+    for size in (1e-9, 0.7, 100.0, 1e5):
+        assert size / layout._width(size, 256) <= max(256, 2 * layout.LEAST)
+
+
+def test_places_far_out_do_not_widen_the_cells(spark):
+    x, y = np.random.default_rng(7).normal(size=(2, 1500)) * 8
+    x[:5], y[3:9] = (3000, -9000, 3000.3, 400, 500), -2500
+    at = spark.createDataFrame([(i, float(a), float(b), 0.0) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double, cost double")
+    cells, width, *_ = layout._cells(at, 100.0, layout.GRID)
+    assert width == layout.CELL and len(cells) > layout._CELLS
+    field, pairs = layout._pushing(cells, width)
+    assert 0 < len(field[1]) < 20
+    dx, dy, q = layout._near(x, y, np.stack([np.ones(1500), x, y], 1))
+    wanted = np.stack([(q * q * dx).sum(1), (q * q * dy).sum(1)])
+    found = layout._pushed(x, y, *field)
+    assert pairs == pytest.approx(q.sum() - 1500, rel=0.02)
+    assert np.linalg.norm(found - wanted) < 0.1 * np.linalg.norm(wanted)
+    assert found[:, 0] == pytest.approx(wanted[:, 0], rel=0.1)
